@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from dischargelab.plans import q_trains  # noqa: F401
+from dischargelab.plans import q_shapes, q_trains  # noqa: F401
 from dischargelab.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -114,13 +114,13 @@ def keep_big_types(spark, d):
 # --- smoothed rates: a day-long epoch grid per user, one hour step, six hour kernel --------------
 
 T0 = 1704067200.0  # 2024-01-01T00:00:00Z, the first instant of the table
-DT, SIGMA = 3600.0, 21600.0
+DT, SIGMA = 3600.0, 7200.0
 
 RATE = f"""{SPK}, rate AS (
-  SELECT run_id, label, g, sum(exp(power((1704067200.0::DOUBLE + g * 3600.0::DOUBLE - t) / 21600.0::DOUBLE, 2) * -0.5)
-       / (21600.0::DOUBLE * sqrt(2 * pi()))) AS rate
+  SELECT run_id, label, g, sum(exp(power((1704067200.0::DOUBLE + g * 3600.0::DOUBLE - t) / 7200.0::DOUBLE, 2) * -0.5)
+       / (7200.0::DOUBLE * sqrt(2 * pi()))) AS rate
   FROM spk JOIN (SELECT unnest(range(720)) AS g) gr
-    ON g * 3600.0::DOUBLE BETWEEN t - 1704067200.0::DOUBLE - 8 * 21600.0::DOUBLE AND t - 1704067200.0::DOUBLE + 8 * 21600.0::DOUBLE
+    ON g * 3600.0::DOUBLE BETWEEN t - 1704067200.0::DOUBLE - 8 * 7200.0::DOUBLE AND t - 1704067200.0::DOUBLE + 8 * 7200.0::DOUBLE
   GROUP BY ALL)"""
 AMPS = "amps AS (SELECT run_id, label, CASE WHEN count(*) >= 10 THEN avg(amp) END AS a, max(amp) - min(amp) AS ptp FROM spk GROUP BY ALL)"
 FP = "fp AS (SELECT run_id, g, sum(rate) AS f, sum(coalesce(a, ptp) * rate) AS p FROM rate JOIN amps USING (run_id, label) GROUP BY ALL)"
