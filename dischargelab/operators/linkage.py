@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dischargelab.operators.ordered import neighbours, quantiles
 from dischargelab.operators.trains import min_isi
 from dischargelab.session import groups_bounded, materialize
 
 LABELS_PER_PASS = 64
+SMALL_GRAPH = 10_000
 
 
 def pair_latency(spikes: DataFrame, keys: list[str], max_latency: float, label: str = "label",
@@ -45,15 +47,16 @@ def pair_latency(spikes: DataFrame, keys: list[str], max_latency: float, label:
         .withColumn("_m", F.when(F.abs("_l") <= max_latency, F.col("_l")))
     )
     pair = keys + ["type_i", "type_j"]
-    stats = lat.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("n_i"), F.count("_m").alias("n_matched"),
-        (F.avg("_m") * 1000).alias("latency_mean_ms"), (F.stddev_pop("_m") * 1000).alias("latency_std_ms"))
-    med = quantiles(lat.select(*pair, "_m"), pair, "_m", {"_md": 0.5})
-    return (
-        stats.join(med, pair, "left")
-        .withColumn("co_occurrence", F.col("n_matched") / F.col("n_i"))
-        .withColumn("latency_median_ms", F.col("_md") * 1000).drop("_md")
-    )
+    agg = [F.count(F.lit(1)).alias("n_i"), F.count("_m").alias("n_matched"),
+           (F.avg("_m") * 1000).alias("latency_mean_ms"), (F.stddev_pop("_m") * 1000).alias("latency_std_ms")]
+    if bounded:  # a pair's latencies are no more than its run's spikes
+        agg.append(F.percentile("_m", F.lit(0.5)).alias("_md"))
+        stats = lat.groupBy(*pair).agg(*agg)
+    else:
+        med = quantiles(lat.select(*pair, "_m"), pair, "_m", {"_md": 0.5}, bounded=False)
+        stats = lat.groupBy(*pair).agg(*agg).join(med, pair, "left")
+    return (stats.withColumn("co_occurrence", F.col("n_matched") / F.col("n_i"))
+            .withColumn("latency_median_ms", F.col("_md") * 1000).drop("_md"))
 
 
 def linked_pairs(stats: DataFrame, keys: list[str], min_co: float, max_std_ms: float,
@@ -73,29 +76,48 @@ def linked_pairs(stats: DataFrame, keys: list[str], min_co: float, max_std_ms: f
     )
 
 
-def components(pairs: DataFrame, keys: list[str], a: str = "type_a", b: str = "type_b") -> DataFrame:
+def components(pairs: DataFrame, keys: list[str], a: str = "type_a", b: str = "type_b",
+               small: int = SMALL_GRAPH) -> DataFrame:
     """(keys, type, group): every paired type with the smallest type it is connected to.
 
-    Minimum-label propagation with pointer jumping: the number of rounds is logarithmic in the
-    longest chain, each round is two joins.
+    Pairs link types, so there are normally a handful; up to ``small`` of them (checked) are joined
+    on the driver. Larger graphs use minimum-label propagation with pointer jumping, whose rounds
+    grow with the logarithm of the longest chain.
     """
-    # A null pair set keeps the schema; labels start at the node itself.
-    edges = materialize(
-        pairs.select(*keys, F.col(a).alias("x"), F.col(b).alias("y"))
-        .unionByName(pairs.select(*keys, F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    comp = edges.groupBy(*keys, F.col("x").alias("type")).agg(F.min("y").alias("_y")).select(
-        *keys, "type", F.least("type", "_y").alias("group"))
+    links = pairs.select(*keys, F.col(a).alias("x"), F.col(b).alias("y")).distinct()
+    head = links.limit(small + 1).collect()
+    if len(head) > small:
+        return _propagate(links, keys)
+    schema = T.StructType([links.schema[k] for k in keys] + [
+        T.StructField("type", links.schema["x"].dataType), T.StructField("group", links.schema["x"].dataType)])
+    root: dict[tuple, tuple] = {}
+
+    def find(node):
+        while root.setdefault(node, node) != node:
+            node = root[node]
+        return node
+
+    for *run, x, y in head:
+        low, high = sorted([find((*run, x)), find((*run, y))])
+        root[high] = low
+    return pairs.sparkSession.createDataFrame([(*n, find(n)[-1]) for n in list(root)], schema)
+
+
+def _propagate(links: DataFrame, keys: list[str]) -> DataFrame:
+    back = links.select(*keys, F.col("y").alias("x"), F.col("x").alias("y"))
+    edges = materialize(links.unionByName(back).distinct())
+    comp = materialize(edges.groupBy(*keys, F.col("x").alias("type")).agg(F.min("y").alias("_y")).select(
+        *keys, "type", F.least("type", "_y").alias("group")))
     while True:
-        comp = materialize(comp)
         hop = edges.join(comp.withColumnRenamed("type", "y"), keys + ["y"]).groupBy(
             *keys, F.col("x").alias("type")).agg(F.min("group").alias("_g"))
         step = comp.join(hop, keys + ["type"]).withColumn("_g", F.least("group", "_g"))
         jump = comp.select(*keys, F.col("type").alias("_g"), F.col("group").alias("_j"))
         new = materialize(step.join(jump, keys + ["_g"], "left").select(
             *keys, "type", F.least("_g", "_j").alias("group"), F.col("group").alias("_old")))
+        comp = new.drop("_old")
         if new.where("group <> _old").isEmpty():
             return comp
-        comp = new.drop("_old")
 
 
 def relabel_groups(spikes: DataFrame, groups: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
