@@ -18,26 +18,41 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED_ROWS = 2000  # rows per group that seed the initial centers
 
 
-def pass_sums(df: DataFrame, fn: Callable[[pd.DataFrame], Iterable[tuple[int, np.ndarray]]],
-              how: str = "sum") -> dict[int, np.ndarray]:
-    """Add (or maximize) the per-batch arrays of ``fn`` over all rows, by integer key."""
+Groups = Iterable[tuple[int, np.ndarray]]
+Stats = Callable[[Groups], Iterable[tuple[int, np.ndarray]]]
+
+
+def merge_stats(parts: Iterable[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    acc: dict[int, np.ndarray] = {}
+    for key, a in parts:
+        acc[key] = acc[key] + a if key in acc else a
+    return acc
+
+
+def pass_sums(data: DataFrame | dict[int, np.ndarray], fn: Stats, how: str = "sum") -> dict[int, np.ndarray]:
+    """Add (or maximize) the per-batch arrays of ``fn`` over all rows, by integer key.
+
+    ``data`` is the full data, or the bounded seed sample held by the driver.
+    """
     merge = np.add if how == "sum" else np.maximum
+    if isinstance(data, dict):
+        return merge_stats(fn(data.items()))
 
     def run(batches):
         acc: dict[int, np.ndarray] = {}
         for pdf in batches:
             if len(pdf):
-                for key, a in fn(pdf):
+                for key, a in fn(by_group(pdf)):
                     acc[key] = merge(acc[key], a) if key in acc else a
         yield pd.DataFrame({"key": list(acc), "a": list(acc.values())})
 
-    parts = df.mapInPandas(run, "key long, a array<double>").withColumn("a", array_to_vector("a"))
+    parts = data.mapInPandas(run, "key long, a array<double>").withColumn("a", array_to_vector("a"))
     total = parts.groupBy("key").agg((Summarizer.sum if how == "sum" else Summarizer.max)(F.col("a")).alias("a"))
     return {r["key"]: r["a"].toArray() for r in total.collect()}
 
@@ -91,7 +106,7 @@ class Fit:
     extra: dict = field(default_factory=dict)
 
 
-def lloyd(df: DataFrame, fits: list[Fit], max_iter: int = 100, tol: float = 1e-4) -> list[Fit]:
+def lloyd(data: DataFrame | dict, fits: list[Fit], max_iter: int = 100, tol: float = 1e-4) -> list[Fit]:
     """Advance every k-means fit to convergence (relative center movement below ``tol``)."""
     open_ids = set(range(len(fits)))
     for it in range(max_iter + 1):
@@ -99,8 +114,8 @@ def lloyd(df: DataFrame, fits: list[Fit], max_iter: int = 100, tol: float = 1e-4
         for i in open_ids:
             table.setdefault(fits[i].g, []).append((i, fits[i].centers))
 
-        def stats(pdf, table=table):
-            for g, x in by_group(pdf):
+        def stats(groups, table=table):
+            for g, x in groups:
                 for i, c in table.get(g, ()):
                     d = sq_dist(x, c)
                     near = d.argmin(1)
@@ -109,7 +124,7 @@ def lloyd(df: DataFrame, fits: list[Fit], max_iter: int = 100, tol: float = 1e-4
                     yield i, np.concatenate([
                         one.sum(0), (one.T @ x).ravel(), [d[np.arange(len(x)), near].sum()], (x * x).sum(0), x.sum(0)])
 
-        for i, a in pass_sums(df, stats).items():
+        for i, a in pass_sums(data, stats).items():
             f = fits[i]
             k, dim = f.centers.shape
             counts, sums = a[:k], a[k:k + k * dim].reshape(k, dim)
@@ -136,12 +151,18 @@ def best_fits(fits: list[Fit]) -> dict[tuple[int, int], Fit]:
 
 
 def kmeans(df: DataFrame, sid: str, ks: Iterable[int], seed: int, n_init: int = 10) -> dict[tuple[int, int], Fit]:
-    """Best of ``n_init`` k-means fits per (group, k)."""
+    """Best of ``n_init`` k-means fits per (group, k).
+
+    Every start first converges on the seed sample; the passes over all rows begin there, so they
+    are few.
+    """
+    return best_fits(lloyd(df, _starts(seed_rows(df, sid, seed), ks, seed, n_init)))
+
+
+def _starts(seeds: dict[int, np.ndarray], ks: Iterable[int], seed: int, n_init: int) -> list[Fit]:
     rng = np.random.default_rng(seed)
-    seeds = seed_rows(df, sid, seed)
-    fits = [Fit(g, k, plus_plus(x, k, rng)) for g, x in sorted(seeds.items()) for k in ks if k <= len(x)
-            for _ in range(n_init)]
-    return best_fits(lloyd(df, fits))
+    return lloyd(seeds, [Fit(g, k, plus_plus(x, k, rng)) for g, x in sorted(seeds.items()) for k in ks
+                         if k <= len(x) for _ in range(n_init)])
 
 
 def _log_density(x, mean, cov, dof):
@@ -160,52 +181,42 @@ def log_joint(x: np.ndarray, f: Fit, dof: float | None) -> tuple[np.ndarray, np.
     return (np.stack([p for p, _ in parts], 1) + np.log(f.weights)[None, :], np.stack([u for _, u in parts], 1))
 
 
-def mixture(df: DataFrame, sid: str, ks: Iterable[int], seed: int, dof: float | None = None, n_init: int = 1,
-            max_iter: int = 100, tol: float | None = None, eps: float = 1e-6) -> dict[tuple[int, int], Fit]:
-    """Gaussian (``dof`` None) or fixed-dof Student-t mixtures by EM from k-means starts.
-
-    Student-t: the log-likelihood change relative to its size stops the loop; Gaussian: the change
-    per row does. The weighted moments of one pass give means, covariances and weights exactly.
-    """
-    rng = np.random.default_rng(seed)
-    starts = []
-    if n_init == 1:
-        starts = list(kmeans(df, sid, ks, seed).values())
-    else:
-        seeds = seed_rows(df, sid, seed)
-        starts = lloyd(df, [Fit(g, k, plus_plus(x, k, rng)) for g, x in sorted(seeds.items()) for k in ks
-                            if k <= len(x) for _ in range(n_init)])
-    fits = [Fit(f.g, f.k, f.centers.copy()) for f in starts]
+def _hard_moments(data, fits: list[Fit], eps: float) -> None:
+    """Covariances and weights of the nearest-center partition."""
     table: dict[int, list[int]] = {}
     for i, f in enumerate(fits):
         table.setdefault(f.g, []).append(i)
 
-    def hard(pdf):
-        for g, x in by_group(pdf):
+    def hard(groups):
+        for g, x in groups:
             for i in table.get(g, ()):
                 near = sq_dist(x, fits[i].centers).argmin(1)
-                for j in range(fits[i].k):
-                    m = x[near == j]
-                    yield i * 1000 + j, np.concatenate([[len(m)], m.sum(0), (m.T @ m).ravel()])
+                yield i, np.concatenate([np.concatenate([[len(m)], m.sum(0), (m.T @ m).ravel()])
+                                         for m in (x[near == j] for j in range(fits[i].k))])
 
-    moments = pass_sums(df, hard)
-    for i, f in enumerate(fits):
+    for i, a in pass_sums(data, hard).items():
+        f = fits[i]
         d = f.centers.shape[1]
-        f.covs, w = np.empty((f.k, d, d)), np.empty(f.k)
-        total = sum(moments[i * 1000 + j][0] for j in range(f.k))
-        for j in range(f.k):
-            a = moments[i * 1000 + j]
-            n, s, ss = a[0], a[1:1 + d], a[1 + d:].reshape(d, d)
-            f.covs[j] = (ss - np.outer(s, s) / n) / (n - 1) + eps * np.eye(d) if n > d else np.eye(d)
-            w[j] = max(n / total, 1e-3)
+        a = a.reshape(f.k, 1 + d + d * d)
+        f.covs = np.empty((f.k, d, d))
+        for j, row in enumerate(a):
+            n, m, ss = row[0], row[1:1 + d], row[1 + d:].reshape(d, d)
+            f.covs[j] = (ss - np.outer(m, m) / n) / (n - 1) + eps * np.eye(d) if n > d else np.eye(d)
+        w = np.maximum(a[:, 0] / a[:, 0].sum(), 1e-3)
         f.weights = w / w.sum()
+
+
+def _em(data, fits: list[Fit], dof: float | None, max_iter: int, tol: float, eps: float) -> None:
+    """EM passes until every fit's log-likelihood settles; one pass gives all weighted moments."""
     open_ids = set(range(len(fits)))
     prev = dict.fromkeys(open_ids, -np.inf)
     for _ in range(max_iter):
-        live = {g: [i for i in ids if i in open_ids] for g, ids in table.items()}
+        live: dict[int, list[int]] = {}
+        for i in open_ids:
+            live.setdefault(fits[i].g, []).append(i)
 
-        def soft(pdf, live=live):
-            for g, x in by_group(pdf):
+        def soft(groups, live=live):
+            for g, x in groups:
                 for i in live.get(g, ()):
                     f = fits[i]
                     lj, u = log_joint(x, f, dof)
@@ -217,7 +228,7 @@ def mixture(df: DataFrame, sid: str, ks: Iterable[int], seed: int, dof: float |
                     out += [(x.T @ (ru[:, [j]] * x)).ravel() for j in range(f.k)]
                     yield i, np.concatenate(out)
 
-        for i, a in pass_sums(df, soft).items():
+        for i, a in pass_sums(data, soft).items():
             f = fits[i]
             k, d = f.centers.shape
             ll, n = a[0], a[1]
@@ -226,22 +237,40 @@ def mixture(df: DataFrame, sid: str, ks: Iterable[int], seed: int, dof: float |
             s2 = a[2 + 2 * k + k * d:].reshape(k, d, d)
             f.score, f.n = -float(ll), n
             f.centers = s1 / np.maximum(s0, 1e-300)[:, None]
-            for j in range(k):
-                m = f.centers[j]
+            for j, m in enumerate(f.centers):
                 f.covs[j] = (s2[j] - s0[j] * np.outer(m, m)) / max(nk[j], 1e-300) + eps * np.eye(d)
             f.weights = np.maximum(nk / n, 1e-300)
-            scale = max(abs(prev[i]), 1.0) if dof is not None else n
-            if abs(ll - prev[i]) < (tol if tol is not None else (1e-4 if dof is not None else 1e-3)) * scale:
-                open_ids.discard(i)
             f.extra.setdefault("ll", []).append(float(ll))
+            if abs(ll - prev[i]) < tol * (max(abs(prev[i]), 1.0) if dof is not None else n):
+                open_ids.discard(i)
             prev[i] = ll
         if not open_ids:
             break
+
+
+def mixture(df: DataFrame, sid: str, ks: Iterable[int], seed: int, dof: float | None = None, n_init: int = 1,
+            max_iter: int = 100, tol: float | None = None, eps: float = 1e-6) -> dict[tuple[int, int], Fit]:
+    """Gaussian (``dof`` None) or fixed-dof Student-t mixtures by EM from k-means starts.
+
+    The log-likelihood change ends the loop: relative to its size for Student-t, per row for
+    Gaussian. As with k-means, EM settles on the seed sample before the passes over all rows.
+    """
+    tol = tol if tol is not None else (1e-4 if dof is not None else 1e-3)
+    seeds = seed_rows(df, sid, seed)
+    starts = _starts(seeds, ks, seed, 10 if n_init == 1 else n_init)
+    if n_init == 1:
+        starts = list(best_fits(starts).values())
+    fits = [Fit(f.g, f.k, f.centers.copy()) for f in starts]
+    _hard_moments(seeds, fits, eps)
+    _em(seeds, fits, dof, max_iter, tol, eps)
+    for f in fits:
+        f.extra.clear()
+    _em(df, fits, dof, max_iter, tol, eps)
     return best_fits(fits)
 
 
-def assign(df: DataFrame, fits: dict[int, Fit], out: str = "label", dof: float | None = None) -> DataFrame:
-    """Label every row with its nearest center, or its most likely component for a mixture."""
+def label_column(fits: dict[int, Fit], dof: float | None = None) -> Column:
+    """Nearest center, or most likely component for a mixture; -1 in pools without a fit."""
     @F.pandas_udf("int")
     def label(g: pd.Series, x: pd.Series) -> pd.Series:
         res = np.full(len(g), -1, dtype=np.int32)
@@ -254,4 +283,8 @@ def assign(df: DataFrame, fits: dict[int, Fit], out: str = "label", dof: float |
                               else log_joint(xv[m], f, dof)[0].argmax(1))
         return pd.Series(res)
 
-    return df.withColumn(out, label("g", "x"))
+    return label("g", "x")
+
+
+def assign(df: DataFrame, fits: dict[int, Fit], out: str = "label", dof: float | None = None) -> DataFrame:
+    return df.withColumn(out, label_column(fits, dof))

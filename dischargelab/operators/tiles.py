@@ -23,12 +23,16 @@ def _blocks(df: DataFrame, sid: str, block: int) -> DataFrame:
     return df.join(n, "g").withColumn("_b", F.pmod(F.xxhash64(sid), F.col("_nb")))
 
 
-def _tiles(df: DataFrame, sid: str, block: int) -> tuple[DataFrame, DataFrame]:
+def _tiles(df: DataFrame, sid: str, block: int):
+    """Rows grouped by tile (g, row block, column block); ``_left`` marks the row side."""
     rows = _blocks(df, sid, block)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))
-    left = rows.withColumn("_c", other).withColumnRenamed("_b", "_r").drop("_nb")
-    right = rows.withColumn("_r", other).withColumnRenamed("_b", "_c").drop("_nb")
-    return left, right
+    every = F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)
+    sides = F.concat(
+        F.transform(every, lambda o: F.struct(F.lit(True).alias("left"), F.col("_b").alias("r"), o.alias("c"))),
+        F.transform(every, lambda o: F.struct(F.lit(False).alias("left"), o.alias("r"), F.col("_b").alias("c"))))
+    out = rows.withColumn("_t", F.explode(sides))
+    out = out.select(*df.columns, F.col("_t.left").alias("_left"), F.col("_t.r").alias("_r"), F.col("_t.c").alias("_c"))
+    return out.groupBy("g", "_r", "_c")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,16 +50,17 @@ def silhouette(df: DataFrame, sid: str, n_labelings: int = 1, block: int = BLOCK
     A singleton scores 0; fewer than two populated clusters give no row.
     """
     rows = df.select("g", F.col(sid).cast("long").alias("sid"), "x", F.col("labels").cast("array<int>").alias("labels"))
-    left, right = _tiles(rows, "sid", block)
+    wide = int(df.select(F.max(F.array_max("labels"))).first()[0] or 0) + 1
 
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["_left"]], pdf[~pdf["_left"]]
         if not len(a) or not len(b):
-            return pd.DataFrame({"g": [], "sid": [], "labeling": [], "own": [], "sums": []})
+            return pd.DataFrame({"g": [], "sid": [], "labeling": [], "own": [], "sums": pd.Series([], dtype=object)})
         d = distances(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()))
         la, lb = np.stack(a["labels"].to_numpy()), np.stack(b["labels"].to_numpy())
         parts = []
         for s in range(n_labelings):
-            one = np.zeros((len(b), WIDE))
+            one = np.zeros((len(b), wide))
             ok = lb[:, s] >= 0
             one[np.flatnonzero(ok), lb[ok, s]] = 1.0
             sums = np.concatenate([d @ one, np.repeat(one.sum(0)[None, :], len(a), 0)], 1)
@@ -63,12 +68,11 @@ def silhouette(df: DataFrame, sid: str, n_labelings: int = 1, block: int = BLOCK
         out = pd.concat(parts)
         return out[out["own"] >= 0]
 
-    WIDE = int(df.select(F.max(F.array_max("labels"))).first()[0] or 0) + 1
-    sums = left.groupBy("g", "_r", "_c").cogroup(right.groupBy("g", "_r", "_c")).applyInPandas(
+    sums = _tiles(rows, "sid", block).applyInPandas(
         tile, "g int, sid long, labeling int, own int, sums array<double>")
     total = sums.withColumn("_v", array_to_vector("sums")).groupBy("g", "labeling", "sid", "own").agg(
         vector_to_array(Summarizer.sum(F.col("_v"))).alias("s"))
-    dist, cnt = F.slice("s", 1, WIDE), F.slice("s", WIDE + 1, WIDE)
+    dist, cnt = F.slice("s", 1, wide), F.slice("s", wide + 1, wide)
     means = F.zip_with(dist, cnt, lambda d, c: F.when(c > 0, d / c))
     other = F.array_min(F.filter(F.transform(means, lambda m, j: F.when(j != F.col("own"), m)), lambda m: m.isNotNull()))
     own_n = F.get(cnt, F.col("own"))
@@ -83,9 +87,8 @@ def silhouette(df: DataFrame, sid: str, n_labelings: int = 1, block: int = BLOCK
 def nearest(df: DataFrame, sid: str, k: int, block: int = BLOCK) -> DataFrame:
     """(g, sid, rank, other, dist): the k nearest other rows of the same group, ranks from 1."""
     rows = df.select("g", F.col(sid).cast("long").alias("sid"), "x")
-    left, right = _tiles(rows, "sid", block)
-
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["_left"]], pdf[~pdf["_left"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"g": [], "sid": [], "other": [], "dist": []})
         d = distances(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()))
@@ -96,7 +99,7 @@ def nearest(df: DataFrame, sid: str, k: int, block: int = BLOCK) -> DataFrame:
                             "other": ib[best].ravel(), "dist": np.take_along_axis(d, best, 1).ravel()})
         return out[np.isfinite(out["dist"])]
 
-    cand = left.groupBy("g", "_r", "_c").cogroup(right.groupBy("g", "_r", "_c")).applyInPandas(
+    cand = _tiles(rows, "sid", block).applyInPandas(
         tile, "g int, sid long, other long, dist double")
     w = Window.partitionBy("g", "sid").orderBy("dist", "other")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -113,7 +113,7 @@ b AS (SELECT att.run_id, c, label, avg(v) AS m FROM att JOIN tr ON tr.run_id = a
 w AS (SELECT b.run_id, b.label, c, tr.i - c + 8 AS p, v - m AS v FROM b JOIN tr ON tr.run_id = b.run_id AND tr.i >= c - 8 AND tr.i < c + 8)"""
 
 
-@query("reaverage", f"WITH {TRACE}, {REAV} SELECT run_id, label, count(*) AS n, p, {rnd('avg(v)')} AS v FROM w GROUP BY run_id, label, p")
+@query("reaverage", f"WITH {TRACE}, {REAV} SELECT run_id, label, count(*) AS n, p, {rnd('avg(v)', 9)} AS v FROM w GROUP BY run_id, label, p", digits=9)
 def reaverage(spark, d):
     tr = trace(spark, d)
     at = tr.select("run_id", (F.col("i") / FS_TRACE).alias("t"), (F.col("i") % 4).alias("label"))
