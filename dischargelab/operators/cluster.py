@@ -168,11 +168,11 @@ def cluster_hdbscan(df: DataFrame, min_cluster_size: int = 5, min_samples: int |
 # --- firing-regularity refinement ----------------------------------------------------------------
 
 def regularity_costs(spikes: DataFrame, keys: list[str], labels: list[int], weight: float, window_s: float,
-                     x: str = "x") -> DataFrame:
+                     x: str = "x", slot_windows: int = 64) -> DataFrame:
     """(spike, c, cost): distance to the centroid plus weighted departure from the local rate.
 
-    The rate part needs a spike's neighbourhood only, so each task sees one window-wide time slice
-    of one run with a window-wide halo.
+    The rate part needs a spike's neighbourhood only, so each task sees a slice of ``slot_windows``
+    windows of one run, with a halo of one window on either side.
     """
     base = spikes.select(*keys, SID, "t", "label", x)
     cen = base.groupBy(*keys, "label").agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("_m"))
@@ -182,9 +182,10 @@ def regularity_costs(spikes: DataFrame, keys: list[str], labels: list[int], weig
         cen.withColumnRenamed("label", "c"), keys + ["c"], "left").select(*keys, "c", F.coalesce("_m", "_all").alias("_m"))
     centers = cand.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "_m"))).alias("_cm"))
 
-    slot = F.floor(F.col("t") / window_s)
-    halo = base.select(*keys, SID, "t", "label").withColumn("_s", F.explode(F.sequence(slot - 1, slot + 1)))
-    halo = halo.withColumn("_own", F.col("_s") == F.floor(F.col("t") / window_s))
+    width, reach = window_s * slot_windows, window_s * (1 + 1e-6)
+    slots = F.sequence(F.floor((F.col("t") - reach) / width), F.floor((F.col("t") + reach) / width))
+    halo = base.select(*keys, SID, "t", "label").withColumn("_s", F.explode(slots))
+    halo = halo.withColumn("_own", F.col("_s") == F.floor(F.col("t") / width))
     schema = T.StructType([spikes.schema[k] for k in keys] + [
         spikes.schema[SID], T.StructField("temporal", T.ArrayType(T.DoubleType()))])
 
@@ -192,17 +193,20 @@ def regularity_costs(spikes: DataFrame, keys: list[str], labels: list[int], weig
         pdf = pdf.sort_values(["t", SID])
         own = pdf[pdf["_own"]]
         out = np.zeros((len(own), len(labels)))
+        ts, lab = own["t"].to_numpy(), own["label"].to_numpy()
         for n, c in enumerate(labels):
             tc = pdf.loc[pdf["label"] == c, "t"].to_numpy()
-            for r, (t, lab) in enumerate(zip(own["t"].to_numpy(), own["label"].to_numpy())):
-                lo, hi = np.searchsorted(tc, [t - window_s * 1.000001, t + window_s * 1.000001])
-                near = tc[lo:hi]
-                if lab == c and len(near):
+            lo, hi = np.searchsorted(tc, ts - reach), np.searchsorted(tc, ts + reach)
+            for r in np.flatnonzero(hi - lo >= 2):
+                t, near = ts[r], tc[lo[r]:hi[r]]
+                if lab[r] == c:
                     near = np.delete(near, np.searchsorted(near, t))
-                near = near[np.abs(near - t) <= window_s]
+                away = np.abs(near - t)
+                near, away = near[away <= window_s], away[away <= window_s]
                 if len(near) < 2:
                     continue
-                isi, mid = np.abs(near - t).min(), np.median(np.diff(near))
+                isi, gaps = away.min(), np.sort(near[1:] - near[:-1])
+                mid = (gaps[(len(gaps) - 1) // 2] + gaps[len(gaps) // 2]) / 2
                 out[r, n] = abs((1.0 / isi if isi > 0 else 0.0) - (1.0 / mid if mid > 0 else 0.0))
         res = own[[*keys, SID]].copy()
         res["temporal"] = pd.Series(list(out), index=res.index, dtype=object)
