@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dischargelab.functions import arrays as A
@@ -120,34 +120,78 @@ def normality_k2(n: Column, skew: Column, kurt_excess: Column) -> Column:
     return zs * zs + zk * zk
 
 
-def discriminative_coefficients(coefs: DataFrame, sid: str, n_keep: int, clip: float = 1.0,
-                                coef: str = "coef") -> tuple[DataFrame, DataFrame]:
-    """Winsorized coefficients that look least Gaussian across spikes.
+def discriminative_coefficients(coefs: DataFrame, sid: str, n_keep: int, clip: float = 1.0, coef: str = "coef",
+                                keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Winsorized coefficients that look least Gaussian across the spikes of a pool.
 
     Returns (scores, kept): one scored row per coefficient, and one row per spike and kept
     coefficient with its rank. Percentiles and moments are aggregates over (coefficient, value).
     """
-    long = coefs.select(sid, F.posexplode(coef).alias("j", "v"))
+    keys = keys or []
+    at = keys + ["j"]
+    long = coefs.select(*keys, sid, F.posexplode(coef).alias("j", "v"))
     if clip > 0:
-        lim = quantiles(long, ["j"], "v", {"lo": clip / 100.0, "hi": 1 - clip / 100.0})
-        long = long.join(F.broadcast(lim), "j").withColumn(  # one row per coefficient
-            "v", F.greatest(F.least("v", "hi"), "lo")).drop("lo", "hi")
+        lim = quantiles(long, at, "v", {"lo": clip / 100.0, "hi": 1 - clip / 100.0})
+        long = long.join(lim, at).withColumn("v", F.greatest(F.least("v", "hi"), "lo")).drop("lo", "hi")
     n = F.col("_n").cast("double")
-    stats = long.groupBy("j").agg(F.count(F.lit(1)).alias("_n"), F.skewness("v").alias("_s"),
+    stats = long.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), F.skewness("v").alias("_s"),
                                   F.kurtosis("v").alias("_k"), (F.max("v") - F.min("v")).alias("_r"))
-    scored = stats.select("j", F.when(F.col("_r") == 0, 0.0).otherwise(
+    scored = stats.select(*at, F.when(F.col("_r") == 0, 0.0).otherwise(
         normality_k2(n, F.col("_s"), F.col("_k"))).alias("k2"))
-    top = scored.orderBy(F.col("k2").desc(), F.col("j").desc()).limit(n_keep)
-    top = top.groupBy().agg(F.sort_array(F.collect_list(F.struct("k2", "j")), asc=False).alias("_t"))
-    top = top.select(F.posexplode("_t").alias("rank", "_e")).select("rank", F.col("_e.j").alias("j"))
-    return scored, long.join(F.broadcast(top), "j").select(sid, "j", "rank", "v")  # n_keep rows on the right
+    w = Window.partitionBy(*keys).orderBy(F.col("k2").desc(), F.col("j").desc())  # one row per coefficient
+    top = scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n_keep).drop("k2")
+    return scored, long.join(top, at).select(*keys, sid, "j", "rank", "v")
 
 
 def wavelet_features(waves: DataFrame, sid: str, n_keep: int, wavelet: str = "sym2", level: int | None = None,
-                     clip: float = 1.0, x: str = "x", out: str = "shape") -> DataFrame:
-    _, kept = discriminative_coefficients(wavelet_coefficients(waves, wavelet, level, x), sid, n_keep, clip)
-    packed = kept.groupBy(sid).agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("_p"))
-    return waves.join(packed, sid).withColumn(out, F.transform("_p", lambda s: s["v"])).drop("_p")
+                     clip: float = 1.0, x: str = "x", out: str = "shape", keys: list[str] | None = None) -> DataFrame:
+    keys = keys or []
+    _, kept = discriminative_coefficients(wavelet_coefficients(waves, wavelet, level, x), sid, n_keep, clip, keys=keys)
+    packed = kept.groupBy(*keys, sid).agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("_p"))
+    return waves.join(packed, keys + [sid]).withColumn(out, F.transform("_p", lambda s: s["v"])).drop("_p")
+
+
+def pca_by_pool(waves: DataFrame, k: int, x: str = "x", out: str = "shape", pool: str = "g") -> DataFrame:
+    """Principal-component scores fitted per pool, any number of pools at once.
+
+    Counts, sums and outer-product sums are added per pool on the executors; the axes of a pool are
+    solved from its one row of moments and joined back.
+    """
+    rows = waves.select(pool, x)
+
+    def moments(batches):
+        acc: dict = {}
+        for pdf in batches:
+            for g, part in pdf.groupby(pool):
+                m = np.stack(part[x].to_numpy())
+                a = np.concatenate([[len(m)], m.sum(0), (m.T @ m).ravel()])
+                acc[g] = acc[g] + a if g in acc else a
+        yield pd.DataFrame({pool: list(acc), "a": list(acc.values())})
+
+    kind = waves.schema[pool].dataType.simpleString()
+    total = rows.mapInPandas(moments, f"{pool} {kind}, a array<double>").withColumn("a", array_to_vector("a")).groupBy(pool).agg(
+        vector_to_array(Summarizer.sum(F.col("a"))).alias("_a"))
+
+    @F.pandas_udf("array<double>")
+    def axes(col: pd.Series) -> pd.Series:
+        res = []
+        for a in col:
+            a = np.asarray(a)
+            d = int(round((-1 + np.sqrt(4 * len(a) - 3)) / 2))
+            n, s, ss = a[0], a[1:1 + d], a[1 + d:].reshape(d, d)
+            _, vec = np.linalg.eigh(ss - np.outer(s, s) / n)
+            w = vec[:, ::-1][:, :min(k, d, int(n))]
+            w = w * np.where(w[np.abs(w).argmax(0), np.arange(w.shape[1])] < 0, -1.0, 1.0)
+            res.append(np.concatenate([s / n, w.ravel()]))
+        return pd.Series(res)
+
+    @F.pandas_udf("array<double>")
+    def project(v: pd.Series, ax: pd.Series) -> pd.Series:
+        return pd.Series([(np.asarray(r) - a[:len(r)]) @ a[len(r):].reshape(len(r), -1)
+                          for r, a in zip(v, map(np.asarray, ax))])
+
+    fitted = total.select(pool, axes("_a").alias("_ax"))
+    return waves.join(fitted, pool).withColumn(out, project(x, "_ax")).drop("_ax")
 
 
 # --- assembly -----------------------------------------------------------------------------------
