@@ -175,7 +175,7 @@ def score(spikes: DataFrame, truth: DataFrame, keys: list[str], tol_s: float) ->
     true = truth.groupBy(*keys).agg(F.countDistinct("unit").alias("n_types_true"))
     return n.join(summ, keys, "left").join(true, keys, "left").select(
         *keys, "n_detected", F.coalesce("n_types", F.lit(0)).alias("n_types_est"), "n_types_true",
-        F.coalesce("n_recovered", F.lit(0)).alias("n_true_recovered"), F.round("mean_purity", 3).alias("mean_type_purity"), "n_dropped")
+        F.coalesce("n_recovered", F.lit(0)).alias("n_true_recovered"), F.col("mean_purity").alias("mean_type_purity"), "n_dropped")
 
 
 def sweep_and_score(traces: DataFrame, truth: DataFrame, fs: float, tol_s: float = 0.003, features=("tsne", "pca", "wavelet"),
