@@ -18,7 +18,7 @@ from dischargelab.functions.graphs import hdbscan, potts_labels
 from dischargelab.operators import fits as FT
 from dischargelab.operators.sampling import hash_sample
 from dischargelab.operators.tiles import nearest, silhouette
-from dischargelab.session import materialize
+from dischargelab.session import attach, group_bound, largest_group, materialize
 
 SID = "spike_id"
 SINGLE_TASK_ROWS = 50_000  # largest pool the sequential algorithms accept
@@ -30,7 +30,7 @@ def with_pool(df: DataFrame, keys: list[str], x: str = "features") -> DataFrame:
         return df.withColumn("g", F.lit(0)).withColumn("x", F.col(x))
     w = Window.orderBy(*keys)
     pools = df.select(*keys).distinct().withColumn("g", (F.row_number().over(w) - 1).cast("int"))
-    return df.join(pools, keys).withColumn("x", F.col(x))
+    return attach(df, pools, keys).withColumn("x", F.col(x))
 
 
 def _fit(df: DataFrame, ks, seed: int, method: str, dof: float, max_iter: int):
@@ -104,7 +104,7 @@ def knn_graph(df: DataFrame, k: int, sid: str = SID) -> DataFrame:
     kth = near.groupBy("g", "sid").agg(F.max("dist").alias("d")).groupBy("g").agg(F.avg("d").alias("s"))
     kth = kth.withColumn("s", F.greatest("s", F.lit(1e-9)))
     w = F.exp(-F.col("dist") * F.col("dist") / (F.col("s") * F.col("s") * 2.0))
-    return (near.join(kth, "g").select("g", F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"),
+    return (attach(near, kth, ["g"]).select("g", F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"),
                                        w.alias("w")).groupBy("g", "a", "b").agg(F.max("w").alias("weight")))
 
 
@@ -140,7 +140,7 @@ def cluster_spc(df: DataFrame, seed: int, n_neighbors: int = 10, q_states: int =
     runs = materialize(graph.groupBy("g", "ti").applyInPandas(anneal, schema))
     n = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     floor = F.greatest(F.lit(2), F.rint(F.col("n") * min_frac).cast("int"))
-    sizes = runs.groupBy("g", "ti", "label").agg(F.count(F.lit(1)).alias("size")).join(n, "g").withColumn("_min", floor)
+    sizes = attach(runs.groupBy("g", "ti", "label").agg(F.count(F.lit(1)).alias("size")), n, ["g"]).withColumn("_min", floor)
     w = Window.partitionBy("g", "ti").orderBy(F.col("size").desc(), "label")
     second = sizes.withColumn("_r", F.row_number().over(w)).where("_r = 2 and size >= _min")
     last = F.lit(n_temps - 1)
@@ -182,10 +182,16 @@ def regularity_costs(spikes: DataFrame, keys: list[str], labels: list[int], weig
         cen.withColumnRenamed("label", "c"), keys + ["c"], "left").select(*keys, "c", F.coalesce("_m", "_all").alias("_m"))
     centers = cand.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "_m"))).alias("_cm"))
 
-    width, reach = window_s * slot_windows, window_s * (1 + 1e-6)
+    one = base.withColumn("_s", F.floor(F.col("t") / window_s))
+    dense, bound = largest_group(one, keys + ["_s"]), group_bound(spikes.sparkSession)
+    width = window_s * max(1, min(slot_windows, bound // max(dense, 1)))
+    salts, reach = -(-dense // bound), window_s * (1 + 1e-6)
     slots = F.sequence(F.floor((F.col("t") - reach) / width), F.floor((F.col("t") + reach) / width))
     halo = base.select(*keys, SID, "t", "label").withColumn("_s", F.explode(slots))
-    halo = halo.withColumn("_own", F.col("_s") == F.floor(F.col("t") / width))
+    # Where even one window is overfull, several tasks share its own spikes.
+    halo = halo.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(max(salts, 1) - 1))))
+    halo = halo.withColumn("_own", (F.col("_s") == F.floor(F.col("t") / width))
+                           & (F.pmod(F.xxhash64(SID), F.lit(max(salts, 1))) == F.col("_p")))
     schema = T.StructType([spikes.schema[k] for k in keys] + [
         spikes.schema[SID], T.StructField("temporal", T.ArrayType(T.DoubleType()))])
 
@@ -212,9 +218,9 @@ def regularity_costs(spikes: DataFrame, keys: list[str], labels: list[int], weig
         res["temporal"] = pd.Series(list(out), index=res.index, dtype=object)
         return res
 
-    temporal = halo.groupBy(*keys, "_s").applyInPandas(rates, schema)
+    temporal = halo.groupBy(*keys, "_s", "_p").applyInPandas(rates, schema)
     # `labels` is closed over, so position n of `temporal` is labels[n].
-    rows = base.join(centers, keys).join(temporal, keys + [SID])
+    rows = attach(base, centers, keys).join(temporal, keys + [SID])
     flat = rows.select(*keys, SID, "t", "label", x, "_cm", F.posexplode("temporal").alias("_n", "temporal"))
     flat = flat.withColumn("c", F.get(F.array(*[F.lit(c) for c in labels]), F.col("_n")))
     dist = A.l2(F.col(x), F.col("_cm")[F.col("c")])
@@ -235,7 +241,7 @@ def regularity_refine(spikes: DataFrame, keys: list[str], weight: float = 0.2, w
         pick = materialize(costs.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
             *keys, SID, F.col("c").cast("int").alias("_new"), "cost"))
         total = pick.groupBy(*keys).agg(F.sum("cost").alias("_tot"))
-        step = pick.join(total, keys).drop("cost")
+        step = attach(pick, total, keys).drop("cost")
         if best is None:
             best = step
         else:

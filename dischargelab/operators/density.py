@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dischargelab.session import attach
+
 
 def kde_2d(points: DataFrame, key: str, x: str, y: str, n_grid: int, weight: str | None = None, pad: float = 0.2) -> DataFrame:
     """(key, gx, gy, x, y, density): Gaussian kernel density per key on its own padded grid.
@@ -26,7 +28,7 @@ def kde_2d(points: DataFrame, key: str, x: str, y: str, n_grid: int, weight: str
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     sums = sums.where("n >= 3 and x1 > x0 and y1 > y0")
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    cov = rows.join(sums, "k").groupBy("k").agg(
+    cov = attach(rows, sums, ["k"]).groupBy("k").agg(
         F.sum(F.col("w") * dx * dx).alias("cxx"), F.sum(F.col("w") * dx * dy).alias("cxy"), F.sum(F.col("w") * dy * dy).alias("cyy"))
     spec = {}
     for r in sums.join(cov, "k").collect():  # one row per key
@@ -135,7 +137,7 @@ def curated_keep(types: DataFrame, keep: DataFrame, subject: str = "subject", ty
     """Types on their subject's keep list; a subject without a list keeps all its types."""
     listed = keep.select(subject).distinct().withColumn("_has", F.lit(True))
     wanted = keep.select(subject, type_idx).distinct().withColumn("_ok", F.lit(True))
-    rows = types.join(listed, subject, "left").join(wanted, [subject, type_idx], "left")
+    rows = attach(attach(types, listed, [subject], "left"), wanted, [subject, type_idx], "left")
     return rows.where(F.col("_has").isNull() | F.col("_ok").isNotNull()).drop("_has", "_ok")
 
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from dischargelab.functions import arrays as A
 from dischargelab.operators.ordered import quantiles
+from dischargelab.session import attach
 
 
 # --- principal components -----------------------------------------------------------------------
 
 def _centre(waves: DataFrame, x: str) -> DataFrame:
     mean = waves.select(Summarizer.mean(array_to_vector(x)).alias("_m")).select(vector_to_array("_m").alias("_m"))
-    return waves.crossJoin(F.broadcast(mean)).withColumn(  # one row on the right
+    return attach(waves, mean, []).withColumn(
         "_v", array_to_vector(A.minus(x, "_m"))).drop("_m")
 
 
@@ -132,7 +133,7 @@ def discriminative_coefficients(coefs: DataFrame, sid: str, n_keep: int, clip: f
     long = coefs.select(*keys, sid, F.posexplode(coef).alias("j", "v"))
     if clip > 0:
         lim = quantiles(long, at, "v", {"lo": clip / 100.0, "hi": 1 - clip / 100.0})
-        long = long.join(lim, at).withColumn("v", F.greatest(F.least("v", "hi"), "lo")).drop("lo", "hi")
+        long = attach(long, lim, at).withColumn("v", F.greatest(F.least("v", "hi"), "lo")).drop("lo", "hi")
     n = F.col("_n").cast("double")
     stats = long.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), F.skewness("v").alias("_s"),
                                   F.kurtosis("v").alias("_k"), (F.max("v") - F.min("v")).alias("_r"))
@@ -140,7 +141,7 @@ def discriminative_coefficients(coefs: DataFrame, sid: str, n_keep: int, clip: f
         normality_k2(n, F.col("_s"), F.col("_k"))).alias("k2"))
     w = Window.partitionBy(*keys).orderBy(F.col("k2").desc(), F.col("j").desc())  # one row per coefficient
     top = scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n_keep).drop("k2")
-    return scored, long.join(top, at).select(*keys, sid, "j", "rank", "v")
+    return scored, attach(long, top, at).select(*keys, sid, "j", "rank", "v")
 
 
 def wavelet_features(waves: DataFrame, sid: str, n_keep: int, wavelet: str = "sym2", level: int | None = None,
@@ -191,7 +192,7 @@ def pca_by_pool(waves: DataFrame, k: int, x: str = "x", out: str = "shape", pool
                           for r, a in zip(v, map(np.asarray, ax))])
 
     fitted = total.select(pool, axes("_a").alias("_ax"))
-    return waves.join(fitted, pool).withColumn(out, project(x, "_ax")).drop("_ax")
+    return attach(waves, fitted, [pool]).withColumn(out, project(x, "_ax")).drop("_ax")
 
 
 # --- assembly -----------------------------------------------------------------------------------
@@ -206,7 +207,7 @@ def assemble(df: DataFrame, n_shape: int, amp_dur_weight: float = 0.0, polarity_
     rows = df.select("*", *[c.cast("double").alias(n) for n, c in zip(names, raw)])
     agg = [F.avg(n).alias(f"_m{n}") for n in names] + [F.stddev_pop(n).alias(f"_s{n}") for n in names]
     stats = rows.groupBy(*keys).agg(*agg)
-    rows = rows.join(stats, keys) if keys else rows.crossJoin(F.broadcast(stats))  # one row on the right
+    rows = attach(rows, stats, keys)
     weight = [1.0] * n_shape + [amp_dur_weight, amp_dur_weight, polarity_weight]
     # A constant column has a standard deviation of rounding size only.
     z = [F.when(F.col(f"_s{n}") > F.abs(F.col(f"_m{n}")) * 1e-14, (F.col(n) - F.col(f"_m{n}")) / F.col(f"_s{n}"))

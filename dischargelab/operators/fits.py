@@ -21,6 +21,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dischargelab.session import attach
+
 SEED_ROWS = 2000  # rows per group that seed the initial centers
 
 
@@ -69,7 +71,7 @@ def seed_rows(df: DataFrame, sid: str, seed: int, per_group: int = SEED_ROWS) ->
     h = F.xxhash64(F.col(sid), F.lit(seed))
     # A hash cut first, so the ranking window sees a bounded expected number of rows per group.
     n = df.groupBy("g").count()
-    cut = df.join(n, "g").withColumn("_h", h).where(
+    cut = attach(df, n, ["g"]).withColumn("_h", h).where(
         F.pmod(F.col("_h"), F.lit(1 << 30)) < F.ceil(F.lit(4.0 * per_group * (1 << 30)) / F.col("count")))
     w = Window.partitionBy("g").orderBy("_h", sid)
     rows = cut.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_group).select("g", "_r", "x").collect()

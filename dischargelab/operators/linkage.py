@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from dischargelab.operators.ordered import neighbours, quantiles
 from dischargelab.operators.trains import min_isi
-from dischargelab.session import groups_bounded, materialize
+from dischargelab.session import attach, groups_bounded, materialize
 
 LABELS_PER_PASS = 64
 SMALL_GRAPH = 10_000
@@ -123,7 +123,7 @@ def _propagate(links: DataFrame, keys: list[str]) -> DataFrame:
 def relabel_groups(spikes: DataFrame, groups: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
     """Give every member of a group the smallest label of the group. No spike is dropped."""
     g = groups.select(*keys, F.col("type").alias(label), F.col("group").alias("_g"))
-    return spikes.join(g, keys + [label], "left").withColumn(
+    return attach(spikes, g, keys + [label], "left").withColumn(
         label, F.coalesce("_g", label)).select(*spikes.columns)
 
 

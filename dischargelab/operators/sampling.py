@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dischargelab.session import attach
+
 SPACE = 1 << 32
 
 
@@ -20,7 +22,7 @@ def hash_sample(df: DataFrame, keys: list[str], sid: str, n: int, seed: int) ->
     slack = 2.0
     while True:
         limit = F.ceil(F.lit(slack * (n + 50) * SPACE) / F.col("_cnt"))
-        near = (rows.join(size, keys) if keys else rows.crossJoin(F.broadcast(size))).where(F.col("_h") < limit)
+        near = attach(rows, size, keys).where(F.col("_h") < limit)
         got = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"))
         short = (size.join(got, keys, "left") if keys else size.crossJoin(got)).where(
             F.coalesce("_got", F.lit(0)) < F.least(F.col("_cnt"), F.lit(n)))

@@ -18,7 +18,7 @@ from dischargelab.operators.blocks import BLK, OWN, block_window, chunks, with_h
 from dischargelab.operators.ordered import neighbours, quantiles
 from dischargelab.operators.templates import templates
 from dischargelab.operators.trains import min_isi
-from dischargelab.session import materialize
+from dischargelab.session import attach, materialize
 
 BLOCK = 4096
 FILTER_BLOCK = 1 << 17
@@ -36,7 +36,7 @@ def _filter(trace: DataFrame, keys: list[str], fs: float, kind: str, low: float,
     settle = design(kind, float(low), None if high is None else float(high), float(fs))[4]
     size = size or max(FILTER_BLOCK, 8 * settle)
     ends = trace.groupBy(*keys).agg(F.max("i").alias("_last"))
-    spread = with_halo(trace.select(*keys, "i", F.col("v").cast("double").alias("v")), size, settle, settle).join(ends, keys)
+    spread = attach(with_halo(trace.select(*keys, "i", F.col("v").cast("double").alias("v")), size, settle, settle), ends, keys)
     schema = T.StructType([trace.schema[k] for k in keys] + [
         T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType())])
 
@@ -108,7 +108,7 @@ def envelope_peaks(env: DataFrame, thresholds: DataFrame, keys: list[str], dista
 
     Of equally high peaks the later one is visited first.
     """
-    high = local_maxima(env, keys, size).join(thresholds.select(*keys, "threshold"), keys).where("v >= threshold")
+    high = attach(local_maxima(env, keys, size), thresholds.select(*keys, "threshold"), keys).where("v >= threshold")
     high = high.select(*keys, "i", "v", (-F.col("i").cast("double")).alias("_t"))
     kept = min_isi(high, keys, float(distance), t="_t", amp="v", sid="i")
     return kept.where("keep").select(*keys, "i", "v")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dischargelab.operators.ordered import running_sum
 from dischargelab.operators.sampling import hash_sample
+from dischargelab.session import attach
 
 CHUNK = 1024
 NOISE_BLOCK = 1 << 16
@@ -78,7 +79,7 @@ def colored_noise(spark: SparkSession, runs: dict[str, int], beta: float, seed:
     width = max(1, min(spark.sparkContext.defaultParallelism * 4, sum(-(-n // NOISE_BLOCK) for n in runs.values())))
     raw = blocks.repartition(width, "run_id", "b").mapInPandas(shape, "run_id string, i long, v double")
     sd_run = raw.groupBy("run_id").agg(F.stddev_pop("v").alias("_s"))
-    return raw.join(sd_run, "run_id").select("run_id", "i", (F.col("v") / F.col("_s")).alias("v"))
+    return attach(raw, sd_run, ["run_id"]).select("run_id", "i", (F.col("v") / F.col("_s")).alias("v"))
 
 
 def superpose(spikes: DataFrame, templates: DataFrame, keys: list[str], unit: list[str], fs: float, n_samples: int,
@@ -89,7 +90,7 @@ def superpose(spikes: DataFrame, templates: DataFrame, keys: list[str], unit: li
     map-side first, so dense stretches do not pile up in one task.
     """
     half = F.floor(F.size(x) / 2)
-    rows = spikes.join(templates.select(*unit, x), unit)
+    rows = attach(spikes, templates.select(*unit, x), unit)
     first = F.rint(F.col("t") * fs).cast("long") - half
     pos = rows.select(*keys, first.alias("_f"), F.posexplode(x).alias("_p", "_v"))
     pos = pos.select(*keys, (F.col("_f") + F.col("_p")).alias("i"), "_v").where((F.col("i") >= 0) & (F.col("i") < n_samples))
@@ -118,7 +119,7 @@ def build_traces(spark: SparkSession, library: DataFrame, counts: list[int], fs:
     power = clean.groupBy("run_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v")) / n).alias("_rms"))
     noise = colored_noise(spark, {f"n{k}": n for k in counts}, beta, seed).withColumnRenamed("v", "_e")
     gain = F.when(F.col("_rms") > 0, F.col("_rms") / (10 ** (snr_db / 20.0))).otherwise(1.0)
-    trace = noise.join(clean.withColumnRenamed("v", "_c"), ["run_id", "i"], "left").join(power, "run_id", "left").select(
+    trace = attach(noise.join(clean.withColumnRenamed("v", "_c"), ["run_id", "i"], "left"), power, ["run_id"], "left").select(
         "run_id", "i", (F.coalesce("_c", F.lit(0.0)) + F.col("_e") * F.coalesce(gain, F.lit(1.0))).alias("v"))
     size = truth.groupBy("run_id", "entry").agg(F.count(F.lit(1)).alias("n_spikes"))
     manifest = units.join(size, ["run_id", "entry"], "left").select(

@@ -13,7 +13,7 @@ from dischargelab.operators.embedding import embed
 from dischargelab.operators.linkage import components
 from dischargelab.operators.tiles import silhouette
 from dischargelab.operators.trains import relabel_dense
-from dischargelab.session import materialize
+from dischargelab.session import attach, materialize
 
 SID = "spike_id"
 PERPLEXITY, SEED = 30.0, 42
@@ -25,7 +25,7 @@ def two_way(rows: DataFrame, min_rows: int, n_iter: int = 500) -> tuple[DataFram
     Returns (rows with ``sub`` and ``labels``, sizes and silhouette per group).
     """
     n = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    live = rows.join(n.where(F.col("n") >= min_rows), "g").select("g", SID, "x")
+    live = attach(rows, n.where(F.col("n") >= min_rows), ["g"]).select("g", SID, "x")
     emb = materialize(embed(live, 2, PERPLEXITY, SEED, n_iter).select("g", SID, F.col("y").alias("x")))
     fits = FT.kmeans(emb, SID, [2], SEED)
     sub = FT.assign(emb, {g: f for (g, _), f in fits.items()}, "sub")
@@ -169,7 +169,7 @@ def merge_adjacent(waves: DataFrame, points: DataFrame, floor: float = 0.5, n_it
         spark = waves.sparkSession
         comp = components(spark.createDataFrame(merged, "run int, type_a int, type_b int"), ["run"])
         g = comp.select(F.col("type").alias("label"), F.col("group").alias("_g"))
-        waves = waves.join(g, "label", "left").withColumn("label", F.coalesce("_g", "label")).select(*waves.columns)
+        waves = attach(waves, g, ["label"], "left").withColumn("label", F.coalesce("_g", "label")).select(*waves.columns)
     return relabel_dense(waves, []).select(*waves.columns), log
 
 

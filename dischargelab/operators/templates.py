@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dischargelab.functions import arrays as A
 from dischargelab.operators.linkage import components, relabel_groups
-from dischargelab.session import materialize
+from dischargelab.session import attach, materialize
 
 
 def templates(waves: DataFrame, keys: list[str], label: str = "label", x: str = "x") -> DataFrame:
@@ -94,7 +94,7 @@ def choose_threshold(pairs: DataFrame, keys: list[str], explicit: float | None =
 def close_pairs(pairs: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs at or below a positive threshold of their run."""
     t = thresholds.select(*keys, "threshold")
-    rows = pairs.join(t, keys) if keys else pairs.crossJoin(F.broadcast(t))  # one row on the right
+    rows = attach(pairs, t, keys)
     return rows.where((F.col("threshold") > 0) & (F.col("l2") <= F.col("threshold"))).drop("threshold")
 
 
@@ -203,5 +203,5 @@ def drop_superposition(waves: DataFrame, candidates: DataFrame, keys: list[str],
     new = F.when((F.col("_n") < min_types) | (has == 0), F.col(label)).when(F.col("_bad").isNotNull(), F.lit(-1)).otherwise(
         F.row_number().over(w) - 1)
     remap = marks.withColumn("_new", new.cast("int")).select(*keys, label, "_new")
-    rows = waves.join(remap, keys + [label], "left")
+    rows = attach(waves, remap, keys + [label], "left")
     return rows.withColumn(label, F.coalesce("_new", label)).select(*waves.columns)

@@ -14,13 +14,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dischargelab.session import attach
+
 BLOCK = 2048
 
 
 def _blocks(df: DataFrame, sid: str, block: int) -> DataFrame:
     """Rows with group block count ``_nb`` and own block ``_b``; input has ``g``."""
     n = df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("_nb"))
-    return df.join(n, "g").withColumn("_b", F.pmod(F.xxhash64(sid), F.col("_nb")))
+    return attach(df, n, ["g"]).withColumn("_b", F.pmod(F.xxhash64(sid), F.col("_nb")))
 
 
 def _tiles(df: DataFrame, sid: str, block: int):

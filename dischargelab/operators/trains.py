@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from dischargelab.functions.kernels import greedy_spacing
 from dischargelab.operators.ordered import islands, neighbours, quantiles
-from dischargelab.session import group_bound, groups_bounded, materialize
+from dischargelab.session import attach, group_bound, groups_bounded, largest_group, materialize
 
 
+ISLAND_ROWS = 200_000  # longest run of close spikes that is one array
+
 # --- refractory clean-up ------------------------------------------------------------------------
 
 def _greedy_udf(radius: float):
@@ -38,30 +40,33 @@ def min_isi(spikes: DataFrame, keys: list[str], t_min: float, t: str = "t", amp:
     """Add ``keep``: greedy largest-first removal of spikes closer than ``t_min`` within ``keys``.
 
     Runs of spikes whose consecutive gaps stay below ``t_min`` are independent of each other, so
-    each is one array handled by a vectorized function; the array only travels with the hash
-    partitioning the gap window already made. A run too long for one task is solved in time chunks.
+    each is one small array handled by a vectorized function, on top of the hash partitioning the
+    gap window already made. A run too long for one task is solved in time chunks instead. Only
+    time, amplitude and id take part; wider rows get the verdict by id.
     """
-    bounded = groups_bounded(spikes, keys)
-    rows = neighbours(spikes, keys, [t, sid], prev={"_pt": F.col(t)}, bounded=bounded)
+    core = spikes.select(*keys, t, amp, sid)
+    top = largest_group(core, keys)
+    bounded = top <= group_bound(spikes.sparkSession)
+    rows = neighbours(core, keys, [t, sid], prev={"_pt": F.col(t)}, bounded=bounded)
     starts = F.col("_pt").isNull() | (F.col(t) - F.col("_pt") >= F.lit(t_min))
     rows = islands(rows, keys, [t, sid], starts, "_isl", bounded=bounded).drop("_pt")
+    limit = min(ISLAND_ROWS, group_bound(spikes.sparkSession))
     if not bounded:
         rows = materialize(rows)
-        if not groups_bounded(rows, keys + ["_isl"]):
-            return _min_isi_chunked(rows.drop("_isl"), keys, t_min, t, amp, sid)
-    rest = [c for c in spikes.columns if c not in keys]
-    packed = rows.groupBy(*keys, "_isl").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(t).alias("_t"), F.col(sid).alias("_id"),
-                                             F.struct(*rest).alias("row")))).alias("_s"))
-    flagged = packed.withColumn("_k", _greedy_udf(t_min)(
-        F.transform("_s", lambda s: s["_t"].cast("double")),
-        F.transform("_s", lambda s: F.abs(s["row"][amp]).cast("double")),
-        F.transform("_s", lambda s: s["_id"].cast("long"))))
-    return (
-        flagged.select(*keys, F.explode(F.arrays_zip("_s", "_k")).alias("_z"))
-        .select(*keys, "_z._s.row.*", F.col("_z._k").alias("keep"))
-        .select(*spikes.columns, "keep")
-    )
+    if top > limit and not groups_bounded(rows, keys + ["_isl"], limit):
+        flags = _min_isi_chunked(core, keys, t_min, t, amp, sid)
+    else:
+        packed = rows.groupBy(*keys, "_isl").agg(
+            F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(sid).alias("id"), F.col(amp).alias("a")))).alias("_s"))
+        verdict = _greedy_udf(t_min)(F.transform("_s", lambda s: s["t"].cast("double")),
+                                     F.transform("_s", lambda s: F.abs(s["a"]).cast("double")),
+                                     F.transform("_s", lambda s: s["id"].cast("long")))
+        pairs = F.zip_with("_s", "_k", lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+        flags = packed.withColumn("_k", verdict).select(*keys, F.explode(pairs).alias("_z")).select(
+            *keys, F.col("_z.s.t").alias(t), F.col("_z.s.a").alias(amp), F.col("_z.s.id").alias(sid), F.col("_z.k").alias("keep"))
+    if set(spikes.columns) == set(core.columns):
+        return flags.select(*spikes.columns, "keep")
+    return spikes.join(flags.select(*keys, sid, "keep"), keys + [sid]).select(*spikes.columns, "keep")
 
 
 def _min_isi_chunked(spikes: DataFrame, keys: list[str], t_min: float, t: str, amp: str,
@@ -188,10 +193,8 @@ def relabel_dense(spikes: DataFrame, keys: list[str], label: str = "label", out:
     w = Window.partitionBy(*keys).orderBy("_old")
     names = (spikes.select(*keys, F.col(label).alias("_old")).distinct()
              .withColumn("_new", (F.row_number().over(w) - 1).cast("int")))
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col(f"l.{label}") == F.col("r._old")]
-    joined = spikes.alias("l").join(names.alias("r"), on)
-    cols = [F.col(f"l.{c}") for c in spikes.columns if c != out]
-    return joined.select(*cols, F.col("r._new").alias(out))
+    joined = attach(spikes.withColumn("_old", F.col(label)), names, keys + ["_old"])
+    return joined.select(*[c for c in spikes.columns if c != out], F.col("_new").alias(out))
 
 
 def keep_big_types(spikes: DataFrame, keys: list[str], min_spikes: int, label: str = "label",
@@ -200,7 +203,7 @@ def keep_big_types(spikes: DataFrame, keys: list[str], min_spikes: int, label: s
     w = Window.partitionBy(*keys).orderBy(label)
     big = (spikes.groupBy(*keys, label).count().where(F.col("count") >= min_spikes)
            .withColumn("_new", F.row_number().over(w) - 1).drop("count"))
-    rows = spikes.join(big, keys + [label], "left")
+    rows = attach(spikes, big, keys + [label], "left")
     return rows.withColumn(out, F.coalesce("_new", F.lit(-1)).cast("int")).drop("_new").select(
         *[c for c in spikes.columns if c != out], out)
 
@@ -218,7 +221,7 @@ def gaussian_rate(spikes: DataFrame, epochs: DataFrame, keys: list[str], unit: s
     """
     g_max = F.ceil((F.col("b") - F.col("a")) / dt) - 1
     ep = epochs.where(F.col("b") - F.col("a") >= dt).withColumn("_gm", g_max)
-    rows = spikes.select(*keys, unit, t).join(ep, keys).where((F.col(t) >= F.col("a")) & (F.col(t) < F.col("b")))
+    rows = attach(spikes.select(*keys, unit, t), ep, keys).where((F.col(t) >= F.col("a")) & (F.col(t) < F.col("b")))
     x = F.col(t) - F.col("a")
     lo = F.greatest(F.ceil((x - reach * sigma) / dt), F.lit(0))
     hi = F.least(F.floor((x + reach * sigma) / dt), F.col("_gm"))
@@ -234,7 +237,7 @@ def power_vs_rate(rates: DataFrame, amplitudes: DataFrame, keys: list[str], unit
     ``amplitudes`` has ``keys``, ``unit``, ``amp`` and the template fallback ``ptp``.
     """
     a = amplitudes.select(*keys, unit, F.coalesce("amp", "ptp").alias("_a"))
-    return rates.join(a, keys + [unit]).groupBy(*keys, "g").agg(
+    return attach(rates, a, keys + [unit]).groupBy(*keys, "g").agg(
         F.sum("rate").alias("f"), F.sum(F.col("_a") * F.col("rate")).alias("p"))
 
 
@@ -253,6 +256,6 @@ def slope_wedges(points: DataFrame, category: str, rank: Column, floor_hz: float
                                      F.lit(float("inf"))))
     )
     inside = F.when((F.col("_s") >= F.col("lo")) & (F.col("_s") < F.col("hi")), 1.0).otherwise(0.0)
-    return live.join(edges, category).groupBy(category).agg(
+    return attach(live, edges, [category]).groupBy(category).agg(
         F.max("median_slope").alias("median_slope"), F.max("lo").alias("lo"), F.max("hi").alias("hi"),
         F.count(F.lit(1)).alias("n_points"), (F.avg(inside) * 100).alias("pct_own"))

@@ -24,7 +24,7 @@ from dischargelab.operators import templates as TP
 from dischargelab.operators import trains as TR
 from dischargelab.operators.embedding import embed
 from dischargelab.params import BASE, CLINICAL, SIMULATED_FULL, SIMULATED_REDUCED, SortParams
-from dischargelab.session import materialize
+from dischargelab.session import attach, materialize
 from dischargelab.sources.traces import concatenate, through_text
 
 RUN = ["run_id"]
@@ -54,7 +54,7 @@ def detect_waveforms(trace: DataFrame, p: SortParams) -> Sort:
     cut = G.extract_waveforms(measured, found["peaks"], RUN, half, base)
     size = trace.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_samples"))
     runs = size.withColumn("_rn", F.row_number().over(Window.orderBy("run_id")).cast("long"))  # one row per run
-    rows = cut.join(runs.select("run_id", "_rn"), "run_id").join(trace.select("run_id", "i", F.col("v").alias("amp")), ["run_id", "i"])
+    rows = attach(cut, runs.select("run_id", "_rn"), RUN).join(trace.select("run_id", "i", F.col("v").alias("amp")), ["run_id", "i"])
     rows = rows.select("run_id", "i", (F.col("_rn") * (1 << 40) + F.col("i")).alias("spike_id"),
                        (F.col("i") / p.fs + p.start_s).alias("t"), "amp", "x")
     rows = S.dct_highpass(rows, p.dct_filter_n)

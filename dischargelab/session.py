@@ -52,11 +52,32 @@ def group_bound(spark: SparkSession) -> int:
 
 def groups_bounded(df: DataFrame, keys: list[str], bound: int | None = None) -> bool:
     """True when no group of ``keys`` is larger than the bound (one map-side-combined count)."""
-    limit = group_bound(df.sparkSession) if bound is None else bound
-    # Groups cannot be larger than the input, so small inputs are settled by the count alone.
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return top is None or top <= limit
+    return largest_group(df, keys) <= (group_bound(df.sparkSession) if bound is None else bound)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# Largest small side that is broadcast, in rows; it holds one row per run, type or coefficient.
+BROADCAST_ROWS_CONF = "dischargelab.maxBroadcastRows"
+BROADCAST_ROWS_DEFAULT = 20_000
+
+
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a per-key summary onto rows without shuffling a hot key.
+
+    The small side is computed once and counted. Up to the bound it is broadcast, so the big side
+    keeps its partitioning; beyond it keys are many and the join is left to the planner and AQE's
+    skew handling. With no key the small side is a single row.
+    """
+    if not on:
+        return big.crossJoin(F.broadcast(small.limit(1)))
+    limit = int(big.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
+    small = materialize(small)
+    return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the largest group (one map-side-combined count)."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dischargelab.operators.ordered import row_index
+from dischargelab.session import attach
 
 DEFAULT_FS = 24000.0
 
@@ -58,7 +59,7 @@ def concatenate(trace: DataFrame, keys: list[str], run: str = "run_id") -> tuple
     """(joined trace without the run, bounds): runs follow each other in name order."""
     sizes = trace.groupBy(*keys, run).agg(F.count(F.lit(1)).alias("n"))
     bounds = run_bounds(sizes, keys, run)
-    joined = trace.join(bounds.select(*keys, run, "start"), keys + [run]).select(*keys, (F.col("i") + F.col("start")).alias("i"), "v")
+    joined = attach(trace, bounds.select(*keys, run, "start"), keys + [run]).select(*keys, (F.col("i") + F.col("start")).alias("i"), "v")
     return joined, bounds
 
 
