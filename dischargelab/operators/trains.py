@@ -77,10 +77,12 @@ def _min_isi_chunked(spikes: DataFrame, keys: list[str], t_min: float, t: str, a
     read-only halo. A spike whose verdict hangs on an open halo spike stays open for the next
     round; the best open spike of any neighbourhood is always decided, so rounds end.
     """
-    bound = group_bound(spikes.sparkSession)
-    width = t_min * 256
+    bound = min(ISLAND_ROWS, group_bound(spikes.sparkSession))
     state = materialize(spikes.withColumn("_st", F.lit(0).cast("byte")))
-    state = _thin(state, keys, t_min, width, t, amp, sid, bound)
+    dense = largest_group(state.withColumn("_c", F.floor(F.col(t) / t_min)), keys + ["_c"])
+    width = t_min * max(1, min(256, bound // max(dense, 1)))
+    if dense > bound:
+        state = _thin(state, keys, t_min, t, amp, sid, bound)
     schema = T.StructType(state.schema.fields)
     order = state.columns
 
@@ -105,16 +107,15 @@ def _min_isi_chunked(spikes: DataFrame, keys: list[str], t_min: float, t: str, a
     return state.withColumn("keep", F.col("_st") == 1).drop("_st")
 
 
-def _thin(state: DataFrame, keys, t_min, width, t, amp, sid, bound) -> DataFrame:
-    """Settle the dense part of overfull chunks with map-side-combined maxima.
+def _thin(state: DataFrame, keys, t_min, t, amp, sid, bound) -> DataFrame:
+    """Settle overfull cells of width ``t_min`` with map-side-combined maxima.
 
-    The best open spike of a cell of width ``t_min`` is kept when it also beats the best of both
-    adjacent cells, and every open spike within ``t_min`` of it is dropped.
+    The best open spike of a cell is kept when it also beats the best of both adjacent cells, and
+    every open spike within ``t_min`` of it, which includes its whole cell, is dropped.
     """
     cell = F.floor(F.col(t) / t_min)
     best = F.struct(F.abs(F.col(amp)).alias("a"), (-F.col(t)).alias("nt"), (-F.col(sid)).alias("nid"))
-    while not groups_bounded(state.where("_st = 0").withColumn("_c", F.floor(F.col(t) / width)),
-                             keys + ["_c"], bound):
+    while not groups_bounded(state.where("_st = 0").withColumn("_c", cell), keys + ["_c"], bound):
         tops = (state.where("_st = 0").withColumn("_cell", cell)
                 .groupBy(*keys, "_cell").agg(F.max(best).alias("_b")))
         near = tops.select(*keys, F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_cell"),
