@@ -167,7 +167,8 @@ def pca_by_pool(waves: DataFrame, k: int, x: str = "x", out: str = "shape", pool
                 m = np.stack(part[x].to_numpy())
                 a = np.concatenate([[len(m)], m.sum(0), (m.T @ m).ravel()])
                 acc[g] = acc[g] + a if g in acc else a
-        yield pd.DataFrame({pool: list(acc), "a": list(acc.values())})
+        if acc:
+            yield pd.DataFrame({pool: list(acc), "a": list(acc.values())})
 
     kind = waves.schema[pool].dataType.simpleString()
     total = rows.mapInPandas(moments, f"{pool} {kind}, a array<double>").withColumn("a", array_to_vector("a")).groupBy(pool).agg(

@@ -52,7 +52,8 @@ def pass_sums(data: DataFrame | dict[int, np.ndarray], fn: Stats, how: str = "su
             if len(pdf):
                 for key, a in fn(by_group(pdf)):
                     acc[key] = merge(acc[key], a) if key in acc else a
-        yield pd.DataFrame({"key": list(acc), "a": list(acc.values())})
+        if acc:
+            yield pd.DataFrame({"key": list(acc), "a": list(acc.values())})
 
     parts = data.mapInPandas(run, "key long, a array<double>").withColumn("a", array_to_vector("a"))
     total = parts.groupBy("key").agg((Summarizer.sum if how == "sum" else Summarizer.max)(F.col("a")).alias("a"))
