@@ -16,10 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dischargelab.operators.fits import pass_sums, sq_dist
+from dischargelab.operators.fits import pass_sums, seed_rows
 from dischargelab.session import materialize
 
 N_REFS, VAR_FRAC, MAX_PC, MIN_POOL, SEED, TINY = 50, 0.90, 10, 10, 42, 1e-12
+WARM_ROWS = 300  # rows per type that warm up the centers
 
 
 @dataclass
@@ -103,59 +104,73 @@ def _maxed(fn):
     return run
 
 
-def _dispersions(rows: DataFrame, pools: list[Pool], n_refs: int, starts: int, observed: bool, max_iter: int = 60,
-                 tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """k=1 and best k=2 dispersion per pool and data set; set 0 is the data (if ``observed``)."""
-    of: dict[int, list[int]] = {}
-    for i, p in enumerate(pools):
-        for m in p.members:
-            of.setdefault(m, []).append(i)
-    sets = range(0 if observed else 1, n_refs + 1)
+def _dispersions(rows: DataFrame, warm: dict[int, np.ndarray], pools: list[Pool], n_refs: int, starts: int,
+                 observed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """k=1 and best k=2 dispersion per pool and data set; set 0 is the data (if ``observed``).
+
+    Centers first settle on ``warm``, a bounded sample per type, so few passes over all rows remain.
+    """
     rng = np.random.default_rng(SEED)
     centers = {}
     for i, p in enumerate(pools):
-        for b in sets:
+        for b in range(0 if observed else 1, n_refs + 1):
             for r in range(starts):
                 if b == 0:
-                    j = r % len(p.spread)
                     step = np.zeros(len(p.spread))
-                    step[j] = p.spread[j] * rng.uniform(0.5, 1.5)
+                    step[r % len(step)] = p.spread[r % len(step)] * rng.uniform(0.5, 1.5)
                     centers[i, b, r] = np.stack([-step, step])
                 else:
                     centers[i, b, r] = rng.uniform(p.lo, p.hi, (2, len(p.lo)))
+    _settle(warm, pools, centers, n_refs, starts)
+    return _settle(rows, pools, centers, n_refs, starts)
+
+
+def _settle(data, pools: list[Pool], centers: dict, n_refs: int, starts: int, max_iter: int = 60,
+            tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Two-means of every (pool, set, start) in ``centers``, all advanced by one pass at a time."""
+    of: dict[int, list[int]] = {}
+    for i, p in enumerate(pools):
+        for m in p.members:
+            of.setdefault(m, []).append(i)
     one = np.full((len(pools), n_refs + 1), np.nan)
     two = np.full((len(pools), n_refs + 1, starts), np.inf)
-    live = set(centers)
-    width = (n_refs + 1) * starts
+    live, width = set(centers), (n_refs + 1) * starts
+    cache: dict | None = {} if isinstance(data, dict) else None
     for it in range(max_iter + 1):
-        todo: dict[tuple[int, int], list[int]] = {}
+        todo: dict[int, dict[int, list[int]]] = {}
         for i, b, r in live:
-            todo.setdefault((i, b), []).append(r)
+            todo.setdefault(i, {}).setdefault(b, []).append(r)
+
+        def view(g, x, i, b, cache=cache):
+            """The rows of type g in the reduced space of pool i: observed, or reference b."""
+            if cache is not None and (g, i, b) in cache:
+                return cache[g, i, b]
+            p = pools[i]
+            if b == 0:
+                y = (x[:, 1:] - p.mean) @ p.axes
+            else:
+                ids = x[:, 0].astype(np.int64)
+                u = np.stack([_uniform(ids, ((i * (n_refs + 1) + b) * MAX_PC + a) * 7919 + SEED) for a in range(len(p.lo))], 1)
+                y = p.lo + u * (p.hi - p.lo)
+            if cache is not None:
+                cache[g, i, b] = y
+            return y
 
-        def fn(groups, todo=todo):
+        def fn(groups, todo=todo, view=view):
             for g, x in groups:
-                ids = x[:, 0].astype(np.int64)
                 for i in of.get(g, ()):
-                    p = pools[i]
-                    dim = len(p.lo)
-                    for b in sets:
-                        if (i, b) not in todo:
-                            continue
-                        if b == 0:
-                            y = (x[:, 1:] - p.mean) @ p.axes
-                        else:
-                            u = np.stack([_uniform(ids, ((i * (n_refs + 1) + b) * MAX_PC + a) * 7919 + SEED)
-                                          for a in range(dim)], 1)
-                            y = p.lo + u * (p.hi - p.lo)
-                        base = np.concatenate([[len(y)], y.sum(0), [(y * y).sum()]])
-                        for r in todo[i, b]:
-                            d = sq_dist(y, centers[i, b, r])
-                            near = d.argmin(1)
-                            m1 = near == 1
-                            yield i * width + b * starts + r, np.concatenate([
-                                base, [m1.sum()], y[m1].sum(0), [d[np.arange(len(y)), near].sum()]])
-
-        for key, a in pass_sums(rows, fn).items():
+                    for b, tries in todo.get(i, {}).items():
+                        y = view(g, x, i, b)
+                        sq = (y * y).sum(1)
+                        base = np.concatenate([[len(y)], y.sum(0), [sq.sum()]])
+                        for r in tries:
+                            c = centers[i, b, r]
+                            d = np.maximum(sq[:, None] - 2 * y @ c.T + (c * c).sum(1), 0.0)
+                            m1 = d[:, 1] < d[:, 0]
+                            yield i * width + b * starts + r, np.concatenate(
+                                [base, [m1.sum()], m1.astype(float) @ y, [np.minimum(d[:, 0], d[:, 1]).sum()]])
+
+        for key, a in pass_sums(data, fn).items():
             i, (b, r) = key // width, divmod(key % width, starts)
             dim = len(pools[i].lo)
             n, s, sq, n1, s1, inertia = a[0], a[1:1 + dim], a[1 + dim], a[2 + dim], a[3 + dim:3 + 2 * dim], a[3 + 2 * dim]
@@ -185,7 +200,8 @@ def gap_statistics(waves: DataFrame, members: list[tuple[int, ...]], sid: str =
     if not pools:
         return []
     _boxes(rows, pools)
-    one, two = _dispersions(rows, pools, n_refs, starts, observed=within2 is None)
+    warm = seed_rows(rows.withColumn("sid", F.col("x")[0].cast("long")), "sid", SEED, WARM_ROWS)
+    one, two = _dispersions(rows, warm, pools, n_refs, starts, observed=within2 is None)
     out = []
     for i, p in enumerate(pools):
         obs2 = two[i, 0] if within2 is None else within2[p.members]

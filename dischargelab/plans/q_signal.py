@@ -34,17 +34,26 @@ SNAP = f"""sn AS (SELECT DISTINCT run_id, s AS i FROM (
   QUALIFY row_number() OVER (PARTITION BY ep.run_id, ep.i ORDER BY tr.v DESC, tr.i) = 1))"""
 
 
-def _env(spark, d):
-    return G.envelope(G.rectify(trace(spark, d)), RUN, WIDTH)
+def _env(tr):
+    return G.envelope(G.rectify(tr), RUN, WIDTH)
 
 
-def _peaks(spark, d):
-    env = _env(spark, d)
+def _peaks(tr):
+    """Read twice, for the threshold and for the peaks, so the envelope is kept."""
+    env = materialize(_env(tr))
     return G.envelope_peaks(env, G.mad_threshold(env, RUN, KMAD), RUN, DIST)
 
 
-def _snapped(spark, d):
-    return G.snap(_peaks(spark, d), G.rectify(trace(spark, d)), RUN, WIDTH)
+def _snapped(tr):
+    return G.snap(_peaks(tr), G.rectify(tr), RUN, WIDTH)
+
+
+def _cut(tr):
+    return G.extract_waveforms(tr, _snapped(tr), RUN, HALF, BASE)
+
+
+def _kept(spark, d):
+    return materialize(trace(spark, d))
 
 
 @query("trace_index", f"WITH {TRACE} SELECT run_id, i, v FROM tr")
@@ -66,13 +75,13 @@ def rectify(spark, d):
 
 @query("envelope", f"WITH {ENV} SELECT run_id, i, {rnd('v')} AS v FROM ev")
 def envelope(spark, d):
-    return _env(spark, d)
+    return _env(trace(spark, d))
 
 
 @query("mad_threshold", f"WITH {ENV}, q AS (SELECT run_id, median(v) / 0.6745::DOUBLE AS s FROM ev WHERE i < 300 GROUP BY run_id) "
        f"SELECT run_id, {rnd('sigma')} AS sigma, {rnd('threshold')} AS threshold, {rnd('s')} AS quiet_sigma FROM th JOIN q USING (run_id)")
 def mad_threshold(spark, d):
-    env = _env(spark, d)
+    env = materialize(_env(trace(spark, d)))
     quiet = G.mad_threshold(env, RUN, KMAD, 300).select("run_id", F.col("sigma").alias("quiet_sigma"))
     return G.mad_threshold(env, RUN, KMAD).join(quiet, "run_id")
 
@@ -84,12 +93,12 @@ def local_maxima(spark, d):
 
 @query("envelope_peaks", f"WITH RECURSIVE {EP} SELECT run_id, i FROM ep")
 def envelope_peaks(spark, d):
-    return _peaks(spark, d).select("run_id", "i")
+    return _peaks(_kept(spark, d)).select("run_id", "i")
 
 
 @query("peak_snap", f"WITH RECURSIVE {EP}, {SNAP} SELECT run_id, i FROM sn")
 def peak_snap(spark, d):
-    return _snapped(spark, d)
+    return _snapped(_kept(spark, d))
 
 
 CUT = f"""nn AS (SELECT run_id, count(*) AS n FROM tr GROUP BY run_id),
@@ -98,13 +107,9 @@ bl AS (SELECT ok.run_id, ok.i, avg(tr.v) AS m FROM ok JOIN tr ON tr.run_id = ok.
 wv AS (SELECT bl.run_id, bl.i, tr.i - bl.i + {HALF} AS p, tr.v - m AS v FROM bl JOIN tr ON tr.run_id = bl.run_id AND tr.i >= bl.i - {HALF} AND tr.i < bl.i + {HALF})"""
 
 
-def _cut(spark, d):
-    return G.extract_waveforms(trace(spark, d), _snapped(spark, d), RUN, HALF, BASE)
-
-
 @query("extract_waveforms", f"WITH RECURSIVE {EP}, {SNAP}, {CUT} SELECT run_id, i, p, {rnd('v')} AS v FROM wv")
 def extract_waveforms(spark, d):
-    return _cut(spark, d).select("run_id", "i", F.posexplode("x").alias("p", "v"))
+    return _cut(_kept(spark, d)).select("run_id", "i", F.posexplode("x").alias("p", "v"))
 
 
 # Spike times on the trace clock: each event's own index is its sample, in seconds.
@@ -115,7 +120,7 @@ w AS (SELECT b.run_id, b.label, c, tr.i - c + 8 AS p, v - m AS v FROM b JOIN tr
 
 @query("reaverage", f"WITH {TRACE}, {REAV} SELECT run_id, label, count(*) AS n, p, {rnd('avg(v)', 9)} AS v FROM w GROUP BY run_id, label, p", digits=9)
 def reaverage(spark, d):
-    tr = trace(spark, d)
+    tr = _kept(spark, d)
     at = tr.select("run_id", (F.col("i") / FS_TRACE).alias("t"), (F.col("i") % 4).alias("label"))
     out = G.reaverage(tr, at, RUN, FS_TRACE, 8.0)
     return out.select("run_id", "label", "n", F.posexplode("m").alias("p", "v"))
@@ -123,8 +128,9 @@ def reaverage(spark, d):
 
 @query("wide_recut", f"WITH RECURSIVE {EP}, {SNAP}, {CUT} SELECT run_id, i, p, {rnd('v')} AS v FROM wv")
 def wide_recut(spark, d):
-    clustered = materialize(_cut(spark, d).select("run_id", "i"))
-    return G.wide_recut(trace(spark, d), clustered, RUN, HALF, BASE).select("run_id", "i", F.posexplode("x").alias("p", "v"))
+    tr = _kept(spark, d)
+    clustered = materialize(_cut(tr).select("run_id", "i"))
+    return G.wide_recut(tr, clustered, RUN, HALF, BASE).select("run_id", "i", F.posexplode("x").alias("p", "v"))
 
 
 @query("run_consistency", """SELECT count(DISTINCT CASE WHEN label < 0 THEN 0 ELSE 24000 END) AS n_rates, count(DISTINCT len(embedding)) AS n_lengths,
@@ -145,7 +151,7 @@ def highpass(spark, d):
 
 @query("detect")
 def detect(spark, d):
-    found = G.detect(trace(spark, d), RUN, FS_TRACE, 100.0, 1.2, 9.0, 6.0)
+    found = G.detect(_kept(spark, d), RUN, FS_TRACE, 100.0, 1.2, 9.0, 6.0)
     return found["peaks"].join(found["thresholds"], "run_id")
 
 
@@ -174,7 +180,7 @@ oo AS (SELECT m.run_id, m.label, coalesce(min(CASE WHEN abs(v - mu) > greatest(2
 SELECT run_id, label, any_value(n) AS n, {rnd('max(v) - min(v)')} AS amplitude, {rnd('any_value(b - a) / 1000.0::DOUBLE * 1000.0::DOUBLE')} AS duration_ms
 FROM m JOIN oo USING (run_id, label) WHERE p BETWEEN a AND b GROUP BY run_id, label""")
 def type_table(spark, d):
-    tr = trace(spark, d)
+    tr = _kept(spark, d)
     at = tr.select("run_id", (F.col("i") / FS_TRACE).alias("t"), (F.col("i") % 4).alias("label"))
     out = S.muap_metrics(G.reaverage(tr, at, RUN, FS_TRACE, 8.0), FS_TRACE, "m")
     return out.select("run_id", "label", "n", "amplitude", "duration_ms")

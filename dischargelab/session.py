@@ -67,15 +67,18 @@ BROADCAST_ROWS_DEFAULT = 20_000
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a per-key summary onto rows without shuffling a hot key.
 
-    The small side is computed once and counted. Up to the bound it is broadcast, so the big side
-    keeps its partitioning; beyond it keys are many and the join is left to the planner and AQE's
-    skew handling. With no key the small side is a single row.
+    The small side is fetched up to the bound. If that is all of it, it comes back as a local
+    relation and is broadcast, so the big side keeps its partitioning; beyond the bound keys are
+    many and the join is left to the planner and AQE's skew handling. With no key the small side is
+    a single row.
     """
     if not on:
         return big.crossJoin(F.broadcast(small.limit(1)))
     limit = int(big.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
-    small = materialize(small)
-    return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+    head = small.limit(limit + 1).toArrow()
+    if head.num_rows <= limit:
+        small = F.broadcast(big.sparkSession.createDataFrame(head, small.schema))
+    return big.join(small, on, how)
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:

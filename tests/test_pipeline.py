@@ -10,6 +10,7 @@ from dischargelab.functions.filters import zero_phase
 from dischargelab.operators import embedding as EM
 from dischargelab.operators import fits as FT
 from dischargelab.operators import gap as GP
+from dischargelab.operators import linkage as L
 from dischargelab.operators import signal as G
 from dischargelab.operators import simulate as SI
 from dischargelab.params import SIMULATED_FULL
@@ -117,7 +118,11 @@ def test_planted_units_are_recovered(spark):
     p = SIMULATED_FULL.having(fs=FS, measure_band=(20.0, 1800.0), noise_baseline_samples=4000, feature_method="pca", silhouette_max_n=6)
     s = P.sort_recordings(trace, p)
     r = P.score(s.spikes.select("run_id", "spike_id", "t", "label"), truth, ["run_id"], 0.003).first()
-    assert r["n_true_recovered"] >= 2 and r["mean_type_purity"] > 0.8
+    # Side-lobe detections may form a type of their own, which matches nothing; the units' types are clean.
+    pur = L.purity(L.match_truth(s.spikes.where("label >= 0"), truth, ["run_id"], 0.003), ["run_id"]).toPandas()
+    assert r["n_true_recovered"] == 3
+    assert (pur.groupby("est_match")["purity"].max() > 0.9).all()
+    assert (pur["purity"] * pur["n_spikes"]).sum() / pur["n_spikes"].sum() > 0.85
     m = P.merge_effect(s, truth, 0.003, n_refs=10).first()
     assert m["merged"] <= m["post"]
     assert P.type_summary(s).count() == r["n_types_est"]
