@@ -112,16 +112,16 @@ def extract_waveforms(spark, d):
     return _cut(_kept(spark, d)).select("run_id", "i", F.posexplode("x").alias("p", "v"))
 
 
-# Spike times on the trace clock: each event's own index is its sample, in seconds. Values are divided by
-# seven, since two-decimal values average to decimals that end exactly on a rounding tie.
+# Spike times on the trace clock: each event's own index is its sample, in seconds. Square roots of the
+# values are used, since two-decimal values average to decimals that end exactly on a rounding tie.
 REAV = """att AS (SELECT run_id, i AS c, i % 4 AS label FROM tr JOIN (SELECT run_id, count(*) AS n FROM tr GROUP BY run_id) USING (run_id) WHERE i - 8 >= 0 AND i + 8 < n),
-b AS (SELECT att.run_id, c, label, avg(v / 7.0::DOUBLE) AS m FROM att JOIN tr ON tr.run_id = att.run_id AND tr.i >= c - 8 AND tr.i < c + 8 GROUP BY ALL),
-w AS (SELECT b.run_id, b.label, c, tr.i - c + 8 AS p, v / 7.0::DOUBLE - m AS v FROM b JOIN tr ON tr.run_id = b.run_id AND tr.i >= c - 8 AND tr.i < c + 8)"""
+b AS (SELECT att.run_id, c, label, avg(sqrt(v)) AS m FROM att JOIN tr ON tr.run_id = att.run_id AND tr.i >= c - 8 AND tr.i < c + 8 GROUP BY ALL),
+w AS (SELECT b.run_id, b.label, c, tr.i - c + 8 AS p, sqrt(v) - m AS v FROM b JOIN tr ON tr.run_id = b.run_id AND tr.i >= c - 8 AND tr.i < c + 8)"""
 
 
 @query("reaverage", f"WITH {TRACE}, {REAV} SELECT run_id, label, count(*) AS n, p, {rnd('avg(v)', 9)} AS v FROM w GROUP BY run_id, label, p", digits=9)
 def reaverage(spark, d):
-    tr = _kept(spark, d).withColumn("v", F.col("v") / 7.0)
+    tr = _kept(spark, d).withColumn("v", F.sqrt("v"))
     at = tr.select("run_id", (F.col("i") / FS_TRACE).alias("t"), (F.col("i") % 4).alias("label"))
     out = G.reaverage(tr, at, RUN, FS_TRACE, 8.0)
     return out.select("run_id", "label", "n", F.posexplode("m").alias("p", "v"))
@@ -181,7 +181,7 @@ oo AS (SELECT m.run_id, m.label, coalesce(min(CASE WHEN abs(v - mu) > greatest(2
 SELECT run_id, label, any_value(n) AS n, {rnd('max(v) - min(v)')} AS amplitude, {rnd('any_value(b - a) / 1000.0::DOUBLE * 1000.0::DOUBLE')} AS duration_ms
 FROM m JOIN oo USING (run_id, label) WHERE p BETWEEN a AND b GROUP BY run_id, label""")
 def type_table(spark, d):
-    tr = _kept(spark, d).withColumn("v", F.col("v") / 7.0)
+    tr = _kept(spark, d).withColumn("v", F.sqrt("v"))
     at = tr.select("run_id", (F.col("i") / FS_TRACE).alias("t"), (F.col("i") % 4).alias("label"))
     out = S.muap_metrics(G.reaverage(tr, at, RUN, FS_TRACE, 8.0), FS_TRACE, "m")
     return out.select("run_id", "label", "n", "amplitude", "duration_ms")
