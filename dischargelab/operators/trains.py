@@ -17,6 +17,7 @@ from dischargelab.session import attach, group_bound, groups_bounded, largest_gr
 
 ISLAND_ROWS = 200_000  # longest run of close spikes that is one array
 
+
 # --- refractory clean-up ------------------------------------------------------------------------
 
 def _greedy_udf(radius: float):
