@@ -220,6 +220,13 @@ def l2_merge(spark, d):
     return TP.l2_merge(waveforms(spark, d), [], fence_k=2.0).select("spike_id", "label")
 
 
+# An explicit threshold would win; here the percentile is the first one given, ahead of elbow and fence.
+@query("merge_close", f"""WITH RECURSIVE {T_}, {PL}, fe AS (SELECT quantile_cont(l2, 0.05) AS threshold FROM pl), {CLOSE}, {CC}
+SELECT spike_id, coalesce(grp, label) AS label FROM wf LEFT JOIN cp ON cp.type = wf.label""")
+def merge_close(spark, d):
+    return TP.l2_merge(waveforms(spark, d), [], percentile=5, elbow=True, fence_k=2.0).select("spike_id", "label")
+
+
 @query("l2_merge_stage", f"""WITH RECURSIVE {WF}, wfp AS (SELECT * FROM (SELECT spike_id, label, CAST(unnest(range(64)) AS BIGINT) AS p, unnest(x) AS v FROM wf) WHERE p BETWEEN 8 AND 55),
 t0 AS (SELECT label, p, avg(v) AS v FROM wfp GROUP BY label, p), tpl AS (SELECT label, p, v / sum(abs(v)) OVER (PARTITION BY label) AS v FROM t0),
 {PL}, {FENCE.format(k=1.0)}, {CLOSE}, {CC} SELECT spike_id, coalesce(grp, label) AS label FROM wf LEFT JOIN cp ON cp.type = wf.label""")
