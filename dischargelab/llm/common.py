@@ -22,14 +22,13 @@ def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` on every Arrow batch; Spark bounds a batch by rows and bytes."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
+    """``fn`` on slices of every Arrow batch. Spark bounds a batch by rows and bytes; slices bound what ``fn`` adds to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                out = fn(b)
-                yield from (out.to_batches() if isinstance(out, pa.Table) else [out])
+            for at in range(0, b.num_rows, rows):
+                yield fn(b.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dischargelab.llm import line_dedup, sharding
+from dischargelab.llm import bpe, line_dedup, pii, sharding
 
 QUERIES = {
+    "op1_bpe": bpe.op1,
     "op2_line_dedup": line_dedup.op2,
     "op7_sharding": sharding.op7,
+    "op10_pii": pii.op10,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.OP2_SQL,
