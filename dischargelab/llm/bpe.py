@@ -35,7 +35,7 @@ from dischargelab.llm.common import map_batches, slim, table
 LEAF_CHARS, LEAF_TOKENS, WINDOW = 4096, 2048, 32
 RANKS = "byte_bpe_50k.tiktoken"
 # Unicode's White_Space characters.
-WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
+WHITE = frozenset(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 @functools.lru_cache(maxsize=4096)
