@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dischargelab.llm import bpe, line_dedup, pii, sharding
+from dischargelab.llm import bpe, line_dedup, packing, pii, sharding
 
 QUERIES = {
     "op1_bpe": bpe.op1,
     "op2_line_dedup": line_dedup.op2,
     "op7_sharding": sharding.op7,
+    "op8_packing": packing.op8,
     "op10_pii": pii.op10,
 }
 ORACLES = {
