@@ -194,7 +194,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, levels: tuple[int, ...] =
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         return pdf.assign(sequence_id=base + first_fit(pdf, capacity), nth=np.arange(len(pdf), dtype=np.int64))[keep]
 
-    left = df.where("sequence_id IS NULL").select(*keep).groupBy(F.lit(0)).applyInPandas(rest, df.select(*keep).schema)
+    left = df.where("sequence_id IS NULL").select(*keep).groupBy(F.col("sequence_id").isNull()).applyInPandas(rest, df.select(*keep).schema)
     before = Window.partitionBy("sequence_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     return df.where("sequence_id IS NOT NULL").select(*keep).unionByName(left).select(
         *cols, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
