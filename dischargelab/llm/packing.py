@@ -31,9 +31,29 @@ CAPACITY, UNCUT, END_ID = 2048, 128, 1
 LEVELS = (1024, 32, 1)  # buckets per class, from fine to coarse
 CACHED_WORDS = 600_000
 GROUP = 200  # words that are encoded as one text
+END = "\n"  # stands for the end id: a line feed is in no word
 MODEL = "word_bpe_49k.json"
 
 
+class Numbered(dict):
+    """Numbers words as they are first asked for; ``fresh`` lists those without ids yet, in order."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordIds:
     """Ids of space-separated words. The tokenizer drops white space and no match crosses it, so a text's ids are its words' ids."""
 
@@ -42,64 +62,73 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
-        self.add({"": [], "\n": [END_ID]})  # a line feed is never a word here
-
-    def add(self, found: dict[str, list[int]]) -> None:
-        sizes = np.array([len(v) for v in found.values()], np.int64)
-        self.known.update(zip(found, range(len(self.sizes), len(self.sizes) + len(found)), strict=True))
-        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.pool = np.append(self.pool, np.array([i for v in found.values() for i in v], "<u4"))
-
-    def learn(self, words: set[str]) -> None:
-        """Letters with one trailing mark are two matches, so their ids are those of the letters and of the mark."""
-        split = {w: (w[:-1], w[-1]) for w in words if w[-1:] in (",", ".") and w[:-1].isalpha()}
-        plain = {p for w in words for p in split.get(w, (w,)) if p not in self.known}
-        letters = [w for w in plain if w.isalpha()]
-        other = [w for w in plain if not w.isalpha()]
-        found = {}
+        self.known = Numbered()
+        self.known[END] = 0
+        self.starts, self.sizes, self.pool = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END_ID], "<u4")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self) -> None:
+        """Ids of the fresh words. Words of letters are encoded many at a time and told apart by their
+        end tokens; letters with one mark behind are two matches, so they take the ids of both."""
+        letters, other, marked = [], [], []
+        for w in self.known.fresh:  # which grows by the parts of marked words
+            if w.isalpha():
+                letters.append(w)
+            elif w[-1:] in (",", ".") and w[:-1].isalpha():
+                marked.append((self.known[w], self.known[w[:-1]], self.known[w[-1]]))
+            else:
+                other.append(w)
         groups = [letters[i: i + GROUP] for i in range(0, len(letters), GROUP)]
+        at, sizes, ids = [], [], []
         for group, encoded in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
-            stops = [i + 1 for i, token in enumerate(encoded) if token in self.ends]
+            stops = np.flatnonzero(self.ends[encoded]) + 1
             if len(stops) == len(group):  # one match per word, as its letters stay letters
-                found.update({w: encoded[i:j] for w, i, j in zip(group, [0, *stops], stops, strict=False)})
+                at += map(self.known.__getitem__, group)
+                sizes.append(np.diff(stops, prepend=0))
+                ids.append(encoded)
             else:
                 other += group
-        self.add(found | dict(zip(other, self.encode(other), strict=True)))
-        self.add({w: [i for p in parts for i in self.ids(p)] for w, parts in split.items()})
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, word: str) -> list[int]:
-        k = self.known[word]
-        return self.pool[self.starts[k]: self.starts[k] + self.sizes[k]].tolist()
+        at += map(self.known.__getitem__, other)
+        ids += self.encode(other)
+        sizes.append(np.array([len(x) for x in ids[len(ids) - len(other):]], np.int64))
+        self.place(np.array(at, np.int64), np.concatenate(sizes), np.concatenate([*ids, self.pool[:0]]))
+        if marked:
+            whole, parts = np.array(marked)[:, 0], np.array(marked)[:, 1:]
+            own = self.pool[spread(self.starts[parts.ravel()], self.sizes[parts.ravel()])]
+            self.place(whole, self.sizes[parts].sum(axis=1), own)
+        self.known.fresh = []
+
+    def place(self, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        more = np.zeros(len(self.known) - len(self.sizes), np.int64)
+        self.starts, self.sizes = np.append(self.starts, more), np.append(self.sizes, more)
+        self.starts[at], self.sizes[at] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
+        self.pool = np.append(self.pool, ids)
 
     def stream(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and the number of ids of each text."""
+        if len(self.known) > CACHED_WORDS:
+            self.reset()
         words: list[str] = []
         counts = []
         for t in texts:
             own = self.words(t or "")
+            own.append(END)
             words += own
-            words.append("\n")
-            counts.append(len(own) + 1)
-        if len(self.known) > CACHED_WORDS:
-            self.reset()
-        if new := set(words).difference(self.known):
-            self.learn(new)
+            counts.append(len(own))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.fresh:
+            self.learn()
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        stops = ends[np.cumsum(counts) - 1]
-        return flat, np.diff(stops, prepend=0)
+        stops = np.cumsum(sizes)[np.cumsum(counts) - 1]
+        return self.pool[spread(self.starts[at], sizes)], np.diff(stops, prepend=0)
 
     @staticmethod
     def words(text: str) -> list[str]:
