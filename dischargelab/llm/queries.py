@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dischargelab.llm import bpe, line_dedup, packing, pii, sharding, simhash
+from dischargelab.llm import bpe, langid, line_dedup, packing, pii, sharding, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1,
     "op2_line_dedup": line_dedup.op2,
     "op3_simhash": simhash.op3,
+    "op5_langid": langid.op5,
     "op7_sharding": sharding.op7,
     "op8_packing": packing.op8,
     "op10_pii": pii.op10,
