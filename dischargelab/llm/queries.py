@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dischargelab.llm import bpe, langid, line_dedup, packing, pii, sharding, simhash
+from dischargelab.llm import ann, bpe, langid, line_dedup, packing, pii, sharding, simhash, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1,
     "op2_line_dedup": line_dedup.op2,
     "op3_simhash": simhash.op3,
+    "op4_topk": topk.op4,
     "op5_langid": langid.op5,
     "op7_sharding": sharding.op7,
     "op8_packing": packing.op8,
+    "op9_ann": ann.op9,
     "op10_pii": pii.op10,
 }
 ORACLES = {
+    "op4_topk": topk.OP4_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
 }
