@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dischargelab.llm import ann, bpe, langid, line_dedup, packing, pii, sharding, simhash, topk
+from dischargelab.llm import ann, bpe, langid, line_dedup, packing, pii, sharding, simhash, substring_dedup, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3,
     "op4_topk": topk.op4,
     "op5_langid": langid.op5,
+    "op6_substring_dedup": substring_dedup.op6,
     "op7_sharding": sharding.op7,
     "op8_packing": packing.op8,
     "op9_ann": ann.op9,

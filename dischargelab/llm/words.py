@@ -49,3 +49,30 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs of given starts and sizes, one run after the other."""
     ends = np.cumsum(sizes)
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def byte_slices(batch: pa.RecordBatch, column: int | str, limit: int = 4 << 20):
+    """Slices of a batch of at most ``limit`` bytes of text each; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def word_hashes(w: Words) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    if not len(w.start):
+        return np.zeros(0, np.uint64)
+    sizes = w.end - w.start
+    power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+    begin = np.cumsum(sizes) - sizes
+    weighed = (w.data[runs(w.start, sizes)].astype(np.uint64) + np.uint64(1)) * power[runs(np.zeros(len(sizes), np.int64), sizes)]
+    return mixed(np.add.reduceat(weighed, begin))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) ^ (h >> np.uint64(32))
