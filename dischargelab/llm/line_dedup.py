@@ -82,21 +82,38 @@ KEPT = ("array_join(filter(split(text, '\n', -1), (line, i) -> "
         "(shiftright(coalesce(drops[cast(i div 64 AS int)], 0L), cast(i % 64 AS int)) & 1L) = 0), '\n')")
 
 
+def _with_drops(texts: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows that lose no line have a null in ``drops``; bitmaps are the small side, so texts aren't sorted."""
+    drops = drops.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drops", "n_dropped")
+    same = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).eqNullSafe(F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    return texts.join(drops.hint("shuffle_hash"), same, "left")
+
+
+def _kept(text_col: str) -> Column:
+    return F.when(F.col("drops").isNull(), F.col(text_col)).otherwise(F.expr(KEPT.replace("split(text,", f"split(`{text_col}`,")))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                 min_docs: int = MIN_DOCS) -> DataFrame:
     """Per row: doc_id, text without its dropped lines, n_lines before, n_dropped."""
-    drops = line_bitmaps(docs, id_col, text_col, min_chars, min_docs)
-    drops = drops.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "drops", "n_dropped")
-    texts = _identified(docs, id_col, text_col)
-    joined = texts.join(drops.hint("shuffle_hash"), F.col("text_hash").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return joined.select(
+    texts = _identified(docs, id_col, text_col).drop("text_hash")
+    return _with_drops(texts, line_bitmaps(docs, id_col, text_col, min_chars, min_docs), "doc_id", "text").select(
         "doc_id",
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.expr(KEPT)).alias("text"),
+        _kept("text").alias("text"),
     )
 
 
+def replace_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
+                  min_docs: int = MIN_DOCS) -> DataFrame:
+    """The same rows and columns; texts without their dropped lines."""
+    cols = [f"_c{i}" for i in range(len(docs.columns))]  # no name of the table can clash
+    ids, texts = (cols[docs.columns.index(c)] for c in (id_col, text_col))
+    joined = _with_drops(docs.toDF(*cols), line_bitmaps(docs, id_col, text_col, min_chars, min_docs), ids, texts)
+    return joined.withColumn(texts, _kept(texts)).select(*[F.col(c).alias(name) for c, name in zip(cols, docs.columns, strict=True)])
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     from dischargelab.llm.common import table
 

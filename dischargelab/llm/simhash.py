@@ -167,8 +167,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns kept, whose doc_id is the smallest of its group. Rows without an id stay."""
     groups = near_groups(docs, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("gone_id"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_gone_id"], "left_anti")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
