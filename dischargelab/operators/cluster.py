@@ -168,17 +168,20 @@ def cluster_hdbscan(df: DataFrame, min_cluster_size: int = 5, min_samples: int |
 # --- firing-regularity refinement ----------------------------------------------------------------
 
 def regularity_costs(spikes: DataFrame, keys: list[str], labels: list[int], weight: float, window_s: float,
-                     x: str = "x", slot_windows: int = 64) -> DataFrame:
+                     x: str = "x", slot_windows: int = 64, tops: DataFrame | None = None) -> DataFrame:
     """(spike, c, cost): distance to the centroid plus weighted departure from the local rate.
 
+    A run's candidates go up to its own largest label, or to column ``_top`` of ``tops`` (one row per run).
     The rate part needs a spike's neighbourhood only, so each task sees a slice of ``slot_windows``
     windows of one run, with a halo of one window on either side.
     """
     base = spikes.select(*keys, SID, "t", "label", x)
     cen = base.groupBy(*keys, "label").agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("_m"))
-    whole = base.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("_all"))
+    whole = base.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("_all"), F.max("label").alias("_top"))
+    if tops is not None:
+        whole = whole.drop("_top").join(tops.select(*keys, "_top"), keys)
     cells = F.explode(F.array(*[F.lit(c) for c in labels])).alias("c")
-    cand = whole.select(*keys, "_all", cells).join(
+    cand = whole.select(*keys, "_all", "_top", cells).where("c <= _top").join(
         cen.withColumnRenamed("label", "c"), keys + ["c"], "left").select(*keys, "c", F.coalesce("_m", "_all").alias("_m"))
     centers = cand.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "_m"))).alias("_cm"))
 
@@ -222,7 +225,7 @@ def regularity_costs(spikes: DataFrame, keys: list[str], labels: list[int], weig
     # `labels` is closed over, so position n of `temporal` is labels[n].
     rows = attach(base, centers, keys).join(temporal, keys + [SID])
     flat = rows.select(*keys, SID, "t", "label", x, "_cm", F.posexplode("temporal").alias("_n", "temporal"))
-    flat = flat.withColumn("c", F.get(F.array(*[F.lit(c) for c in labels]), F.col("_n")))
+    flat = flat.withColumn("c", F.get(F.array(*[F.lit(c) for c in labels]), F.col("_n"))).where(F.map_contains_key("_cm", F.col("c")))
     dist = A.l2(F.col(x), F.col("_cm")[F.col("c")])
     return flat.select(*keys, SID, F.col("label").alias("old"), "c", (dist + F.col("temporal") * weight).alias("cost"))
 
@@ -232,11 +235,11 @@ def regularity_refine(spikes: DataFrame, keys: list[str], weight: float = 0.2, w
     """Reassign spikes to the cheapest type, keeping the cheapest iteration of each run."""
     if weight <= 0 or n_iters <= 0:
         return spikes
-    top = spikes.agg(F.max("label")).first()[0]
-    labels = list(range(int(top) + 1))
+    tops = materialize(spikes.groupBy(*keys).agg(F.max("label").alias("_top")))
+    labels = list(range(int(tops.agg(F.max("_top")).first()[0]) + 1))
     current, best = spikes, None
     for _ in range(n_iters):
-        costs = regularity_costs(current, keys, labels, weight, window_s, x)
+        costs = regularity_costs(current, keys, labels, weight, window_s, x, tops=tops)
         w = Window.partitionBy(*keys, SID).orderBy("cost", "c")
         pick = materialize(costs.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
             *keys, SID, F.col("c").cast("int").alias("_new"), "cost"))

@@ -46,8 +46,9 @@ def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _ids(df: DataFrame, sid: str) -> DataFrame:
-    """(g, x): the label as group, the spike id as leading element of the vector."""
-    return df.select(F.col("label").cast("int").alias("g"), F.concat(F.array(F.col(sid).cast("double")), "x").alias("x"))
+    """(g, x): the label as group, and 52 hashed bits of the spike id, which a double holds, as leading element."""
+    key = F.shiftrightunsigned(F.xxhash64(sid), 12).cast("double")
+    return df.select(F.col("label").cast("int").alias("g"), F.concat(F.array(key), "x").alias("x"))
 
 
 def type_moments(rows: DataFrame) -> dict[int, np.ndarray]:

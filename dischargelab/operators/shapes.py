@@ -9,10 +9,10 @@ from dischargelab.functions import arrays as A
 
 
 def dct_highpass(df: DataFrame, n_low: int, x: str = "x", out: str | None = None) -> DataFrame:
-    """Remove the ``n_low`` slowest cosines; ``n_low <= 0`` changes nothing."""
+    """Remove the ``n_low`` slowest cosines; ``n_low <= 0`` changes nothing, and a waveform has no more than its length."""
     if n_low <= 0:
         return df if out in (None, x) else df.withColumn(out, F.col(x))
-    rows = df.withColumn("_c", A.dct_low(x, n_low))
+    rows = df.withColumn("_c", F.slice(A.dct_low(x, n_low), F.lit(1), F.greatest(F.size(x), F.lit(1))))
     return rows.withColumn(out or x, A.dct_remove(x, "_c")).drop("_c")
 
 

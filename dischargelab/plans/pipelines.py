@@ -41,6 +41,8 @@ class Sort:
     thresholds: DataFrame | None = None
     measured: DataFrame | None = None
     durations: DataFrame | None = None
+    detections: DataFrame | None = None
+    rejected: DataFrame | None = None
     dropped: dict[str, int] = field(default_factory=dict)
 
 
@@ -59,7 +61,24 @@ def detect_waveforms(trace: DataFrame, p: SortParams) -> Sort:
                        (F.col("i") / p.fs + p.start_s).alias("t"), "amp", "x")
     rows = S.dct_highpass(rows, p.dct_filter_n)
     durations = size.select("run_id", (F.col("n_samples") / p.fs).alias("duration_s"))
-    return Sort(materialize(rows), p, thresholds=found["thresholds"], measured=measured, durations=durations)
+    detections = durations.select("run_id").join(found["peaks"].groupBy("run_id").agg(F.count(F.lit(1)).alias("n_detected")), "run_id", "left")
+    return Sort(materialize(rows), p, thresholds=found["thresholds"], measured=measured, durations=durations,
+                detections=materialize(detections.fillna(0, ["n_detected"])))
+
+
+def reject_small_pools(s: Sort, joint: bool) -> Sort:
+    """Set aside runs (or the whole pool) with fewer waveforms than shape components or starting types, and say which."""
+    p = s.params
+    cut = s.spikes.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_cut"))
+    per = s.detections.join(s.durations, "run_id").join(cut, "run_id", "left").fillna(0, ["n_cut"])
+    if joint:
+        total = per.agg(*[F.sum(c).alias(c) for c in ("n_detected", "n_cut", "duration_s")])
+        per = per.select("run_id").crossJoin(F.broadcast(total))  # one row
+    k0 = F.lit(p.n_clusters) if p.n_clusters else F.greatest(F.ceil(F.col("n_detected") / (F.col("duration_s") * p.max_rate_hz)), F.lit(1))
+    small = per.where((F.col("n_cut") < k0) | (F.col("n_cut") < p.n_components + 1))
+    s.rejected = materialize(small.select("run_id", "n_detected", "n_cut", F.lit("fewer waveforms than components or types").alias("reason")))
+    s.spikes = materialize(s.spikes.join(s.rejected.select("run_id"), "run_id", "left_anti"))
+    return s
 
 
 def add_features(rows: DataFrame, p: SortParams, joint: bool) -> DataFrame:
@@ -75,8 +94,10 @@ def add_features(rows: DataFrame, p: SortParams, joint: bool) -> DataFrame:
     return materialize(FE.assemble(shaped, p.n_components, p.amp_dur_weight, p.polarity_weight, keys=["g"]))
 
 
-def cluster_pools(rows: DataFrame, p: SortParams, durations: DataFrame, joint: bool) -> tuple[DataFrame, dict[int, int], DataFrame | None]:
-    """Choose a type count per pool and label its spikes; noise rows are removed."""
+def cluster_pools(rows: DataFrame, p: SortParams, durations: DataFrame, joint: bool,
+                  detections: DataFrame | None = None) -> tuple[DataFrame, dict[int, int], DataFrame | None]:
+    """Choose a type count per pool and label its spikes; noise rows are removed. The starting count follows
+    all detections of a pool, also those whose waveform would cross an edge."""
     data = rows.withColumnRenamed("x", "wave").withColumn("x", F.col("features"))
     method = p.cluster_method
     ks: dict[int, int] = {}
@@ -88,14 +109,14 @@ def cluster_pools(rows: DataFrame, p: SortParams, durations: DataFrame, joint: b
                             n_temps=p.spc_n_temps, mc_steps=p.spc_mc_steps, min_frac=p.spc_min_clus_frac)))
     else:
         per = rows.groupBy("g", "run_id").agg(F.count(F.lit(1)).alias("n")).join(durations, "run_id")
+        if detections is not None:
+            per = per.drop("n").join(detections.withColumnRenamed("n_detected", "n"), "run_id")
         if joint:  # runs without spikes count towards the pooled duration
             total = durations.agg(F.sum("duration_s")).first()[0]
-            size = {0: (rows.count(), total)}
+            size = {0: (detections.agg(F.sum("n_detected")).first()[0] if detections is not None else rows.count(), total)}
         else:
             size = {r["g"]: (r["n"], r["duration_s"]) for r in per.collect()}  # one row per run
         n0 = {g: p.n_clusters or max(1, -int(-n // (p.max_rate_hz * dur))) for g, (n, dur) in size.items()}
-        if any(size[g][0] < k for g, k in n0.items()):
-            raise ValueError("a pool has fewer spikes than clusters; lower threshold_mad or n_clusters")
         feats = materialize(data.select("g", "spike_id", "x"))
         if p.silhouette_sweep or p.force_k is not None:
             ks, scores = C.choose_k(feats, n0, p.silhouette_max_n, p.seed, method, p.sweep_dof or p.tmix_dof,
@@ -127,7 +148,7 @@ def clean_and_merge(rows: DataFrame, p: SortParams, pool: list[str], drop_marks:
             dropped["linked"] = n - rows.count()
     rows = TR.relabel_dense(rows, pool)
     options = dict(explicit=p.l2_merge_threshold, percentile=p.l2_merge_percentile, elbow=p.l2_merge_elbow, fence_k=p.l2_merge_outlier_fence_k)
-    if any(v for v in options.values()):
+    if any(v is not None and v is not False for v in options.values()):
         rows = TR.relabel_dense(TP.l2_merge(rows, pool, p.l2_merge_normalize_area, **options), pool)
     rows = materialize(rows)
     if p.drop_superposition:
@@ -143,9 +164,11 @@ def clean_and_merge(rows: DataFrame, p: SortParams, pool: list[str], drop_marks:
 def sort_recordings(trace: DataFrame, params: SortParams = BASE, joint: bool = False) -> Sort:
     """Detection, features, clustering, regularity refinement and clean-up of a set of runs."""
     p = params
-    s = detect_waveforms(trace, p)
+    s = reject_small_pools(detect_waveforms(trace, p), joint)
+    if s.spikes.isEmpty():
+        raise ValueError("no run has enough spikes to be sorted; see its detections or lower threshold_mad")
     rows = add_features(s.spikes, p, joint)
-    rows, s.n_clusters, s.scores = cluster_pools(rows, p, s.durations, joint)
+    rows, s.n_clusters, s.scores = cluster_pools(rows, p, s.durations, joint, s.detections)
     pool = ["g"]
     if p.isi_weight > 0 and p.isi_iters > 0:
         wave = rows.withColumnRenamed("x", "wave").withColumn("x", F.col("features"))
@@ -227,8 +250,14 @@ def gap_anchor_merge(spikes: DataFrame, n_refs: int = GP.N_REFS) -> tuple[DataFr
 
 
 def split_then_merge(s: Sort, keys: list[str] | None = None, how: str = "tsne", n_iter: int = 500) -> tuple[DataFrame, list]:
-    """Second stage of one pool: split heterogeneous types, then merge near-identical shapes."""
+    """Second stage: split heterogeneous types, then merge near-identical shapes of the same pool (``keys``).
+
+    Equal labels of different pools are different types: they are numbered apart before the split.
+    """
     live = s.spikes.where("label >= 0")
+    if keys:
+        names = live.select(*keys, "label").distinct().withColumn("_id", F.row_number().over(Window.orderBy(*keys, "label")) - 1)  # one row per type
+        live = attach(live, materialize(names), [*keys, "label"]).withColumn("label", F.col("_id").cast("int")).drop("_id").select(*live.columns)
     if how == "gap":
         split, report = SP.split_by_gap(live, n_iter=n_iter)
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dischargelab.functions import arrays as A
@@ -11,7 +13,8 @@ from dischargelab.operators import templates as TP
 from dischargelab.plans.fixtures import FS_TRACE, FS_WAVE, TRACE, trace, waveforms
 from dischargelab.plans.q_trains import GREEDY
 from dischargelab.plans.registry import query, rnd
-from dischargelab.session import materialize
+from dischargelab.session import ensure_checkpoint_dir, materialize
+from dischargelab.sources.traces import read_written_trace, write_text_trace
 
 RUN = ["run_id"]
 WIDTH, DIST, KMAD = 6, 9, 1.2
@@ -192,3 +195,10 @@ def trace_roundtrip(spark, d):
     return trace(spark, d).withColumn("v", F.bround(F.col("v") / 7.0, 6))
 
 
+@query("text_roundtrip", f"WITH {TRACE} SELECT run_id, i, round_even(v / 7.0::DOUBLE, 6) + 0 AS v FROM tr")
+def text_roundtrip(spark, d):
+    """Through the writer and the reader of text recordings, in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/text-{uuid.uuid4().hex}"
+    write_text_trace(trace(spark, d).withColumn("v", F.col("v") / 7.0), 1000.0, path)
+    return read_written_trace(spark, path)

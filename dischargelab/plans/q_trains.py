@@ -8,6 +8,7 @@ from dischargelab.operators import linkage as L
 from dischargelab.operators import trains as TR
 from dischargelab.plans.fixtures import SPK, TRUTH, spikes, truth
 from dischargelab.plans.registry import query, rnd
+from dischargelab.session import attach
 
 DAY30 = 30 * 86400.0
 T_MIN = 21600.0
@@ -111,24 +112,24 @@ def keep_big_types(spark, d):
     return TR.keep_big_types(spikes(spark, d), ["run_id"], 14).select("spike_id", "run_id", "label")
 
 
-# --- smoothed rates: a day-long epoch grid per user, one hour step, six hour kernel --------------
+# --- smoothed rates: whole days of all trains, one hour step, two hour kernel ---------------------
 
-T0 = 1704067200.0  # 2024-01-01T00:00:00Z, the first instant of the table
 DT, SIGMA = 3600.0, 7200.0
 
-RATE = f"""{SPK}, rate AS (
-  SELECT run_id, label, g, sum(exp(power((1704067200.0::DOUBLE + g * 3600.0::DOUBLE - t) / 7200.0::DOUBLE, 2) * -0.5)
+RATE = f"""{SPK}, ep AS (SELECT floor(min(t) / 86400) * 86400 AS a, (floor(max(t) / 86400) + 1) * 86400 AS b FROM spk),
+gr AS (SELECT a, unnest(range(CAST((b - a) / 3600 AS BIGINT))) AS g FROM ep),
+rate AS (
+  SELECT run_id, label, g, sum(exp(power((a + g * 3600.0::DOUBLE - t) / 7200.0::DOUBLE, 2) * -0.5)
        / (7200.0::DOUBLE * sqrt(2 * pi()))) AS rate
-  FROM spk JOIN (SELECT unnest(range(720)) AS g) gr
-    ON g * 3600.0::DOUBLE BETWEEN t - 1704067200.0::DOUBLE - 8 * 7200.0::DOUBLE AND t - 1704067200.0::DOUBLE + 8 * 7200.0::DOUBLE
-  GROUP BY ALL)"""
+  FROM spk CROSS JOIN gr GROUP BY ALL)"""
 AMPS = "amps AS (SELECT run_id, label, CASE WHEN count(*) >= 10 THEN avg(amp) END AS a, max(amp) - min(amp) AS ptp FROM spk GROUP BY ALL)"
 FP = "fp AS (SELECT run_id, g, sum(rate) AS f, sum(coalesce(a, ptp) * rate) AS p FROM rate JOIN amps USING (run_id, label) GROUP BY ALL)"
 
 
 def _rates(spark, d):
     s = spikes(spark, d)
-    epochs = s.select("run_id").distinct().select("run_id", F.lit(T0).alias("a"), F.lit(T0 + DAY30).alias("b"))
+    day = F.floor(F.col("t") / 86400.0) * 86400.0
+    epochs = attach(s.select("run_id").distinct(), s.agg(F.min(day).alias("a"), (F.max(day) + 86400.0).alias("b")), [])
     return TR.gaussian_rate(s, epochs, ["run_id"], "label", DT, SIGMA)
 
 

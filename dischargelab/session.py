@@ -32,11 +32,13 @@ def get_spark(app: str = "dischargelab", cpus: int | str = "*", memory: str = "8
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to /tmp only where it is unset."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local master, whose tasks share one disk, may leave it unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="dischargelab-", dir="/tmp"))
 
 
@@ -59,9 +61,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Largest small side that is broadcast, in rows; it holds one row per run, type or coefficient.
+# Largest small side that is broadcast, in rows and in bytes; it holds one row per run, type or coefficient.
 BROADCAST_ROWS_CONF = "dischargelab.maxBroadcastRows"
 BROADCAST_ROWS_DEFAULT = 20_000
+BROADCAST_BYTES_CONF = "dischargelab.maxBroadcastBytes"
+BROADCAST_BYTES_DEFAULT = 32 << 20
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -73,10 +77,14 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner")
     a single row.
     """
     if not on:
-        return big.crossJoin(F.broadcast(small.limit(1)))
-    limit = int(big.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
+        head = small.limit(2).toArrow()
+        if head.num_rows > 1:
+            raise ValueError("without a key the small side must be a single row")
+        return big.crossJoin(F.broadcast(big.sparkSession.createDataFrame(head, small.schema)))
+    conf = big.sparkSession.conf
+    limit = int(conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
     head = small.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
+    if head.num_rows <= limit and head.nbytes <= int(conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES_DEFAULT))):
         small = F.broadcast(big.sparkSession.createDataFrame(head, small.schema))
     return big.join(small, on, how)
 

@@ -6,7 +6,7 @@ from (file, split start, position in split), which orders lines whatever the spl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dischargelab.operators.ordered import row_index
@@ -16,12 +16,21 @@ DEFAULT_FS = 24000.0
 
 
 def read_text_traces(spark: SparkSession, glob: str) -> DataFrame:
-    """(run_id, i, v) for every file matching ``glob``; the run id is the file name without suffix."""
+    """(run_id, i, v) for every file matching ``glob``.
+
+    The run id is the file's whole path without suffix: recordings of different subjects often have
+    the same file name. ``run_name`` gives the name alone.
+    """
     lines = spark.read.text(glob).select(
-        F.col("value"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_b"),
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m")).where(F.length(F.trim("value")) > 0)
     rows = row_index(lines, ["file"], ["_b", "_m"], "i")
-    return rows.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("run_id"), "i", F.trim("value").cast("double").alias("v"))
+    return rows.select(F.regexp_replace("file", r"\.[^./]*$", "").alias("run_id"), "i", F.trim("value").cast("double").alias("v"))
+
+
+def run_name(run: str = "run_id") -> Column:
+    """The last part of a run's path."""
+    return F.element_at(F.split(F.col(run), "/"), -1)
 
 
 def slice_rows(trace: DataFrame, fs: float, start_s: float = 0.0, duration_s: float | None = None) -> DataFrame:

@@ -138,7 +138,8 @@ def test_text_and_header_sources(spark):
         fh.write("Type\tSamples\tSmplFrq\tFile\nX\t500\t8000\tr1.txt\nX\t500\t9000\tr1.txt\nshort\tline\n")
     tr = SRC.read_text_traces(spark, f"{d}/*.txt")
     back = tr.orderBy("run_id", "i").toPandas()
-    assert np.allclose(back.loc[back.run_id == "r2", "v"], data["r2"], atol=1e-6)
+    assert np.allclose(back.loc[back.run_id.str.endswith("/r2"), "v"], data["r2"], atol=1e-6)
+    assert {r[0] for r in tr.select(SRC.run_name()).distinct().collect()} == {"r1", "r2"}
     runs = spark.createDataFrame([("r1.txt",), ("r2.txt",)], "file string")
     rates = {r["file"]: r["fs"] for r in SRC.with_sample_rate(runs, SRC.read_header(spark, f"{d}/Header")).collect()}
     assert rates == {"r1.txt": 8000.0, "r2.txt": 24000.0}
