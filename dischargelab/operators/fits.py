@@ -3,7 +3,7 @@
 All restarts, all cluster counts of a sweep and all groups advance together: a pass computes the
 sufficient statistics of every open fit per partition, the partial sums are added on the
 executors, and only (fits x clusters x dimensions) numbers reach the driver. Rows never do, except
-a bounded sample that seeds the centers.
+a bounded sample from which k-means draws its first centers; all fits then converge on all rows.
 
 Input rows are (``g`` int group, ``x`` array<double>).
 """
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from dischargelab.session import attach
 
-SEED_ROWS = 2000  # rows per group that seed the initial centers
+SEED_ROWS = 2000  # rows per group that seed the initial centers, or
+SEED_ROWS_PER_CENTER = 20  # as many for each center, if that is more
 
 
 Groups = Iterable[tuple[int, np.ndarray]]
@@ -109,7 +110,7 @@ class Fit:
     extra: dict = field(default_factory=dict)
 
 
-def lloyd(data: DataFrame | dict, fits: list[Fit], max_iter: int = 100, tol: float = 1e-4) -> list[Fit]:
+def lloyd(data: DataFrame | dict, fits: list[Fit], max_iter: int = 300, tol: float = 1e-4) -> list[Fit]:
     """Advance every k-means fit to convergence (relative center movement below ``tol``)."""
     open_ids = set(range(len(fits)))
     for it in range(max_iter + 1):
@@ -159,10 +160,13 @@ def kmeans(df: DataFrame, sid: str, ks: Iterable[int], seed: int, n_init: int =
     Every start first converges on the seed sample; the passes over all rows begin there, so they
     are few.
     """
-    return best_fits(lloyd(df, _starts(seed_rows(df, sid, seed), ks, seed, n_init)))
+    return best_fits(lloyd(df, _starts(df, sid, ks, seed, n_init)))
 
 
-def _starts(seeds: dict[int, np.ndarray], ks: Iterable[int], seed: int, n_init: int) -> list[Fit]:
+def _starts(df: DataFrame, sid: str, ks: Iterable[int], seed: int, n_init: int) -> list[Fit]:
+    """Starts settled on the seed sample. A count above a group's size has none."""
+    ks = list(ks)
+    seeds = seed_rows(df, sid, seed, max(SEED_ROWS, SEED_ROWS_PER_CENTER * max(ks, default=1)))
     rng = np.random.default_rng(seed)
     return lloyd(seeds, [Fit(g, k, plus_plus(x, k, rng)) for g, x in sorted(seeds.items()) for k in ks
                          if k <= len(x) for _ in range(n_init)])
@@ -256,18 +260,14 @@ def mixture(df: DataFrame, sid: str, ks: Iterable[int], seed: int, dof: float |
     """Gaussian (``dof`` None) or fixed-dof Student-t mixtures by EM from k-means starts.
 
     The log-likelihood change ends the loop: relative to its size for Student-t, per row for
-    Gaussian. As with k-means, EM settles on the seed sample before the passes over all rows.
+    Gaussian. The k-means starts, their covariances and weights, and EM itself see all rows.
     """
     tol = tol if tol is not None else (1e-4 if dof is not None else 1e-3)
-    seeds = seed_rows(df, sid, seed)
-    starts = _starts(seeds, ks, seed, 10 if n_init == 1 else n_init)
+    starts = lloyd(df, _starts(df, sid, ks, seed, 10 if n_init == 1 else n_init))
     if n_init == 1:
         starts = list(best_fits(starts).values())
     fits = [Fit(f.g, f.k, f.centers.copy()) for f in starts]
-    _hard_moments(seeds, fits, eps)
-    _em(seeds, fits, dof, max_iter, tol, eps)
-    for f in fits:
-        f.extra.clear()
+    _hard_moments(df, fits, eps)
     _em(df, fits, dof, max_iter, tol, eps)
     return best_fits(fits)
 

@@ -20,7 +20,8 @@ from dischargelab.operators.fits import pass_sums, seed_rows
 from dischargelab.session import materialize
 
 N_REFS, VAR_FRAC, MAX_PC, MIN_POOL, SEED, TINY = 50, 0.90, 10, 10, 42, 1e-12
-WARM_ROWS = 300  # rows per type that warm up the centers
+STARTS, MAX_PASSES = 10, 300
+WARM_ROWS = 300  # rows per type on which centers settle first; they then converge on all rows
 
 
 @dataclass
@@ -126,7 +127,7 @@ def _dispersions(rows: DataFrame, warm: dict[int, np.ndarray], pools: list[Pool]
     return _settle(rows, pools, centers, n_refs, starts)
 
 
-def _settle(data, pools: list[Pool], centers: dict, n_refs: int, starts: int, max_iter: int = 60,
+def _settle(data, pools: list[Pool], centers: dict, n_refs: int, starts: int, max_iter: int = MAX_PASSES,
             tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Two-means of every (pool, set, start) in ``centers``, all advanced by one pass at a time."""
     of: dict[int, list[int]] = {}
@@ -189,7 +190,7 @@ def _settle(data, pools: list[Pool], centers: dict, n_refs: int, starts: int, ma
 
 
 def gap_statistics(waves: DataFrame, members: list[tuple[int, ...]], sid: str = "spike_id", n_refs: int = N_REFS,
-                   starts: int = 3, within2: dict[tuple[int, ...], float] | None = None,
+                   starts: int = STARTS, within2: dict[tuple[int, ...], float] | None = None,
                    moments: dict[int, np.ndarray] | None = None, rows: DataFrame | None = None) -> list[dict]:
     """Gap(1), Gap(2) and their simulation errors for every pool of types.
 
@@ -214,7 +215,7 @@ def gap_statistics(waves: DataFrame, members: list[tuple[int, ...]], sid: str =
     return out
 
 
-def pair_verdicts(waves: DataFrame, sid: str = "spike_id", n_refs: int = N_REFS, starts: int = 3) -> list[dict]:
+def pair_verdicts(waves: DataFrame, sid: str = "spike_id", n_refs: int = N_REFS, starts: int = STARTS) -> list[dict]:
     """Is each pair of types one cluster (Gap(1) >= Gap(2))? Pools below ten spikes always are."""
     rows = materialize(_ids(waves, sid))
     moments = type_moments(rows)
