@@ -278,10 +278,18 @@ def drop_superposition(spark, d):
     return TP.drop_superposition(waveforms(spark, d), _super(spark, d), []).select("spike_id", "label")
 
 
-@query("effective_rank", f"""WITH {T_} SELECT (SELECT count(*) FROM cn) AS n_types, {rnd('0.05::DOUBLE * (sqrt((SELECT count(*) FROM cn)) + sqrt(64))')} AS noise_ceiling,
-  {rnd('sum(v * v * n)')} AS energy FROM tpl JOIN cn USING (label)""")
+# Types merged to two: their singular values follow from the two-by-two table of inner products.
+@query("effective_rank", f"""WITH {WF}, {WFP}, t AS (SELECT label % 2 AS h, p, avg(v) AS v FROM wfp GROUP BY ALL), c AS (SELECT label % 2 AS h, count(*) AS n FROM wf GROUP BY ALL),
+g AS (SELECT sum(CASE WHEN h = 0 THEN v * v * n END) AS a, sum(CASE WHEN h = 1 THEN v * v * n END) AS b FROM t JOIN c USING (h)),
+x AS (SELECT sum(t0.v * t1.v) * sqrt((SELECT n FROM c WHERE h = 0) * (SELECT n FROM c WHERE h = 1)) AS ab FROM t t0 JOIN t t1 ON t0.p = t1.p AND t0.h = 0 AND t1.h = 1),
+s AS (SELECT a + b AS energy, sqrt((a + b + sqrt((a - b) * (a - b) + 4 * ab * ab)) / 2) AS s0, sqrt((a + b - sqrt((a - b) * (a - b) + 4 * ab * ab)) / 2) AS s1,
+  2.4::DOUBLE / (sqrt(2) + sqrt(64)) * (sqrt(2) + sqrt(64)) AS ceiling FROM g, x)
+SELECT 2::BIGINT AS n_types, CAST((s0 > ceiling)::INT + (s1 > ceiling)::INT AS BIGINT) AS n_significant, {rnd('ceiling')} AS noise_ceiling, {rnd('energy')} AS energy,
+  {rnd('s0')} AS s0, {rnd('s1')} AS s1 FROM s""")
 def effective_rank(spark, d):
-    return TP.effective_rank(_tpl(spark, d), [], 0.05).select("n_types", "noise_ceiling", "energy")
+    two = TP.templates(waveforms(spark, d).withColumn("label", F.col("label") % 2), [])
+    sv = F.col("singular_values")
+    return TP.effective_rank(two, [], 2.4 / (2 ** 0.5 + 8)).select("n_types", "n_significant", "noise_ceiling", "energy", sv[0].alias("s0"), sv[1].alias("s1"))
 
 
 # --- features -----------------------------------------------------------------------------------
@@ -295,15 +303,41 @@ def build_features(spark, d):
     return out.select("spike_id", *[F.col("features")[k].alias(f"f{k}") for k in range(5)])
 
 
-@query("pca_scores", f"""WITH {WFS}, {WFP}, m AS (SELECT p, avg(v) AS m FROM wfp GROUP BY p)
-SELECT spike_id, {rnd('sum((v - m) * (v - m))')} AS energy FROM wfp JOIN m USING (p) GROUP BY spike_id""")
+# The two halves of a waveform, summed: axes of two variables have a closed form, signs included.
+AXES = f"""{WFS}, hv AS (SELECT spike_id, list_sum(x[1:32]) AS u, list_sum(x[33:64]) AS w FROM wf),
+mo AS (SELECT avg(u) AS mu, avg(w) AS mw, var_samp(u) AS a, var_samp(w) AS c, covar_samp(u, w) AS b FROM hv),
+la AS (SELECT *, (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) - a AS y FROM mo),
+ax AS (SELECT mu, mw, b / sqrt(b * b + y * y) AS vx, y / sqrt(b * b + y * y) AS vy FROM la),
+sg AS (SELECT *, CASE WHEN (CASE WHEN abs(vx) >= abs(vy) THEN vx ELSE vy END) < 0 THEN -1 ELSE 1 END AS s1,
+  CASE WHEN (CASE WHEN abs(vy) >= abs(vx) THEN -vy ELSE vx END) < 0 THEN -1 ELSE 1 END AS s2 FROM ax),
+pc AS (SELECT spike_id, ((u - mu) * vx + (w - mw) * vy) * s1 AS p0, ((u - mu) * -vy + (w - mw) * vx) * s2 AS p1 FROM hv, sg)"""
+
+
+def _halves(spark, d):
+    x = F.array(A.total(F.slice("x", 1, 32)), A.total(F.slice("x", 33, 32)))
+    return waveforms(spark, d, True).withColumn("x", x)
+
+
+@query("pca_scores", f"WITH {AXES} SELECT spike_id, {rnd('p0')} AS p0, {rnd('p1')} AS p1 FROM pc")
 def pca_scores(spark, d):
+    return FE.pca_scores(_halves(spark, d), 2).select("spike_id", F.col("shape")[0].alias("p0"), F.col("shape")[1].alias("p1"))
+
+
+@query("pca_energy", f"""WITH {WFS}, {WFP}, m AS (SELECT p, avg(v) AS m FROM wfp GROUP BY p)
+SELECT spike_id, {rnd('sum((v - m) * (v - m))')} AS energy FROM wfp JOIN m USING (p) GROUP BY spike_id""")
+def pca_energy(spark, d):
     """All components: a rotation of the centred waveform, so its energy is preserved."""
     return FE.pca_scores(waveforms(spark, d, True), N).select("spike_id", A.sum_sq("shape").alias("energy"))
 
 
-@query("pca_var90")
+@query("pca_var90", f"WITH {AXES} SELECT spike_id, 2::BIGINT AS n_pc, unnest([0::BIGINT, 1]) AS pc, unnest([{rnd('p0')}, {rnd('p1')}]) AS score FROM pc")
 def pca_var90(spark, d):
+    scores, n_pc = FE.pca_by_variance(_halves(spark, d))
+    return scores.select("spike_id", F.lit(n_pc).alias("n_pc"), F.posexplode("shape").alias("pc", "score"))
+
+
+@query("pca_var90_full")
+def pca_var90_full(spark, d):
     scores, n_pc = FE.pca_by_variance(waveforms(spark, d, True))
     return scores.select("spike_id", F.lit(n_pc).alias("n_pc"), F.posexplode("shape").alias("pc", "score"))
 

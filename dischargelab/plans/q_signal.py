@@ -130,11 +130,14 @@ def reaverage(spark, d):
     return out.select("run_id", "label", "n", F.posexplode("m").alias("p", "v"))
 
 
-@query("wide_recut", f"WITH RECURSIVE {EP}, {SNAP}, {CUT} SELECT run_id, i, p, {rnd('v')} AS v FROM wv")
+WIDE = f"""wd AS (SELECT bl.run_id, bl.i, tr.i - bl.i + {BASE} AS p, tr.v - m AS v FROM bl JOIN tr ON tr.run_id = bl.run_id AND tr.i >= bl.i - {BASE} AND tr.i < bl.i + {BASE})"""
+
+
+@query("wide_recut", f"WITH RECURSIVE {EP}, {SNAP}, {CUT}, {WIDE} SELECT run_id, i, p, {rnd('v')} AS v FROM wd")
 def wide_recut(spark, d):
     tr = _kept(spark, d)
     clustered = materialize(_cut(tr).select("run_id", "i"))
-    return G.wide_recut(tr, clustered, RUN, HALF, BASE).select("run_id", "i", F.posexplode("x").alias("p", "v"))
+    return G.wide_recut(tr, clustered, RUN, BASE, BASE).select("run_id", "i", F.posexplode("x").alias("p", "v"))
 
 
 @query("run_consistency", """SELECT count(DISTINCT CASE WHEN label < 0 THEN 0 ELSE 24000 END) AS n_rates, count(DISTINCT len(embedding)) AS n_lengths,
