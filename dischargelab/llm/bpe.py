@@ -159,7 +159,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         out = [c.decode(np.frombuffer(b or b"", dtype="<u4")) for b in batch.column("ids").to_pylist()]
         return pa.record_batch({"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "decoded": pa.array(out, pa.binary())})
 
-    return map_batches(encoded.select("doc_id", "ids"), kernel, "doc_id long, ids binary, decoded binary")
+    return map_batches(encoded.select("doc_id", "ids"), kernel, "doc_id long, ids binary, decoded binary", "ids")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

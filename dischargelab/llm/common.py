@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dischargelab.llm.words import byte_slices
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The white space of the text contracts, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,13 +24,13 @@ def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
-    """``fn`` on slices of every Arrow batch. Spark bounds a batch by rows and bytes; slices bound what ``fn`` adds to it."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str | int = "text", limit: int = 4 << 20) -> DataFrame:
+    """``fn`` on slices of every Arrow batch that hold at most ``limit`` bytes in column ``text`` (or one row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                yield fn(b.slice(at, rows))
+            for part in byte_slices(b, text, limit):
+                yield fn(part)
 
     return df.mapInArrow(run, schema)
 

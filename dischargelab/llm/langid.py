@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 from dischargelab.llm.common import map_batches, table
 from dischargelab.llm.words import runs, split_words
 
-PER_LANGUAGE = 200  # labelled texts of each language to learn from
+PER_LANGUAGE = 150  # labelled texts of each language to learn from
 LEARNED_CHARS = 20_000  # a longer sampled text gives pieces from all over it, this much in total
 BITS, BLOCK, STEPS, RATE = 16, 32, 12, 0.3
 BUCKETS = 1 << BITS
+SLICE = 2 << 20  # bytes of text that are worked on at a time; the arrays take some fifty times as much
 UNKNOWN = "und"
 MIN_SCORE = 0.3  # below it a document has no language of its own
 
@@ -173,6 +174,8 @@ class Model:
     transitions: np.ndarray
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        if not self.languages:
+            return [UNKNOWN] * len(column), np.zeros(len(column))
         f = features(column)
         sizes = np.diff(f.first)
         marginals, _ = forward_backward(emissions(f, self.weights), f.first, self.transitions, expect=False)
@@ -181,8 +184,6 @@ class Model:
         lettered = f.ascii_letter.copy()
         for i in np.flatnonzero((sizes > 0) & ~lettered):  # beyond ASCII a word's bytes may hold no letter
             lettered[i] = any(map(str.isalpha, column[int(i)].as_py()))
-        if not self.languages:
-            return [UNKNOWN] * len(column), np.zeros(len(column))
         best = mean.argmax(axis=1)
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
         return names, np.where(lettered, np.minimum(mean.max(axis=1), 1.0), 0.0)
@@ -278,7 +279,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     slimmed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_batches(slimmed, kernel, "doc_id long, lang_pred string, score double", rows=1024)
+    return map_batches(slimmed, kernel, "doc_id long, lang_pred string, score double", limit=SLICE)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -290,7 +291,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
         names, scores = sent.value.predict(batch.column(place))
         return batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return map_batches(docs, kernel, docs.schema, rows=1024)
+    return map_batches(docs, kernel, docs.schema, place, SLICE)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from dischargelab.session import materialize
 
 CAPACITY, UNCUT, END_ID = 2048, 128, 1
 LEVELS = (1024, 32, 1)  # buckets per class, from fine to coarse
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 GROUP = 200  # words that are encoded as one text
 END = "\n"  # stands for the end id: a line feed is in no word
 MODEL = "word_bpe_49k.json"
@@ -183,7 +183,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids
                 "doc_tokens": pa.array(sizes[row], pa.int64())}
         return pa.record_batch(cols | ({"ids": pa.array(own, pa.binary())} if keep_ids else {}))
 
-    return map_batches(slim(docs, id_col, text_col), kernel, PIECES + ", ids binary" * keep_ids, rows=2048)
+    return map_batches(slim(docs, id_col, text_col), kernel, PIECES + ", ids binary" * keep_ids)
 
 
 def first_fit(pieces: pd.DataFrame, capacity: int) -> np.ndarray:

@@ -167,7 +167,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = K
         masked = [t and mask(t, [s for s in find(t) if s[0] in kinds]) for t in batch.column(place).to_pylist()]
         return batch.set_column(place, batch.schema.field(place), pa.array(masked, batch.schema.field(place).type))
 
-    return map_batches(docs, kernel, schema)
+    return map_batches(docs, kernel, schema, place)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
