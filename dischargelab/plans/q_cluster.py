@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from dischargelab.operators import cluster as C
 from dischargelab.operators import features as FE
+from dischargelab.operators import fits as FT
 from dischargelab.operators.sampling import hash_sample
 from dischargelab.operators.tiles import silhouette as tile_silhouette
-from dischargelab.plans.fixtures import SPK, WF, WFS, spikes, waveforms
+from dischargelab.plans.fixtures import SPK, WF, WFP, WFS, spikes, waveforms
 from dischargelab.plans.registry import query, rnd
 from dischargelab.session import materialize
 
@@ -145,3 +147,62 @@ REFINED = (f"WITH {COST[:COST.index('cn AS (')]} {MIXED}, tp AS MATERIALIZED (SE
 def regularity_refine(spark, d):
     rows = _costs(spark, d)[0].withColumn("label", F.when(F.col("run_id") % 2 == 0, F.col("label") % 3).otherwise(F.col("label")).cast("int"))
     return C.regularity_refine(rows, ["run_id"], 20000.0, 86400.0).select("run_id", "spike_id", "label")
+
+
+# --- fits from given starts, step by step --------------------------------------------------------
+
+LLOYD = ", ".join(
+    f"""a{k} AS MATERIALIZED (SELECT spike_id, c FROM (SELECT w.spike_id, c.c, sum((w.v - c.v) * (w.v - c.v)) AS d FROM wfp w JOIN c{k} c USING (p) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY spike_id ORDER BY d, c) = 1), c{k + 1} AS MATERIALIZED (SELECT c, p, avg(v) AS v FROM wfp JOIN a{k} USING (spike_id) GROUP BY ALL)""" for k in range(11))
+
+
+@query("kmeans_given", f"WITH {WFS}, {WFP}, c0 AS MATERIALIZED (SELECT spike_id AS c, p, v FROM wfp WHERE spike_id < 3), {LLOYD} SELECT spike_id, CAST(c AS BIGINT) AS label FROM a10")
+def kmeans_given(spark, d):
+    """Ten k-means steps over all waveforms from the first three as centers."""
+    rows = materialize(waveforms(spark, d, True).select(F.lit(0).alias("g"), "spike_id", "x"))
+    start = np.array([r["x"] for r in rows.where("spike_id < 3").orderBy("spike_id").collect()])
+    fit = FT.lloyd(rows, [FT.Fit(0, 3, start)], max_iter=10, tol=0.0)[0]
+    return FT.assign(rows, {0: fit}).select("spike_id", "label")
+
+
+HALF_SUMS = "hv AS MATERIALIZED (SELECT spike_id, list_sum(x[1:32]) AS u, list_sum(x[33:64]) AS w FROM wf)"
+# A step of two-variable EM: q holds responsibilities r and tail weights t (1 for Gaussian components).
+EM_STEP = """e{k} AS MATERIALIZED (SELECT spike_id, c, u, w, ln(wt) - 0.5::DOUBLE * ln(a * d - b * b) AS l0,
+  (d * (u - mx) * (u - mx) - 2 * b * (u - mx) * (w - my) + a * (w - my) * (w - my)) / (a * d - b * b) AS mh FROM hv, s{k}),
+q{k} AS MATERIALIZED (SELECT spike_id, c, u, w, {tail} AS t, l, exp(l - max(l) OVER (PARTITION BY spike_id)) AS f FROM (SELECT *, l0 {density} AS l FROM e{k})),
+r{k} AS MATERIALIZED (SELECT *, f / sum(f) OVER (PARTITION BY spike_id) AS r FROM (SELECT q.*, {tail_of} AS tt FROM q{k} q)),
+m{k} AS MATERIALIZED (SELECT c, sum(r) AS nk, sum(r * tt) AS s0, sum(r * tt * u) / sum(r * tt) AS mx, sum(r * tt * w) / sum(r * tt) AS my FROM r{k} GROUP BY c),
+s{n} AS MATERIALIZED (SELECT m.c, any_value(m.mx) AS mx, any_value(m.my) AS my, sum(r * tt * (u - m.mx) * (u - m.mx)) / any_value(nk) + 1e-6 AS a, sum(r * tt * (u - m.mx) * (w - m.my)) / any_value(nk) AS b,
+  sum(r * tt * (w - m.my) * (w - m.my)) / any_value(nk) + 1e-6 AS d, any_value(nk) / (SELECT count(*) FROM hv) AS wt FROM r{k} r JOIN m{k} m USING (c) GROUP BY m.c)"""
+
+
+def _em_sql(dof, steps: int) -> str:
+    density = "- 0.5::DOUBLE * mh" if dof is None else f"- 0.5::DOUBLE * ({dof} + 2) * ln(1 + mh / {dof})"
+    tail = "1" if dof is None else f"({dof} + 2) / ({dof} + mh)"
+    body = ", ".join(EM_STEP.format(k=k, n=k + 1, density=density, tail=tail, tail_of="t") for k in range(steps + 1))
+    return f"""WITH {WFS}, {HALF_SUMS}, h AS MATERIALIZED (SELECT p.spike_id, p.u, p.w, c.spike_id AS c FROM hv p, hv c WHERE c.spike_id < 2
+  QUALIFY row_number() OVER (PARTITION BY p.spike_id ORDER BY (p.u - c.u) * (p.u - c.u) + (p.w - c.w) * (p.w - c.w), c.spike_id) = 1),
+s0 AS MATERIALIZED (SELECT h.c, any_value(g.u) AS mx, any_value(g.w) AS my, var_samp(h.u) + 1e-6 AS a, covar_samp(h.u, h.w) AS b, var_samp(h.w) + 1e-6 AS d,
+  count(*)::DOUBLE / (SELECT count(*) FROM hv) AS wt FROM h JOIN hv g ON g.spike_id = h.c GROUP BY h.c), {body}
+SELECT spike_id, CAST(c AS BIGINT) AS label FROM q{steps} QUALIFY row_number() OVER (PARTITION BY spike_id ORDER BY l DESC, c) = 1"""
+
+
+def _em_given(spark, d, dof, steps: int):
+    halves = F.array(F.aggregate(F.slice("x", 1, 32), F.lit(0.0), lambda a, v: a + v), F.aggregate(F.slice("x", 33, 32), F.lit(0.0), lambda a, v: a + v))
+    rows = materialize(waveforms(spark, d, True).select(F.lit(0).alias("g"), "spike_id", halves.alias("x")))
+    start = np.array([r["x"] for r in rows.where("spike_id < 2").orderBy("spike_id").collect()])
+    fits = [FT.Fit(0, 2, start)]
+    FT._hard_moments(rows, fits, 1e-6)
+    FT._em(rows, fits, dof, steps, 0.0, 1e-6)
+    return FT.assign(rows, {0: fits[0]}, dof=dof).select("spike_id", "label")
+
+
+@query("gmm_given", _em_sql(None, 8))
+def gmm_given(spark, d):
+    """Eight EM steps of two Gaussian components over both halves of all waveforms, from given centers."""
+    return _em_given(spark, d, None, 8)
+
+
+@query("tmixture_given", _em_sql(4.0, 8))
+def tmixture_given(spark, d):
+    return _em_given(spark, d, 4.0, 8)
