@@ -112,9 +112,9 @@ def _dispersions(rows: DataFrame, warm: dict[int, np.ndarray], pools: list[Pool]
 
     Centers first settle on ``warm``, a bounded sample per type, so few passes over all rows remain.
     """
-    rng = np.random.default_rng(SEED)
     centers = {}
     for i, p in enumerate(pools):
+        rng = np.random.default_rng(SEED)  # a pool's starts don't depend on the pools beside it
         for b in range(0 if observed else 1, n_refs + 1):
             for r in range(starts):
                 if b == 0:
@@ -152,7 +152,7 @@ def _settle(data, pools: list[Pool], centers: dict, n_refs: int, starts: int, ma
                 y = (x[:, 1:] - p.mean) @ p.axes
             else:
                 ids = x[:, 0].astype(np.int64)
-                u = np.stack([_uniform(ids, ((i * (n_refs + 1) + b) * MAX_PC + a) * 7919 + SEED) for a in range(len(p.lo))], 1)
+                u = np.stack([_uniform(ids, (b * MAX_PC + a) * 7919 + SEED) for a in range(len(p.lo))], 1)
                 y = p.lo + u * (p.hi - p.lo)
             if cache is not None:
                 cache[g, i, b] = y
@@ -215,12 +215,16 @@ def gap_statistics(waves: DataFrame, members: list[tuple[int, ...]], sid: str =
     return out
 
 
-def pair_verdicts(waves: DataFrame, sid: str = "spike_id", n_refs: int = N_REFS, starts: int = STARTS) -> list[dict]:
-    """Is each pair of types one cluster (Gap(1) >= Gap(2))? Pools below ten spikes always are."""
+def pair_verdicts(waves: DataFrame, sid: str = "spike_id", n_refs: int = N_REFS, starts: int = STARTS,
+                  owner: dict[int, object] | None = None) -> list[dict]:
+    """Is each pair of types one cluster (Gap(1) >= Gap(2))? Pools below ten spikes always are.
+
+    With ``owner``, which tells every type's pool, only types of the same pool make pairs.
+    """
     rows = materialize(_ids(waves, sid))
     moments = type_moments(rows)
     types = sorted(moments)
-    pairs = [(a, b) for n, a in enumerate(types) for b in types[n + 1:]]
+    pairs = [(a, b) for n, a in enumerate(types) for b in types[n + 1:] if owner is None or owner[a] == owner[b]]
     small = [p for p in pairs if moments[p[0]][0] + moments[p[1]][0] < MIN_POOL]
     tested = gap_statistics(waves, [p for p in pairs if p not in set(small)], sid, n_refs, starts, moments=moments, rows=rows)
     out = [{"anchor": r["members"][0], "other": r["members"][1], "n_pool": r["n"], "one": r["gap1"] >= r["gap2"],

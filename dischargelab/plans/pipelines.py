@@ -238,8 +238,30 @@ def merge_effect(s: Sort, truth: DataFrame, tol_s: float, n_refs: int = GP.N_REF
 
 # --- second stages ------------------------------------------------------------------------------
 
-def gap_anchor_merge(spikes: DataFrame, n_refs: int = GP.N_REFS) -> tuple[DataFrame, list[dict]]:
-    """Anchored merge of one pool by the gap test; labels must be dense."""
+def number_types(spikes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, _id): one number for every type of every pool; the table has a row per type."""
+    return materialize(spikes.select(*keys, "label").distinct().withColumn("_id", (F.row_number().over(Window.orderBy(*keys, "label")) - 1).cast("int")))
+
+
+def gap_anchor_merge(spikes: DataFrame, n_refs: int = GP.N_REFS, keys: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
+    """Anchored merge by the gap test; labels must be dense. With ``keys`` every pool merges its own types,
+    and the pairs of all pools are tested together."""
+    if keys:
+        names = number_types(spikes, keys)
+        types = [(tuple(r[k] for k in keys), r["_id"]) for r in names.orderBy("_id").collect()]
+        owner = {i: pool for pool, i in types}
+        apart = attach(spikes, names, [*keys, "label"]).withColumn("label", F.col("_id"))
+        log = GP.pair_verdicts(apart.drop("_id"), n_refs=n_refs, owner=owner)
+        one = {(r["anchor"], r["other"]): r["one"] for r in log}
+        new, asked = {}, set()
+        for pool in dict.fromkeys(owner.values()):
+            own = [i for i, p in owner.items() if p == pool]
+            ids, order = GP.anchor_merge(len(own), {(a, b): one[i, j] for a, i in enumerate(own) for b, j in enumerate(own) if i < j})
+            new.update(zip(own, ids))
+            asked |= {(own[a], own[b]) for a, b, _ in order}
+        table = spikes.sparkSession.createDataFrame(list(new.items()), "_id int, _new int")
+        merged = attach(apart, table, ["_id"]).withColumn("label", F.col("_new")).select(*spikes.columns)
+        return merged, [r for r in log if (r["anchor"], r["other"]) in asked]
     log = GP.pair_verdicts(spikes, n_refs=n_refs)
     n = 1 + int(spikes.agg(F.max("label")).first()[0])
     ids, order = GP.anchor_merge(n, {(r["anchor"], r["other"]): r["one"] for r in log})
@@ -256,8 +278,7 @@ def split_then_merge(s: Sort, keys: list[str] | None = None, how: str = "tsne",
     """
     live = s.spikes.where("label >= 0")
     if keys:
-        names = live.select(*keys, "label").distinct().withColumn("_id", F.row_number().over(Window.orderBy(*keys, "label")) - 1)  # one row per type
-        live = attach(live, materialize(names), [*keys, "label"]).withColumn("label", F.col("_id").cast("int")).drop("_id").select(*live.columns)
+        live = attach(live, number_types(live, keys), [*keys, "label"]).withColumn("label", F.col("_id")).select(*live.columns)
     if how == "gap":
         split, report = SP.split_by_gap(live, n_iter=n_iter)
     else:

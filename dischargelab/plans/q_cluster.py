@@ -94,7 +94,7 @@ def spc(spark, d):
 
 @query("silhouette_sweep")
 def silhouette_sweep(spark, d):
-    return C.sweep(pool(spark, d), range(2, 9), 42, sample=4000).select("k", "score")
+    return C.sweep(pool(spark, d), range(2, 9), 42).select("k", "score")
 
 
 # One refinement step: features are the amplitude and the hour of day, a day-wide window.

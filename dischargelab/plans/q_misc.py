@@ -225,12 +225,17 @@ def report_lines(spark, d):
 
 # --- generators ---------------------------------------------------------------------------------
 
-@query("superpose", f"""WITH {SPK}, {WFS}, {WFP}, {TPL}, s AS (SELECT label, CAST(round_even((t - 1704067200.0::DOUBLE) * 0.01::DOUBLE, 0) AS BIGINT) - 32 AS f FROM spk)
-SELECT f + p AS i, {rnd('sum(v)')} AS v FROM s JOIN tpl USING (label) WHERE f + p >= 0 AND f + p < 25920 GROUP BY f + p""")
+# The recording spans whole days around all spikes.
+@query("superpose", f"""WITH {SPK}, {WFS}, {WFP}, {TPL}, ep AS (SELECT floor(min(t) / 86400) * 86400 AS a, (floor(max(t) / 86400) + 1) * 86400 AS b FROM spk),
+s AS (SELECT label, CAST(round_even((t - a) * 0.01::DOUBLE, 0) AS BIGINT) - 32 AS f FROM spk, ep)
+SELECT f + p AS i, {rnd('sum(v)')} AS v FROM s JOIN tpl USING (label) WHERE f + p >= 0 AND f + p < (SELECT (b - a) * 0.01::DOUBLE FROM ep) GROUP BY f + p""")
 def superpose(spark, d):
-    s = spikes(spark, d).select(F.lit("all").alias("rec"), "label", (F.col("t") - 1704067200.0).alias("t"))
+    s = spikes(spark, d)
+    day = F.floor(F.col("t") / 86400.0) * 86400.0
+    a, b = s.agg(F.min(day), F.max(day) + 86400.0).first()
+    s = s.select(F.lit("all").alias("rec"), "label", (F.col("t") - a).alias("t"))
     t = TP.templates(waveforms(spark, d, True), []).select("label", F.col("m").alias("x"))
-    return SI.superpose(s, t, ["rec"], ["label"], 0.01, 25920).drop("rec")
+    return SI.superpose(s, t, ["rec"], ["label"], 0.01, round((b - a) * 0.01)).drop("rec")
 
 
 @query("gamma_train")

@@ -177,7 +177,7 @@ def center_select(spark, d):
 @query("scalogram")
 def scalogram(spark, d):
     t = TP.templates(waveforms(spark, d), []).withColumnRenamed("m", "x")
-    return G.scalogram(t, ["label"], FS_WAVE, n_freqs=16)
+    return G.scalogram(t, ["label"], FS_WAVE)
 
 
 @query("type_table", f"""WITH {TRACE}, {REAV}, m AS (SELECT run_id, label, count(*) AS n, p, avg(v) AS v FROM w GROUP BY run_id, label, p),

@@ -115,3 +115,17 @@ def test_one_row_sides_are_asserted(spark):
 
 def test_presets_state_their_own_silhouette_sample():
     assert BASE.silhouette_sample is None and SIMULATED.silhouette_sample == CLINICAL.silhouette_sample == 4000
+
+
+def test_pools_merge_as_if_each_were_alone(spark):
+    rng = np.random.default_rng(3)
+    parts = []
+    for g in range(2):
+        centers = np.array([[0.0, 0], [0.3, 0], [9, 9], [9.2, 9]]) + g
+        for label, c in enumerate(centers):
+            parts += [(g, label, (g * 4 + label) * 100 + i, (c + rng.normal(size=2)).tolist()) for i in range(40)]
+    rows = spark.createDataFrame(parts, "g int, label int, spike_id long, x array<double>")
+    together, _ = P.gap_anchor_merge(rows, 10, ["g"])
+    got = {r["spike_id"]: r["label"] for r in together.collect()}
+    alone = {r["spike_id"]: r["label"] for g in range(2) for r in P.gap_anchor_merge(rows.where(F.col("g") == g), 10)[0].collect()}
+    assert got == alone and set(got.values()) == {0, 1}
