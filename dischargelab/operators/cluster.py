@@ -59,7 +59,7 @@ def sweep(df: DataFrame, ks, seed: int, method: str = "kmeans", dof: float = 4.0
           sample: int | None = None) -> DataFrame:
     """(g, k, score): silhouette of every cluster count, all fitted together.
 
-    A count that is below 2, not below the pool's size, or collapses to one cluster has no row.
+    A count that is not below the pool's size or collapses to one cluster scores NaN.
     ``sample`` scores on a hash sample of each pool, as the distances are quadratic.
     """
     sizes = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
@@ -72,7 +72,9 @@ def sweep(df: DataFrame, ks, seed: int, method: str = "kmeans", dof: float = 4.0
     table = rows.withColumn("labels", F.array(*columns))
     out = silhouette(materialize(table.select("g", SID, "x", "labels")), SID, len(ks))
     pick = F.array(*[F.lit(kk) for kk in ks])
-    return out.select("g", F.get(pick, F.col("labeling")).cast("int").alias("k"), F.col("silhouette").alias("score"))
+    scored = out.select("g", F.get(pick, F.col("labeling")).cast("int").alias("k"), F.col("silhouette").alias("score"))
+    asked = df.sparkSession.createDataFrame([(g, kk) for g in sizes for kk in ks], "g int, k int")
+    return asked.join(scored, ["g", "k"], "left").fillna(float("nan"), ["score"])
 
 
 def best_k(scores: DataFrame, keys: list[str], k: str = "k", score: str = "score") -> DataFrame:

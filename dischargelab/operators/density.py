@@ -74,14 +74,17 @@ def kde_2d(points: DataFrame, key: str, x: str, y: str, n_grid: int, weight: str
 
 
 def histogram(points: DataFrame, value: str, n_bins: int) -> DataFrame:
-    """(bin, lo, hi, n) on equal bins from minimum to maximum; the last bin is closed."""
+    """(bin, lo, hi, n) on equal bins from minimum to maximum; the last bin is closed, empty bins count zero."""
     span = points.agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
     rows = points.select(value).where(F.col(value).isNotNull()).crossJoin(F.broadcast(span))  # one row on the right
     width = (F.col("_b") - F.col("_a")) / n_bins
     b = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_a")) / width), F.lit(n_bins - 1))).otherwise(0)
-    return rows.groupBy(b.cast("long").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("_a").alias("_a"), F.max(width).alias("_w")).select(
-        "bin", (F.col("_a") + F.col("bin") * F.col("_w")).alias("lo"), (F.col("_a") + (F.col("bin") + 1) * F.col("_w")).alias("hi"), "n")
+    counts = rows.groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = F.sequence(F.lit(0).cast("long"), F.when(width > 0, F.lit(n_bins - 1)).otherwise(0).cast("long"))
+    grid = span.where("_a IS NOT NULL").select("_a", width.alias("_w"), F.explode(bins).alias("bin"))
+    return grid.join(counts, "bin", "left").select(
+        "bin", (F.col("_a") + F.col("bin") * F.col("_w")).alias("lo"), (F.col("_a") + (F.col("bin") + 1) * F.col("_w")).alias("hi"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def kde_1d(points: DataFrame, value: str, n_points: int, scale: float | None = None) -> DataFrame:

@@ -181,9 +181,11 @@ def recovery_summary(pur: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def confusion(matched: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """True unit x type counts over matched spikes, one row per non-empty cell."""
-    return matched.where("matched_unit >= 0").groupBy(*keys, "matched_unit", label).agg(
-        F.count(F.lit(1)).alias("n"))
+    """Counts of matched spikes for every true unit and type that have any; cells without a spike count zero."""
+    counts = matched.where("matched_unit >= 0").groupBy(*keys, "matched_unit", label).agg(F.count(F.lit(1)).alias("n"))
+    types = counts.groupBy(*keys).agg(F.collect_set(label).alias("_t")) if keys else counts.agg(F.collect_set(label).alias("_t"))
+    cells = attach(counts.select(*keys, "matched_unit").distinct(), types, keys).select(*keys, "matched_unit", F.explode("_t").alias(label))
+    return cells.join(counts, [*keys, "matched_unit", label], "left").fillna(0, ["n"])
 
 
 def best_type_per_unit(pur: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

@@ -165,15 +165,16 @@ def isi_axis(isis: DataFrame, bin_ms: float, cap_ms: float, share: float = 0.9)
 def isi_histogram(isis: DataFrame, keys: list[str], bin_ms: float, cap_ms: float) -> DataFrame:
     """Counts per ``bin_ms`` bin on the shared axis; edges run to the first one at or past its end.
 
-    Values beyond the last edge are left out and the last bin is closed, as NumPy does.
+    Values beyond the last edge are left out and the last bin is closed, as NumPy does. Empty bins count zero.
     """
     axis = isi_axis(isis, bin_ms, cap_ms)
     n_bins = F.ceil((F.col("xlim_max") + bin_ms) / bin_ms) - 1
     rows = isis.crossJoin(F.broadcast(axis.withColumn("_n", n_bins)))  # one row on the right
     edge = F.col("_n") * bin_ms
     b = F.least(F.floor(F.col("isi_ms") / bin_ms), F.col("_n") - 1)
-    return (rows.where(F.col("isi_ms") <= edge).groupBy(*keys, b.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    counts = rows.where(F.col("isi_ms") <= edge).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = rows.select(*keys, "_n").distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("bin"))
+    return bins.join(counts, [*keys, "bin"], "left").fillna(0, ["n"])
 
 
 def firing_rate(spikes: DataFrame, keys: list[str], duration: Column | float) -> DataFrame:

@@ -185,8 +185,8 @@ def _gaps(spark, d):
 
 
 @query("hist", f"""WITH {SPK}, {ISI}, r AS (SELECT min(v) AS a, max(v) AS b, (max(v) - min(v)) / 25 AS w FROM l)
-SELECT least(CAST(floor((v - a) / w) AS BIGINT), 24) AS bin, count(*) AS n, {rnd('any_value(a) + least(CAST(floor((v - a) / w) AS BIGINT), 24) * any_value(w)', 4)} AS lo,
-  {rnd('any_value(a) + (least(CAST(floor((v - a) / w) AS BIGINT), 24) + 1) * any_value(w)', 4)} AS hi FROM l, r GROUP BY least(CAST(floor((v - a) / w) AS BIGINT), 24)""", digits=4)
+SELECT CAST(bin AS BIGINT) AS bin, coalesce(n, 0) AS n, {rnd('a + bin * w', 4)} AS lo, {rnd('a + (bin + 1) * w', 4)} AS hi FROM (SELECT unnest(range(25)) AS bin) CROSS JOIN r
+LEFT JOIN (SELECT least(CAST(floor((v - a) / w) AS BIGINT), 24) AS bin, count(*) AS n FROM l, r GROUP BY 1) USING (bin)""", digits=4)
 def hist(spark, d):
     return DE.histogram(_gaps(spark, d), "v", 25)
 

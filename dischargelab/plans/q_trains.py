@@ -76,9 +76,9 @@ HOUR_MS = 3600e3
 @query("isi_histogram", f"""WITH {SPK}, d AS (
   SELECT label, (t - lag(t) OVER (PARTITION BY run_id, label ORDER BY t, spike_id)) * 1000.0::DOUBLE AS isi FROM spk),
 ax AS (SELECT greatest(least(quantile_cont(isi, 0.99), 1.0e9::DOUBLE), 3 * 7.2e6::DOUBLE) / 0.9::DOUBLE AS x FROM d),
-nb AS (SELECT CAST(ceil((x + 7.2e6::DOUBLE) / 7.2e6::DOUBLE) - 1 AS BIGINT) AS n FROM ax)
-SELECT label, least(CAST(floor(isi / 7.2e6::DOUBLE) AS BIGINT), n - 1) AS bin, count(*) AS n
-FROM d, nb WHERE isi <= n * 7.2e6::DOUBLE GROUP BY ALL""")
+nb AS (SELECT CAST(ceil((x + 7.2e6::DOUBLE) / 7.2e6::DOUBLE) - 1 AS BIGINT) AS n FROM ax),
+cb AS (SELECT label, least(CAST(floor(isi / 7.2e6::DOUBLE) AS BIGINT), n - 1) AS bin, count(*) AS n FROM d, nb WHERE isi <= n * 7.2e6::DOUBLE GROUP BY ALL)
+SELECT label, bin, coalesce(cb.n, 0) AS n FROM (SELECT DISTINCT label, unnest(range(n)) AS bin FROM d, nb WHERE isi IS NOT NULL) g LEFT JOIN cb USING (label, bin)""")
 def isi_histogram(spark, d):
     isis = TR.intervals(spikes(spark, d), TRAIN)
     return TR.isi_histogram(isis, ["label"], 2 * HOUR_MS, 1.0e9)
@@ -260,7 +260,8 @@ def recovery_summary(spark, d):
     return L.recovery_summary(L.purity(_matched(spark, d), ["run_id"]), ["run_id"])
 
 
-@query("confusion", f"WITH {SPK}, {MATCH} SELECT matched_unit, label, count(*) AS n FROM mt WHERE matched_unit >= 0 GROUP BY ALL")
+@query("confusion", f"""WITH {SPK}, {MATCH}, cf AS (SELECT matched_unit, label, count(*) AS n FROM mt WHERE matched_unit >= 0 GROUP BY ALL)
+SELECT matched_unit, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT matched_unit FROM cf) CROSS JOIN (SELECT DISTINCT label FROM cf) LEFT JOIN cf USING (matched_unit, label)""")
 def confusion(spark, d):
     return L.confusion(_matched(spark, d), [])
 
