@@ -161,6 +161,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = distinct.join(rooted.select("fp", "root").join(named, "root"), "fp", "left").select(
         "fp", F.least("component_id", "least").alias("component_id"))
+    labels = materialize(labels)  # so that the join below shuffles both sides itself and AQE can split a hot fingerprint
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
