@@ -28,8 +28,8 @@ from dischargelab.llm.common import map_batches, slim, table
 from dischargelab.session import materialize
 
 CAPACITY, UNCUT, END_ID = 2048, 128, 1
-LEVELS = (1024, 32, 1)  # buckets per class, from fine to coarse
-CACHED_WORDS = 300_000
+LEVELS = (1024, 64, 8, 1)  # buckets per class, from fine to coarse; at most 2 ** 10 of them and 8 levels
+CACHED_WORDS = 600_000
 GROUP = 200  # words that are encoded as one text
 END = "\n"  # stands for the end id: a line feed is in no word
 MODEL = "word_bpe_49k.json"
@@ -212,12 +212,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, levels: tuple[int, ...] =
         group = Window.partitionBy("k", "cell")
         df = df.withColumn("n", F.count("*").over(group)).withColumn("i", F.row_number().over(group.orderBy(*order)) - 1)
         whole = F.col("sequence_id").isNull() & (F.expr("i div k") < F.expr("n div k"))
-        number = F.expr(f"shiftleft({level}L, 61) + shiftleft(cast(k - 1 AS long), 50) + shiftleft(cell, 40) + i div k")
+        number = F.expr(f"shiftleft({level}L, 60) + shiftleft(cast(k - 1 AS long), 49) + shiftleft(cell, 39) + i div k")
         df = df.withColumn("nth", F.when(whole, F.col("i")).otherwise(F.col("nth"))).withColumn(
             "sequence_id", F.when(whole, number).otherwise(F.col("sequence_id")))
     df = materialize(df.drop("cell", "n", "i", "k", "h"))
     keep = [*cols, "sequence_id", "nth"]
-    base = len(levels) << 61
+    base = len(levels) << 60
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
