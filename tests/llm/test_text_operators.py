@@ -244,6 +244,37 @@ def test_passages_hold_every_document_with_a_repeat(spark, small):
     assert (got["similarity"] >= 0.8).all() and (got["end_word"] - got["start_word"] >= 50).all()
 
 
+def test_passages_of_separately_common_sentences(spark):
+    rng = np.random.default_rng(11)
+
+    def words(n):
+        return [f"w{i}" for i in rng.integers(0, 50_000, n)]
+
+    pairs, docs = [], []
+    for _ in range(6):
+        one, two = words(28), words(27)
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [words(40) + one + two + words(40) for _ in range(2)]
+        docs += [words(40) + s + words(40) for s in (one, two) for _ in range(15)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(13)
+    got = {tuple(sorted((r["doc_id"], r["other_id"]))): r["similarity"] for r in substring_dedup.passages(df).collect()}
+    assert set(got) == set(pairs) and set(got.values()) == {1.0}
+
+
+def test_neighbouring_texts_share_a_stem(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    texts = spark.createDataFrame([(1, text), (2, text)], "uid long, text string").coalesce(1)
+    found = substring_dedup.seed_rows(texts, substring_dedup.shared_stems(texts)).collect()
+    assert {r["uid"] for r in found} == {1, 2}
+
+
+def test_runs_hash_alike_wherever_they_stand():
+    h = np.random.default_rng(0).integers(0, 1 << 63, 200).astype(np.uint64)
+    both = np.r_[h, h[50:120]]
+    assert (substring_dedup.grams(both, 50)[50:71] == substring_dedup.grams(both, 50)[200:]).all()
+    assert len(set(substring_dedup.grams(h, 50).tolist())) == 151
+
+
 def test_passages_odd_rows(odd, none):
     got = substring_dedup.passages(odd).collect()
     assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in got} == {(10, 11)}
