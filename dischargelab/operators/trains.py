@@ -217,13 +217,25 @@ LOSSLESS = 39.0  # sigmas beyond which a kernel underflows to zero
 GRID_BLOCK = 512
 
 
+def _parts(near: DataFrame, points: list[str]) -> tuple[DataFrame, bool]:
+    """Times ``_x`` with weights ``_w`` and a part ``_s`` of their block; whether any block has several parts."""
+    bound = group_bound(near.sparkSession)
+    if groups_bounded(near, points, bound):
+        return near.select(*points, "_x", F.lit(1.0).alias("_w"), F.lit(0).cast("long").alias("_s")), False
+    near = near.groupBy(*points, "_x").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    full = near.groupBy(*points).agg(F.ceil(F.count(F.lit(1)) / bound).alias("_k")).where("_k > 1")
+    part = F.expr("pmod(xxhash64(_x), coalesce(_k, 1))").alias("_s")
+    return attach(near, full, points, "left").select(*points, "_x", "_w", part), True
+
+
 def gaussian_rate(spikes: DataFrame, epochs: DataFrame, keys: list[str], unit: str, dt: float,
                   sigma: float, t: str = "t", block: int = GRID_BLOCK) -> DataFrame:
     """Sum of unit-area Gaussian kernels at every grid point of each epoch, per unit.
 
     ``epochs`` has ``keys`` plus ``a``, ``b``; its grid is ``a + g*dt`` below ``b``. Spikes meet blocks of
     grid points, a spike in every block within ``LOSSLESS`` sigmas, so sums are those over all spikes; units
-    yield all grid points of their epochs, also those of rate zero.
+    yield all grid points of their epochs, also those of rate zero. Spikes of an overfull block are counted by
+    time and dealt by its hash to parts within the group bound, whose rates are added.
     """
     ep = epochs.where(F.col("b") - F.col("a") >= dt).withColumn("_n", F.ceil((F.col("b") - F.col("a")) / dt))
     last = F.floor((F.col("_n") - 1) / block)
@@ -235,19 +247,25 @@ def gaussian_rate(spikes: DataFrame, epochs: DataFrame, keys: list[str], unit: s
     hi = F.least(F.floor((x + LOSSLESS * sigma) / width), last)
     near = rows.where((F.col(t) >= F.col("a")) & (F.col(t) < F.col("b"))).select(*own, F.explode(F.sequence(lo, hi)).alias("_b"), x.alias("_x"))
 
+    points = [*own, "_b"]
+    near, split = _parts(near, points)
+    grid = grid.select(*points, "_x", F.lit(None).cast("double").alias("_w"), F.lit(0).cast("long").alias("_s"))
+
     @F.pandas_udf("array<double>")
-    def rate(times: pd.Series, at: pd.Series, n: pd.Series) -> pd.Series:
+    def rate(times: pd.Series, weights: pd.Series, at: pd.Series, n: pd.Series) -> pd.Series:
         out = []
-        for xs, b, m in zip(times, at, n):
+        for xs, ws, b, m in zip(times, weights, at, n):
             g, acc = np.arange(b * block, min(m, (b + 1) * block)) * dt, 0.0
             for i in range(0, len(xs), 1024):  # bounds the table of points and spikes
-                acc = acc + np.exp(-0.5 * ((g - np.asarray(xs[i:i + 1024])[:, None]) / sigma) ** 2).sum(axis=0)
+                bell = np.exp(-0.5 * ((g - np.asarray(xs[i:i + 1024])[:, None]) / sigma) ** 2)
+                acc = acc + (bell * np.asarray(ws[i:i + 1024])[:, None]).sum(axis=0)
             out.append(acc / (sigma * math.sqrt(2 * math.pi)) if len(xs) else np.zeros(len(g)))
         return pd.Series(out)
 
-    blocks = grid.unionByName(near).groupBy(*own, "_b").agg(F.collect_list("_x").alias("_xs"))
-    flat = blocks.select(*keys, unit, "_b", F.posexplode(rate("_xs", "_b", "_n")).alias("_p", "rate"))
-    return flat.select(*keys, unit, (F.col("_b") * block + F.col("_p")).alias("g"), "rate")
+    blocks = grid.unionByName(near).groupBy(*points, "_s").agg(F.collect_list("_x").alias("_xs"), F.collect_list("_w").alias("_ws"))
+    flat = blocks.select(*keys, unit, "_b", F.posexplode(rate("_xs", "_ws", "_b", "_n")).alias("_p", "rate"))
+    rates = flat.select(*keys, unit, (F.col("_b") * block + F.col("_p")).alias("g"), "rate")
+    return rates.groupBy(*keys, unit, "g").agg(F.sum("rate").alias("rate")) if split else rates
 
 
 def power_vs_rate(rates: DataFrame, amplitudes: DataFrame, keys: list[str], unit: str) -> DataFrame:

@@ -47,6 +47,22 @@ def test_quantiles(spark):
     assert one == pytest.approx(np.quantile(pdf["t"], 0.37))
 
 
+def test_rates_of_hot_units(spark, tight):
+    df, pdf = skewed(spark)
+    epochs = spark.createDataFrame([(k, 0.0, 130.0) for k in range(6)], "k long, a double, b double")
+    widest, collect = [], TR.F.collect_list
+    got = TR.gaussian_rate(df, epochs, ["k"], "label", 0.5, 2.0).toPandas()
+    assert not got.duplicated(["k", "label", "g"]).any()
+    parts, split = TR._parts(df.select("k", F.col("t").alias("_x")), ["k"])
+    assert split and parts.groupBy("k", "_s").count().agg(F.max("count")).first()[0] <= 80
+    assert parts.agg(F.sum("_w")).first()[0] == len(pdf)
+    grid = np.arange(260) * 0.5
+    for (k, label), rows in got.groupby(["k", "label"]):
+        t = pdf[(pdf.k == k) & (pdf.label == label)]["t"].to_numpy()
+        want = np.exp(-0.5 * ((grid - t[:, None]) / 2.0) ** 2).sum(axis=0) / (2.0 * np.sqrt(2 * np.pi))
+        assert np.allclose(rows.sort_values("g")["rate"], want, rtol=1e-12, atol=0)
+
+
 @pytest.mark.parametrize("t_min,step", [(0.5, 4000), (20.0, 400)])
 def test_min_isi_paths(spark, tight, t_min, step):
     df, pdf = skewed(spark, step=step)
