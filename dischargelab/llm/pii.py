@@ -39,7 +39,10 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 HOST = re.compile(r"://(?:[A-Za-z0-9._~%!$&'()*+,;=:-]+@)?(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)(?::[0-9]+)?(?:[/?#][^\s\"<>]*)?")
-AFTER_CUE = re.compile(r"(?:[ _-]?(?:number|no|nr|id))?[ .:=#\"']{1,6}([A-Za-z0-9][A-Za-z0-9_-]{5,63})")
+# Behind a cue: groups of four, which check digits must confirm, or a whole run of characters of tokens and keys.
+GAP = r"(?:[ _-]?(?:number|no|nr|id))?[ .:=#\"']{1,6}"
+GROUPS_AFTER_CUE = re.compile(GAP + r"([A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+AFTER_CUE = re.compile(GAP + r"([A-Za-z0-9](?:[A-Za-z0-9_/+=-]|\.(?=[A-Za-z0-9_-])){5,})")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 DIGITS = re.compile(r"[0-9]")
 
@@ -85,15 +88,24 @@ def addresses(text: str, start: int) -> tuple[list[tuple[int, int]], int]:
     return found, run.end()
 
 
+def checked(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
 def account(text: str, at: int) -> tuple[int, int] | None:
-    """The identifier after a cue that ends at ``at``: digits in it, and check digits if it looks like an IBAN."""
+    """The identifier after a cue that ends at ``at``: digits in it, and check digits if it looks like an IBAN.
+
+    Words in capitals may follow an IBAN in groups: the most groups that the check digits confirm are taken.
+    """
+    if m := GROUPS_AFTER_CUE.match(text, at):
+        groups = m[1].split(" ")
+        for n in range(len(groups), 2, -1):
+            whole = "".join(groups[:n])
+            if IBAN.fullmatch(whole) and checked(whole):
+                return m.start(1), m.start(1) + len(" ".join(groups[:n]))
     m = AFTER_CUE.match(text, at)
-    if m is None or len(DIGITS.findall(m[1])) < 4:
+    if m is None or len(DIGITS.findall(m[1])) < 4 or IBAN.fullmatch(m[1]) and not checked(m[1]):
         return None
-    if IBAN.fullmatch(m[1]):
-        moved = m[1][4:] + m[1][:4]
-        if int("".join(str(int(c, 36)) for c in moved)) % 97 != 1:
-            return None
     return m.span(1)
 
 

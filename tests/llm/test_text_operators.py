@@ -11,6 +11,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+import corpus_pipeline
 from conftest import LONG
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -396,6 +397,20 @@ def test_pii_accounts_and_addresses():
     assert not pii.find("IBAN: DE00370400440532013000")
 
 
+@pytest.mark.parametrize("secret", ["a1B2" * 40, "eyJhbGci1234.eyJzdWIi5678.SflKxwRJ-_90", "Zm9v/YmFy+1234/5678==", "DE89 3704 0044 0532 0130 00",
+                                    "AT61 1904 3002 3457 3201", "NL91ABNA0417164300"])
+def test_pii_masks_whole_secrets(secret):
+    for cue in ("token: ", "IBAN ", "api_key="):
+        for tail in (".", ", and", " BANK CODE", "\nnext"):
+            text = f"{cue}{secret}{tail}"
+            spans = [x for x in pii.find(text) if x[0] in corpus_pipeline.MASKED]
+            assert pii.mask(text, spans) == f"{cue}[ACCOUNT]{tail}"
+
+
+def test_pii_groups_need_their_check_digits():
+    assert not [x for x in pii.find("IBAN DE00 3704 0044 0532 0130 00") if x[0] == "account"]
+
+
 def test_pii_odd_rows(spark, odd, none, small):
     got = {(r["doc_id"], len(r["spans"])) for r in pii.find_pii(odd).collect()}
     assert (9, 4) in got and (1, 0) in got and len(pii.find_pii(odd).collect()) == odd.count()
