@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dischargelab.llm import ann, bpe, langid, line_dedup, packing, pii, sharding, simhash, substring_dedup, topk
+from dischargelab.llm import align, ann, bpe, fim, langid, line_dedup, minhash, packing, pii, sharding, simhash, substring_dedup, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_ann": ann.op9,
     "op10_pii": pii.op10,
+    "op11_minhash": minhash.op11,
+    "op12_align": align.op12,
+    "op13_fim": fim.op13,
 }
 ORACLES = {
     "op4_topk": topk.OP4_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op11_minhash": minhash.OP11_SQL,
+    "op13_fim": fim.OP13_SQL,
 }
