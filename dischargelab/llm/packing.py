@@ -9,6 +9,8 @@ Workers are hash buckets of pieces. Each (class, bucket) fills whole sequences;
 left over meet those of other buckets at the next, coarser level, down to one bucket per class. What is
 left then, fewer than k pieces per class whatever the input, is packed by first-fit decreasing.
 
+Ids are those of the tokenizer as its file sets it up: strings of special tokens in a text become those tokens.
+
 Defined cases: a null or empty text is one piece that holds the end id alone; rows that repeat a doc_id
 (or a null one) are documents of their own; an empty table gives no rows.
 """
@@ -61,7 +63,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # matched before lower-casing
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -130,12 +132,12 @@ class WordIds:
         stops = np.cumsum(sizes)[np.cumsum(counts) - 1]
         return self.pool[spread(self.starts[at], sizes)], np.diff(stops, prepend=0)
 
-    @staticmethod
-    def words(text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """Lower-casing first, where it can't differ from the tokenizer's own, makes for fewer words."""
         try:
             text.isascii() or text.encode("latin-1")
-            text = text.lower()
+            low = text.lower()
+            text = text if any(t in low for t in self.special) else low
         except UnicodeEncodeError:
             pass
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")

@@ -42,7 +42,9 @@ HOST = re.compile(r"://(?:[A-Za-z0-9._~%!$&'()*+,;=:-]+@)?(?:[A-Za-z0-9-]+(?:\.[
 # Behind a cue: groups of four, which check digits must confirm, or a whole run of characters of tokens and keys.
 GAP = r"(?:[ _-]?(?:number|no|nr|id))?[ .:=#\"']{1,6}"
 GROUPS_AFTER_CUE = re.compile(GAP + r"([A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-AFTER_CUE = re.compile(GAP + r"([A-Za-z0-9](?:[A-Za-z0-9_/+=-]|\.(?=[A-Za-z0-9_-])){5,})")
+IN_RUN = r"(?:[A-Za-z0-9_/+=-]|\.(?=[A-Za-z0-9_-]))"
+AFTER_CUE = re.compile(GAP + rf"(?=[A-Za-z0-9]{IN_RUN}{{5}})")
+RUN = re.compile(f"{IN_RUN}+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 DIGITS = re.compile(r"[0-9]")
 
@@ -92,21 +94,27 @@ def checked(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
-def account(text: str, at: int) -> tuple[int, int] | None:
-    """The identifier after a cue that ends at ``at``: digits in it, and check digits if it looks like an IBAN.
+def account(text: str, at: int, tried: int) -> tuple[tuple[int, int] | None, int]:
+    """The identifier after a cue that ends at ``at``: digits in it, and check digits if it looks like an IBAN. Words in
+    capitals may follow an IBAN in groups: the most groups that the check digits confirm are taken.
 
-    Words in capitals may follow an IBAN in groups: the most groups that the check digits confirm are taken.
+    A run of characters is read once, whatever cues lie in it: ``tried`` is the end of the last one, and the second result
+    its new value. A run without enough digits has no part with enough, and one that is taken leaves no part.
     """
     if m := GROUPS_AFTER_CUE.match(text, at):
         groups = m[1].split(" ")
         for n in range(len(groups), 2, -1):
             whole = "".join(groups[:n])
-            if IBAN.fullmatch(whole) and checked(whole):
-                return m.start(1), m.start(1) + len(" ".join(groups[:n]))
+            if m.start(1) >= tried and IBAN.fullmatch(whole) and checked(whole):
+                end = m.start(1) + len(" ".join(groups[:n]))
+                return (m.start(1), end), end
     m = AFTER_CUE.match(text, at)
-    if m is None or len(DIGITS.findall(m[1])) < 4 or IBAN.fullmatch(m[1]) and not checked(m[1]):
-        return None
-    return m.span(1)
+    if m is None or m.end() < tried:
+        return None, tried
+    run = RUN.match(text, m.end())
+    if run.end() - run.start() <= 34 and IBAN.fullmatch(run[0]) and not checked(run[0]):
+        return None, tried
+    return (run.span() if len(DIGITS.findall(run[0])) >= 4 else None), run.end()
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -141,9 +149,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if start < at and text[start].isalpha() and (m := HOST.match(text, at)):
                 url_end = m.end()
                 spans.append(("url", start, url_end))
-        elif (span := account(text, last + 1)) and span[0] >= account_end:
-            account_end = span[1]
-            spans.append(("account", *span))
+        else:
+            span, account_end = account(text, last + 1, account_end)
+            spans += [("account", *span)] if span else []
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -335,7 +336,6 @@ def check_packing(got, rows):
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     pieces = collections.Counter((r.doc_id if r.doc_id == r.doc_id else None, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got.itertuples())
     want = collections.Counter()
     for i, text in rows:
@@ -356,8 +356,14 @@ def test_packing(spark, small):
     assert got["length"].sum() / (2048 * got["sequence_id"].nunique()) > 0.97
 
 
-def test_packing_odd_rows(odd, none):
+SPECIAL = ["hello <|endoftext|>", "Glued<|endoftext|>Words <|STARTOFTEXT|> <|startoftext|><|startoftext|>", "<|EndOfText|> é", "日<|endoftext|>本",
+           "<|endof text|> <|endoftext", "PLAIN Words"]
+
+
+def test_packing_odd_rows(spark, odd, none):
     check_packing(packing.pack_documents(odd, WORDS).toPandas(), texts_of(odd))
+    rows = list(enumerate(SPECIAL))
+    check_packing(packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).toPandas(), rows)
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
@@ -407,6 +413,22 @@ def test_pii_masks_whole_secrets(secret):
             assert pii.mask(text, spans) == f"{cue}[ACCOUNT]{tail}"
 
 
+@pytest.mark.parametrize("unit", ["token=", "token=a1234", "secret/", "password: ", "iban number ", "a1@", "+1(", "x://", "1.", "1-", "token id=ab"])
+def test_pii_takes_time_in_proportion_to_the_text(unit):
+    def seconds(n):
+        t0 = time.process_time()
+        pii.find(unit * (n // len(unit)))
+        return time.process_time() - t0
+
+    assert seconds(1_000_000) < 4
+
+
+def test_pii_cues_inside_a_run():
+    text = "token=token_number: 12345678, token=aaaaaa token=bb1234cc5 token_id=secret=abc99887 tokennumber"
+    found = [text[s:e] for k, s, e in pii.find(text) if k == "account"]
+    assert found == ["12345678", "bb1234cc5", "secret=abc99887"]
+
+
 def test_pii_groups_need_their_check_digits():
     assert not [x for x in pii.find("IBAN DE00 3704 0044 0532 0130 00") if x[0] == "account"]
 
