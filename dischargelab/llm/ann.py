@@ -14,7 +14,8 @@ it, so no query comes back short. Every row is indexed.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows without an id,
 take no part; a shorter vector ends in zeros; rows that repeat a vec_id are candidates of their own, but
-never of queries with that id; fewer candidates than k give them all; an empty table gives no rows.
+never of queries with that id; of several query rows with one id one asks (chosen by a hash of its vector); fewer
+candidates than k give them all; an empty table gives no rows. Equal vectors have equal scores, so ties are exact.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from dischargelab.llm.common import table
 from dischargelab.llm.topk import best
-from dischargelab.llm.vectors import BLOCK, TILE, finite_vectors, make_parts, match_tiles, matrix, ranked
+from dischargelab.llm.vectors import BLOCK, TILE, finite_vectors, make_parts, match_tiles, matrix, query_rows, ranked
 
 K, EVERY = 20, 20
 BITS, SAMPLE, ROUNDS, HELD = 256, 4096, 10, 0.97  # HELD: share of true neighbours in the sample within the radius
@@ -116,7 +117,7 @@ class Index:
             others = np.flatnonzero(self.ids != own)
             far = distances(self.codes[others], code)
             met = others[far <= np.partition(far, k - 1)[k - 1]] if len(others) > k else others
-        scores = self.x[met] @ query
+        scores = (self.x[met] * query).sum(axis=1)  # equal vectors get equal sums, whatever their row
         keep = best(self.ids[met], scores, k)
         return self.ids[met[keep]], scores[keep]
 
@@ -138,8 +139,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     def pack(part, ids, x, asks):
         codes = coder.value.rows(x)
         out = [(part, BLOCK, i, *(a[i: i + CHUNK].tobytes() for a in (ids, x, codes))) for i in range(0, len(ids), CHUNK)]
-        for i in range(0, int(asks.sum()), TILE_ROWS):
-            at = np.flatnonzero(asks)[i: i + TILE_ROWS]
+        asked = query_rows(ids, x, asks)
+        for i in range(0, len(asked), TILE_ROWS):
+            at = asked[i: i + TILE_ROWS]
             out.append((part, TILE, i, ids[at].tobytes(), x[at].tobytes(), coder.value.queries(x[at]).tobytes()))
         return out
 
@@ -152,8 +154,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
 
     def score(index, tile):
         ids, x, codes = arrays(tile)
-        found = [index.top(*q, k) for q in zip(ids, x, codes, index.tables.probe(codes), strict=True)]
-        return np.repeat(ids, [len(v) for v, _ in found]), np.concatenate([v for v, _ in found]), np.concatenate([s for _, s in found])
+        return ids, x, [index.top(*q, k) for q in zip(ids, x, codes, index.tables.probe(codes), strict=True)]
 
     parts = make_parts(rows, ["vec_id"], n_parts, width, pack)
     return ranked(match_tiles(parts, n_parts, build, score), k)

@@ -10,7 +10,9 @@ Results are exact: only blocks whose bound is strictly below the k-th score are
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no
 part; a shorter vector ends in zeros; rows that repeat a vec_id are candidates of their own, but never of
-queries with that id; fewer candidates than k give them all; an empty table gives no rows.
+queries with that id; of several query rows with one id one asks (chosen by a hash of its vector); fewer candidates
+than k give them all; an empty table gives no rows. Scores are computed in double precision where that is exact, and in
+64-bit integers beyond; sums that could pass 64 bits, which a score can't hold, are an error.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dischargelab.llm.common import table
-from dischargelab.llm.vectors import BLOCK, TILE, finite_vectors, make_parts, match_tiles, ranked
+from dischargelab.llm.vectors import BLOCK, TILE, finite_vectors, make_parts, match_tiles, query_rows, ranked
 
 K, EVERY, SCALE = 5, 50, 256
 PART, BLOCK_ROWS, TILE_ROWS = 8192, 512, 256
@@ -39,27 +41,33 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 class Blocks:
     """Forward indexes of a part's blocks, with the range of every term."""
 
-    def __init__(self, ids: list[np.ndarray], rows: list[np.ndarray]):
-        self.ids, self.rows = ids, rows
+    def __init__(self, ids: list[np.ndarray], rows: list[np.ndarray], whole: bool = False):
+        self.ids, self.rows, self.whole = ids, rows, whole
         self.high = np.array([r.max(axis=0) for r in rows])
         self.low = np.array([r.min(axis=0) for r in rows])
+        self.size = np.maximum(np.abs(self.high), np.abs(self.low))
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        slack = np.abs(queries) @ self.size.T * 1e-12  # more than rounding can take away
+        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T + slack
 
-    def top(self, own: int, query: np.ndarray, bounds: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, block: int, query: np.ndarray) -> np.ndarray:
+        rows = self.rows[block]
+        return (rows.astype(np.int64) * query.astype(np.int64)).sum(axis=1) if self.whole else (rows @ query).astype(np.int64)
+
+    def top(self, own: int, query: np.ndarray, bounds: np.ndarray, floor: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the query's best here; scores below ``floor`` may be left out."""
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] < floor:
                 break
-            s = self.rows[b] @ query
+            s = self.scores(b, query)
             hit = (s >= floor) & (self.ids[b] != own)
             ids, scores = np.r_[ids, self.ids[b][hit]], np.r_[scores, s[hit]]
             keep = best(ids, scores, k)
             ids, scores = ids[keep], scores[keep]
             if len(scores) == k:
-                floor = max(floor, scores[-1])
+                floor = max(floor, int(scores[-1]))
         return ids, scores
 
 
@@ -70,35 +78,36 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str =
     size = F.transform("v", F.abs)
     peak = F.array_position(size, F.array_max(size)).cast("int")
     rows = rows.withColumn("peak", F.coalesce(F.when(peak > 0, peak * F.signum(F.try_element_at("v", F.greatest(peak, F.lit(1))))), F.lit(0.0)))
-    n, width, top = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(size))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)  # no score, and no part of its sum, is larger
+    n, width, top = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
     n_parts, width = max(1, -(-n // PART)), max(width or 0, 1)
-    if (top or 0.0) ** 2 * width >= 2**53:
-        raise ValueError("components are too large for exact integer scores in double precision")
+    whole = (top or 0.0) >= 2**53
+    if (top or 0.0) >= 2**63:
+        raise ValueError("a score may not fit into 64 bits")
 
     def pack(part, ids, x, asks):
         starts = range(0, len(ids), BLOCK_ROWS)
-        blocks = Blocks([ids[i: i + BLOCK_ROWS] for i in starts], [x[i: i + BLOCK_ROWS] for i in starts])
+        blocks = Blocks([ids[i: i + BLOCK_ROWS] for i in starts], [x[i: i + BLOCK_ROWS] for i in starts], whole)
         out = [(part, BLOCK, i, a.tobytes(), r.tobytes(), b"") for i, (a, r) in enumerate(zip(blocks.ids, blocks.rows, strict=True))]
-        asked = np.flatnonzero(asks)
+        asked = query_rows(ids, x, asks)
         for i in range(0, len(asked), TILE_ROWS):
             at = asked[i: i + TILE_ROWS]
             bounds = blocks.bounds(x[at])
-            own = [blocks.top(ids[q], x[q], b, -np.inf, k)[1] for q, b in zip(at, bounds, strict=True)]
-            floors = np.array([s[-1] if len(s) == k else -np.inf for s in own])
+            own = [blocks.top(ids[q], x[q], b, NONE, k)[1] for q, b in zip(at, bounds, strict=True)]
+            floors = np.array([s[-1] if len(s) == k else NONE for s in own], np.int64)
             out.append((part, TILE, i, ids[at].tobytes(), x[at].tobytes(), floors.tobytes()))
         return out
 
     def build(blocks):
-        return Blocks([np.frombuffer(i, np.int64) for i, _, _ in blocks], [np.frombuffer(d).reshape(-1, width) for _, d, _ in blocks])
+        return Blocks([np.frombuffer(i, np.int64) for i, _, _ in blocks], [np.frombuffer(d).reshape(-1, width) for _, d, _ in blocks], whole)
 
     def score(blocks, tile):
-        ids, x, floors = (np.frombuffer(t, d) for t, d in zip(tile, (np.int64, float, float), strict=True))
+        ids, x, floors = (np.frombuffer(t, d) for t, d in zip(tile, (np.int64, float, np.int64), strict=True))
         x = x.reshape(-1, width)
-        found = [blocks.top(*q, k) for q in zip(ids, x, blocks.bounds(x), floors, strict=True)]
-        return np.repeat(ids, [len(v) for v, _ in found]), np.concatenate([v for v, _ in found]), np.concatenate([s for _, s in found])
+        return ids, x, [blocks.top(*q, k) for q in zip(ids, x, blocks.bounds(x), floors, strict=True)]
 
     parts = make_parts(rows, ["peak", "vec_id"], n_parts, width, pack)
-    return ranked(match_tiles(parts, n_parts, build, score), k).withColumn("score", F.col("score").cast("long"))
+    return ranked(match_tiles(parts, n_parts, build, score, "long"), k)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

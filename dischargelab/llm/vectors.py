@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dischargelab.llm.words import mixed
 from dischargelab.session import materialize, shuffle_width
 
 PACKED = "part long, kind int, seq int, ids binary, data binary, extra binary"
@@ -60,8 +61,23 @@ def make_parts(rows: DataFrame, order: list[str], n_parts: int, width: int, pack
     return materialize(ranged.mapInArrow(kernel, PACKED))
 
 
-def match_tiles(parts: DataFrame, n_parts: int, build: Callable, score: Callable) -> DataFrame:
-    """(query_id, vec_id, score) from ``score(build(blocks of a part), tile)`` for every part and tile."""
+def query_rows(ids: np.ndarray, x: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """Places of a part's queries; equal rows are one query. Ranges of parts keep them together."""
+    at = np.flatnonzero(asks)
+    _, first = np.unique(np.c_[ids[at].astype("<i8").view("<f8"), x[at]].view(np.uint64), axis=0, return_index=True)
+    return at[np.sort(first)]
+
+
+def query_turn(x: np.ndarray) -> np.ndarray:
+    """A hash of each query's vector; of several queries with one id the least counts."""
+    turn = np.zeros(len(x), np.uint64)
+    for column in (np.ascontiguousarray(x) + 0.0).view(np.uint64).T:
+        turn = mixed(turn * np.uint64(0x9E3779B97F4A7C15) + column)
+    return turn.view(np.int64)
+
+
+def match_tiles(parts: DataFrame, n_parts: int, build: Callable, score: Callable, kind_of_score: str = "double") -> DataFrame:
+    """(query_id, turn, vec_id, score) from ``score(build(blocks of a part), tile)`` for every part and tile."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks, built = None, [], None
@@ -73,17 +89,22 @@ def match_tiles(parts: DataFrame, n_parts: int, build: Callable, score: Callable
                     blocks.append(payload)
                 elif blocks:
                     built = build(blocks) if built is None else built
-                    q, v, s = score(built, payload)
-                    yield pa.record_batch({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s)})
+                    ids, x, found = score(built, payload)
+                    n = [len(v) for v, _ in found]
+                    yield pa.record_batch({"query_id": pa.array(np.repeat(ids, n), pa.int64()), "turn": pa.array(np.repeat(query_turn(x), n), pa.int64()),
+                                           "vec_id": pa.array(np.concatenate([v for v, _ in found]), pa.int64()),
+                                           "score": pa.array(np.concatenate([s for _, s in found]))})
 
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long")))
     tiles = parts.where(F.col("kind") == TILE).withColumn("part", everywhere)
     both = parts.where(F.col("kind") == BLOCK).unionByName(tiles)
     n = shuffle_width(parts.sparkSession)
-    return both.repartition(n, "part").sortWithinPartitions("part", "kind", "seq").mapInArrow(kernel, "query_id long, vec_id long, score double")
+    return both.repartition(n, "part").sortWithinPartitions("part", "kind", "seq").mapInArrow(
+        kernel, f"query_id long, turn long, vec_id long, score {kind_of_score}")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k highest scores of each query; ties to the smaller vec_id."""
+    """The k highest scores of each query; ties to the smaller vec_id. Of several vectors that ask with one id one counts."""
+    found = found.withColumn("least", F.min("turn").over(Window.partitionBy("query_id"))).where("turn = least")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -41,7 +41,7 @@ def test_blocks_are_pruned_without_loss():
     for q in x[::400]:
         bounds = blocks.bounds(q[None])[0]
         assert all(b >= (r @ q).max() for b, r in zip(bounds, blocks.rows))
-        found, scores = blocks.top(-1, q, bounds, -np.inf, 5)
+        found, scores = blocks.top(-1, q, bounds, topk.NONE, 5)
         order = np.lexsort((ids, -(x @ q)))[:5]
         assert found.tolist() == order.tolist() and scores.tolist() == (x @ q)[order].tolist()
 
@@ -91,3 +91,40 @@ def test_odd_vectors(spark):
     empty = df.where("false")
     assert topk.exact_top_k(empty, F.lit(True)).count() == 0 and ann.nearest(empty, F.lit(True)).count() == 0
     assert vectors.finite_vectors(df, F.lit(None).cast("boolean")).where("asks").count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16)) * 1e6
+    x[100:200] = x[:100]  # ties
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(300), "embedding": list(x)}))
+    whole = [[int(v) for v in r] for r in np.floor(256 * x)]
+    want = []
+    for q in range(0, 300, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], r)), i) for i, r in enumerate(whole) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert rows(topk.exact_top_k(df, F.expr("vec_id % 50 = 0"))) == want
+
+
+def test_ties_of_repeated_vectors_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 64)
+    monkeypatch.setattr(topk, "PART", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 33))[rng.integers(0, 60, 400)]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(400), "embedding": list(x)})).repartition(7)
+    got = rows(ann.nearest(df, F.expr("vec_id % 20 = 0"), 20))
+    assert all(a[3] > b[3] or a[3] == b[3] and a[2] < b[2] for a, b in zip(got, got[1:]) if a[0] == b[0])
+    score = {(q, i): s for q, _, i, s in got}
+    assert all(len({score[q, i] for q2, i in score if q2 == q and (x[i] == x[j]).all()}) == 1 for q, j in score)
+    whole = np.floor(256 * x)
+    want = ranked(np.arange(400), np.arange(0, 400, 50), whole[::50] @ whole.T, 5)
+    assert rows(topk.exact_top_k(df, F.expr("vec_id % 50 = 0"))) == want
+
+
+def test_repeated_query_ids_ask_once(spark):
+    vs = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [5.0, -1.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0]), (9, [1.0, 1.0])] * 2
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>").repartition(4)
+    for got, scale in ((rows(topk.exact_top_k(df, F.expr("vec_id = 0"))), 256**2), (rows(ann.nearest(df, F.expr("vec_id = 0"), 5)), 1)):
+        assert [r for _, r, _, _ in got] == [1, 2, 3, 4, 5]
+        one = [(i, s / scale) for _, _, i, s in got]
+        assert one in ([(9, 3), (9, 3), (8, 2), (8, 2), (7, 1)], [(7, 5), (7, 5), (9, 4), (9, 4), (8, -1)])
