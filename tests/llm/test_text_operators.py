@@ -303,6 +303,43 @@ def brute_shard(key, tree):
     return int(pick({f"{rack}/s{x.shard}": x.weight for x in tree if x.rack == rack}).rpartition("s")[2])
 
 
+def test_passages_with_edits_are_found(spark):
+    """Recall by length and share of edited words: substitutions down to the similarity of 0.8, and mixed edits."""
+    rng = np.random.default_rng(12)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 40_000, n)]
+
+    def edit(p, rate, mixed):
+        q = list(p)
+        for j in sorted(rng.choice(len(p), round(rate * len(p)), replace=False), reverse=True):
+            kind = rng.integers(3) if mixed else 0
+            q[j: j + 1] = [words(1), [], [q[j], *words(1)]][kind]
+        return q
+
+    rows, cell = [], {}
+    for n in (60, 100):
+        for rate, mixed in ((0, False), (0.05, False), (0.1, False), (0.2, False), (0.05, True), (0.1, True)):
+            for _ in range(40):
+                i, p = len(cell), words(n)
+                cell[i] = n, rate, mixed
+                rows.append((2 * i, " ".join(words(90) + p + words(70))))
+                rows.append((2 * i + 1, " ".join(words(30) + edit(p, rate, mixed) + words(140))))
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).select("doc_id", "other_id").collect()
+    pairs = {tuple(sorted(r)) for r in got}
+    found = collections.Counter(cell[a // 2] for a, b in pairs if a // 2 == b // 2)
+    assert all(found[c] >= 0.9 * 40 for c in cell.values()), found
+    assert sum(a // 2 != b // 2 for a, b in pairs) == 0
+
+
+def test_passages_of_null_ids(spark):
+    text = " ".join(f"n{i}" for i in range(80))
+    df = spark.createDataFrame([(None, "x " + text), (None, "y " + text), (3, "z " + text), (4, "q " + text[:300]), (4, "r " + text[:300])],
+                               "doc_id long, text string")
+    got = [{r["doc_id"], r["other_id"]} for r in substring_dedup.passages(df).select("doc_id", "other_id").collect()]
+    assert {None} in got and {None, 3} in got and {4} not in got
+
+
 def test_shards_follow_the_tree(spark, small):
     got = queries.QUERIES["op7_sharding"](spark, small).toPandas()
     docs = spark.read.parquet(f"{small}/documents.parquet").toPandas().set_index("doc_id")["text"]
