@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dischargelab.functions import arrays as A
-from dischargelab.functions.filters import design, morlet_power, zero_phase
+from dischargelab.functions.filters import morlet_power, zero_phase
+from dischargelab.operators import packed as PK
 from dischargelab.operators.blocks import BLK, OWN, block_window, chunks, with_halo
 from dischargelab.operators.ordered import neighbours, quantiles
 from dischargelab.operators.templates import templates
@@ -21,36 +22,14 @@ from dischargelab.operators.trains import min_isi
 from dischargelab.session import attach, materialize
 
 BLOCK = 4096
-FILTER_BLOCK = 1 << 17
 
 
 # --- filtering ----------------------------------------------------------------------------------
 
-def _filter(trace: DataFrame, keys: list[str], fs: float, kind: str, low: float, high: float | None,
-            size: int | None) -> DataFrame:
-    """Zero-phase filter of every run, block by block.
-
-    The halo is as long as the filter's memory (down to 1e-17), so a block equals the same
-    samples of a whole-run filter to rounding.
-    """
-    settle = design(kind, float(low), None if high is None else float(high), float(fs))[4]
-    size = size or max(FILTER_BLOCK, 8 * settle)
-    ends = trace.groupBy(*keys).agg(F.max("i").alias("_last"))
-    spread = attach(with_halo(trace.select(*keys, "i", F.col("v").cast("double").alias("v")), size, settle, settle), ends, keys)
-    schema = T.StructType([trace.schema[k] for k in keys] + [
-        T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        i, own = pdf["i"].to_numpy(), pdf[OWN].to_numpy()
-        y = zero_phase(pdf["v"].to_numpy(), kind, low, high, fs, i[0] == 0, i[-1] == pdf["_last"].iloc[0])
-        out = pdf.loc[own, [*keys, "i"]].copy()
-        out["v"] = y[own]
-        return out
-
-    # A run that ends inside a halo leaves a last group without samples of its own.
-    live = spread.where(F.col(BLK) * size <= F.col("_last"))
-    return live.groupBy(*keys, BLK).applyInPandas(run, schema)
+def _filter(trace: DataFrame, keys: list[str], fs: float, kind: str, low: float, high: float | None, size: int | None) -> DataFrame:
+    """Zero-phase filter of every run, by blocks whose states are scanned."""
+    packed = materialize(PK.pack(trace, keys, size or PK.SIZE))
+    return PK.unpack(PK.zero_phase_blocks(packed, keys, kind, low, high, fs), keys)
 
 
 def bandpass(trace: DataFrame, keys: list[str], fs: float, low: float, high: float, size: int | None = None) -> DataFrame:
@@ -97,6 +76,11 @@ def local_maxima(env: DataFrame, keys: list[str], size: int = BLOCK) -> DataFram
     ends = (F.col("v") == F.col("_a")) & (F.col("_b").isNull() | (F.col("v") != F.col("_b")))
     kind = F.when(sharp, "peak").when(starts, "start").when(ends, "end")
     marks = rows.select(*keys, "i", "v", kind.alias("_k"), (F.col("v") > F.col("_b")).alias("_falls")).where("_k is not null")
+    return maxima_of(marks, keys)
+
+
+def maxima_of(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, v): single maxima, and the midpoints of flat stretches that fall behind their end."""
     marks = neighbours(marks, keys, ["i"], nxt={"_e": F.when(F.col("_k") == "end", F.struct("i", "_falls"))})
     top = F.when(F.col("_k") == "peak", F.col("i")).when(
         (F.col("_k") == "start") & F.col("_e._falls"), F.floor((F.col("i") + F.col("_e.i")) / 2))
@@ -108,7 +92,10 @@ def envelope_peaks(env: DataFrame, thresholds: DataFrame, keys: list[str], dista
 
     Of equally high peaks the later one is visited first.
     """
-    high = attach(local_maxima(env, keys, size), thresholds.select(*keys, "threshold"), keys).where("v >= threshold")
+    return thinned(attach(local_maxima(env, keys, size), thresholds.select(*keys, "threshold"), keys).where("v >= threshold"), keys, distance)
+
+
+def thinned(high: DataFrame, keys: list[str], distance: int) -> DataFrame:
     high = high.select(*keys, "i", "v", (-F.col("i").cast("double")).alias("_t"))
     kept = min_isi(high, keys, float(distance), t="_t", amp="v", sid="i")
     return kept.where("keep").select(*keys, "i", "v")
@@ -135,15 +122,39 @@ def snap(peaks: DataFrame, rectified: DataFrame, keys: list[str], reach: int, si
 
 
 def detect(trace: DataFrame, keys: list[str], fs: float, highpass_hz: float, threshold_mad: float,
-           refractory_ms: float, smoothing_ms: float, baseline_samples: int | None = None) -> dict[str, DataFrame]:
-    """One detection per unit discharge: peaks, thresholds, filtered trace and envelope."""
+           refractory_ms: float, smoothing_ms: float, baseline_samples: int | None = None, size: int = PK.SIZE) -> dict[str, DataFrame]:
+    """One detection per unit discharge: (keys, i) peaks and thresholds; packed, filtered and envelope are block rows.
+
+    Samples are exchanged once, when they are packed.
+    """
     width = smooth_width(smoothing_ms, fs)
-    filtered = materialize(highpass(trace, keys, fs, highpass_hz))
-    rect = rectify(filtered)
-    env = materialize(envelope(rect, keys, width))
-    thr = mad_threshold(env, keys, threshold_mad, baseline_samples)
-    tops = envelope_peaks(env, thr, keys, max(1, int(round(refractory_ms * 1e-3 * fs))))
-    return {"peaks": snap(tops, rect, keys, width), "thresholds": thr, "filtered": filtered, "envelope": env}
+    packed = materialize(PK.pack(trace, keys, size))
+    filtered = materialize(PK.zero_phase_blocks(packed, keys, "highpass", highpass_hz, None, fs))
+    env = materialize(PK.envelope_blocks(filtered, keys, width))
+    thr = materialize(block_threshold(env, keys, threshold_mad, baseline_samples))
+    marks = PK.marks_of(env, thr, keys).withColumnsRenamed({"kind": "_k", "falls": "_falls"})
+    tops = thinned(maxima_of(marks, keys), keys, max(1, int(round(refractory_ms * 1e-3 * fs))))
+    snapped = PK.at_peaks(filtered, tops, keys, width, width + 1, lambda w, lo, i: lo + int(np.abs(w).argmax()), T.LongType(), size)
+    peaks = snapped.select(*keys, F.col("got").alias("i")).distinct()
+    return {"peaks": peaks, "thresholds": thr, "packed": packed, "filtered": filtered, "envelope": env}
+
+
+def block_threshold(env: DataFrame, keys: list[str], k: float, baseline_samples: int | None = None) -> DataFrame:
+    """``mad_threshold`` of block rows."""
+    return PK.block_quantiles(env, keys, {"_m": 0.5}, baseline_samples).select(
+        *keys, (F.col("_m") / 0.6745).alias("sigma"), (F.col("_m") / 0.6745 * k).alias("threshold"))
+
+
+def cut_blocks(measured: DataFrame, peaks: DataFrame, keys: list[str], half: int, base_half: int | None = None, out: str = "x",
+               size: int = PK.SIZE) -> DataFrame:
+    """``extract_waveforms`` from block rows: (keys, i, x)."""
+    base = half if base_half is None else base_half
+    h = max(half, base)
+
+    def wave(w: np.ndarray, lo: int, i: int) -> np.ndarray | None:
+        return w[h - half: h + half] - w[h - base: h + base].mean() if len(w) == 2 * h + 1 else None
+
+    return PK.at_peaks(measured, peaks, keys, h, h + 1, wave, PK.ARRAY, size).withColumnRenamed("got", out)
 
 
 # --- waveforms ----------------------------------------------------------------------------------

@@ -12,11 +12,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dischargelab.operators import cluster as C
 from dischargelab.operators import features as FE
 from dischargelab.operators import gap as GP
 from dischargelab.operators import linkage as L
+from dischargelab.operators import packed as PK
 from dischargelab.operators import shapes as S
 from dischargelab.operators import signal as G
 from dischargelab.operators import splits as SP
@@ -51,18 +53,21 @@ class Sort:
 def detect_waveforms(trace: DataFrame, p: SortParams) -> Sort:
     """Detection and waveform cut of every run; spike ids encode run number and sample."""
     found = G.detect(trace, RUN, p.fs, p.highpass_hz, p.threshold_mad, p.refractory_ms, p.smoothing_ms, p.noise_baseline_samples)
-    measured = materialize(G.bandpass(trace, RUN, p.fs, *p.measure_band))
+    packed = found["packed"]
+    measured = materialize(PK.zero_phase_blocks(packed, RUN, "bandpass", *p.measure_band, p.fs))
     half, base = (int(round(ms * 1e-3 * p.fs)) for ms in (p.window_ms, p.baseline_window_ms))
-    cut = G.extract_waveforms(measured, found["peaks"], RUN, half, base)
-    size = trace.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    peaks = materialize(found["peaks"])
+    cut = G.cut_blocks(measured, peaks, RUN, half, base)
+    amp = PK.at_peaks(packed, peaks, RUN, 0, 1, lambda w, lo, i: float(w[0]), T.DoubleType()).withColumnRenamed("got", "amp")
+    size = packed.groupBy("run_id").agg(F.sum(F.size("v")).alias("n_samples"))
     runs = size.withColumn("_rn", F.row_number().over(Window.orderBy("run_id")).cast("long"))  # one row per run
-    rows = attach(cut, runs.select("run_id", "_rn"), RUN).join(trace.select("run_id", "i", F.col("v").alias("amp")), ["run_id", "i"])
+    rows = attach(cut.join(amp, ["run_id", "i"]), runs.select("run_id", "_rn"), RUN)
     rows = rows.select("run_id", "i", (F.col("_rn") * (1 << 40) + F.col("i")).alias("spike_id"),
                        (F.col("i") / p.fs + p.start_s).alias("t"), "amp", "x")
     rows = S.dct_highpass(rows, p.dct_filter_n)
     durations = size.select("run_id", (F.col("n_samples") / p.fs).alias("duration_s"))
-    detections = durations.select("run_id").join(found["peaks"].groupBy("run_id").agg(F.count(F.lit(1)).alias("n_detected")), "run_id", "left")
-    return Sort(materialize(rows), p, thresholds=found["thresholds"], measured=measured, durations=durations,
+    detections = durations.select("run_id").join(peaks.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_detected")), "run_id", "left")
+    return Sort(materialize(rows), p, thresholds=found["thresholds"], measured=PK.unpack(measured, RUN), durations=durations,
                 detections=materialize(detections.fillna(0, ["n_detected"])))
 
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from dischargelab.functions import arrays as A
+from dischargelab.functions.filters import design
+from dischargelab.operators import packed as PK
 from dischargelab.operators import shapes as S
 from dischargelab.operators import signal as G
 from dischargelab.operators import templates as TP
@@ -146,22 +148,100 @@ def run_consistency(spark, d):
     return G.check_runs(waveforms(spark, d).withColumn("fs", F.lit(FS_WAVE)), [])
 
 
-@query("bandpass")
+def _sections(kind: str, low: float, high: float | None, fs: float) -> list[tuple[list[float], list[float]]]:
+    """The filter as second-order sections (b, a): conjugate poles in pairs, with a zero at 1 and, for a band, one at -1."""
+    _, p, gain, _, _ = design(kind, low, high, fs)
+    pairs = [(-2 * q.real, abs(q) ** 2) for q in p if q.imag > 0]
+    b = [1.0, -2.0, 1.0] if kind == "highpass" else [1.0, 0.0, -1.0]
+    g = gain ** (1 / len(pairs))
+    return [([g * x for x in b], [1.0, *a]) for a in pairs]
+
+
+def filter_sql(src: str, out: str, kind: str, low: float, high: float | None) -> str:
+    """Common tables that filter ``src`` (run_id, i, v) forward and backward into ``out``, sample by sample."""
+    sections, pad = _sections(kind, low, high, FS_TRACE), design(kind, low, high, FS_TRACE)[3]
+    names = [f"s{k}{j}" for k in range(len(sections)) for j in (1, 2)]
+
+    def num(v):
+        return f"({float(v)!r})::DOUBLE"
+
+    def one_way(source: str, name: str) -> str:
+        """Section by section in transposed form; the states begin as if the first sample had always been there."""
+        y, gain, rest, step = "x", 1.0, [], []
+        for k, (b, a) in enumerate(sections):
+            into, gain = gain, gain * sum(b) / sum(a)
+            s2 = b[2] * into - a[2] * gain
+            rest += [f"{num(b[1] * into - a[1] * gain + s2)} * x", f"{num(s2)} * x"]
+            step.append(f"{num(b[0])} * {y} + s{k}1 AS y{k}")
+            y = f"y{k}"
+        new, y = [], "x"
+        for k, (b, a) in enumerate(sections):
+            new += [f"{num(b[1])} * {y} - {num(a[1])} * y{k} + s{k}2", f"{num(b[2])} * {y} - {num(a[2])} * y{k}"]
+            y = f"y{k}"
+        return f"""{name}(run_id, k, y, {', '.join(names)}) AS (
+  SELECT run_id, CAST(-1 AS BIGINT), CAST(NULL AS DOUBLE), {', '.join(rest)} FROM {source} WHERE k = 0
+  UNION ALL
+  SELECT run_id, k, {y}, {', '.join(new)} FROM (
+    SELECT f.run_id, e.k, e.x, {', '.join('f.' + n for n in names)}, {', '.join(step)} FROM {name} f JOIN {source} e ON e.run_id = f.run_id AND e.k = f.k + 1))"""
+
+    return f"""{out}n AS (SELECT run_id, count(*) AS n FROM {src} GROUP BY run_id),
+{out}e AS MATERIALIZED (
+  SELECT run_id, i + {pad} AS k, CAST(v AS DOUBLE) AS x FROM {src}
+  UNION ALL SELECT s.run_id, {pad} - s.i, 2 * z.v - s.v FROM {src} s JOIN {src} z ON z.run_id = s.run_id AND z.i = 0 WHERE s.i BETWEEN 1 AND {pad}
+  UNION ALL SELECT s.run_id, {pad} + 2 * (n - 1) - s.i, 2 * z.v - s.v FROM {src} s JOIN {out}n USING (run_id) JOIN {src} z ON z.run_id = s.run_id AND z.i = n - 1
+    WHERE s.i BETWEEN n - 1 - {pad} AND n - 2),
+{one_way(out + 'e', out + 'f')},
+{out}r AS MATERIALIZED (SELECT run_id, n + {2 * pad} - 1 - k AS k, y AS x FROM {out}f JOIN {out}n USING (run_id) WHERE k >= 0),
+{one_way(out + 'r', out + 'b')},
+{out} AS MATERIALIZED (SELECT run_id, n + {pad} - 1 - k AS i, y AS v FROM {out}b JOIN {out}n USING (run_id) WHERE k BETWEEN {pad} AND n + {pad} - 1)"""
+
+
+@query("bandpass", f"WITH RECURSIVE {TRACE}, {filter_sql('tr', 'fl', 'bandpass', 20.0, 200.0)} SELECT run_id, i, {rnd('v')} AS v FROM fl")
 def bandpass(spark, d):
     return G.bandpass(trace(spark, d), RUN, FS_TRACE, 20.0, 200.0)
 
 
-@query("highpass")
+@query("highpass", f"WITH RECURSIVE {TRACE}, {filter_sql('tr', 'fl', 'highpass', 100.0, None)} SELECT run_id, i, {rnd('v')} AS v FROM fl")
 def highpass(spark, d):
     return G.highpass(trace(spark, d), RUN, FS_TRACE, 100.0)
 
 
-@query("detect")
+@query("highpass_blocks", f"WITH RECURSIVE {TRACE}, {filter_sql('tr', 'fl', 'highpass', 2.0, None)} SELECT run_id, i, {rnd('v')} AS v FROM fl")
+def highpass_blocks(spark, d):
+    """A cut-off so low that the filter remembers several blocks."""
+    return G.highpass(trace(spark, d), RUN, FS_TRACE, 2.0, 128)
+
+
+# The chain of the signal operators on the filtered trace.
+DETECT = f"""{TRACE}, {filter_sql('tr', 'fl', 'highpass', 100.0, None)},
+ev AS (SELECT run_id, i, sum(abs(v)) OVER (PARTITION BY run_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6 AS v FROM fl),
+th AS (SELECT run_id, median(v) / 0.6745::DOUBLE AS sigma, median(v) / 0.6745::DOUBLE * {KMAD!r}::DOUBLE AS threshold FROM ev GROUP BY run_id),
+{PEAKS.format(src='ev')}, hi AS (SELECT lm.* FROM lm JOIN th USING (run_id) WHERE v >= threshold), {THIN},
+ep AS (SELECT run_id, spike_id AS i FROM gr WHERE keep), fa AS (SELECT run_id, i, abs(v) AS v FROM fl),
+{SNAP.replace('JOIN tr ON tr.run_id', 'JOIN fa tr ON tr.run_id')}"""
+
+
+@query("detect", f"WITH RECURSIVE {DETECT} SELECT run_id, i, {rnd('sigma')} AS sigma, {rnd('threshold')} AS threshold FROM sn JOIN th USING (run_id)")
 def detect(spark, d):
-    found = G.detect(_kept(spark, d), RUN, FS_TRACE, 100.0, 1.2, 9.0, 6.0)
+    found = G.detect(_kept(spark, d), RUN, FS_TRACE, 100.0, KMAD, float(DIST), float(WIDTH))
     return found["peaks"].join(found["thresholds"], "run_id")
 
 
+@query("detect_cut", f"""WITH RECURSIVE {DETECT}, {filter_sql('tr', 'fb', 'bandpass', 20.0, 400.0)},
+{CUT.replace('JOIN tr ON tr.run_id', 'JOIN fb tr ON tr.run_id')} SELECT run_id, i, p, {rnd('v')} AS v FROM wv""")
+def detect_cut(spark, d):
+    """Waveforms of the band-passed trace at all detections, from packed blocks."""
+    found = G.detect(_kept(spark, d), RUN, FS_TRACE, 100.0, KMAD, float(DIST), float(WIDTH), size=512)
+    measured = PK.zero_phase_blocks(found["packed"], RUN, "bandpass", 20.0, 400.0, FS_TRACE)
+    return G.cut_blocks(measured, found["peaks"], RUN, HALF, BASE, size=512).select("run_id", "i", F.posexplode("x").alias("p", "v"))
+
+
+@query("block_quantiles", f"WITH {TRACE} SELECT run_id, {rnd('quantile_cont(v, 0.05)')} AS low, {rnd('median(v)')} AS mid, "
+       f"{rnd('quantile_cont(v, 0.999)')} AS high FROM tr GROUP BY run_id")
+def block_quantiles(spark, d):
+    return PK.block_quantiles(materialize(PK.pack(trace(spark, d), RUN)), RUN, {"low": 0.05, "mid": 0.5, "high": 0.999})
+
+
 @query("hf_power")
 def hf_power(spark, d):
     return G.hf_power(waveforms(spark, d), FS_WAVE).select("spike_id", F.posexplode("hf_power").alias("p", "power"))
