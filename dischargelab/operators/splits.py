@@ -9,31 +9,36 @@ from pyspark.sql import functions as F
 
 from dischargelab.operators import fits as FT
 from dischargelab.operators import gap as GP
-from dischargelab.operators.embedding import embed
+from dischargelab.operators.features import pca_by_pool
 from dischargelab.operators.linkage import components
 from dischargelab.operators.tiles import silhouette
 from dischargelab.operators.trains import relabel_dense
 from dischargelab.session import attach, materialize
 
 SID = "spike_id"
-PERPLEXITY, SEED = 30.0, 42
+SEED = 42
 
 
-def two_way(rows: DataFrame, min_rows: int, n_iter: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Embed each group of at least ``min_rows`` and propose a two-way partition.
+def two_way(rows: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Propose a two-way partition of each group of at least ``min_rows``: k-means on its two leading components.
 
-    Returns (rows with ``sub`` and ``labels``, sizes and silhouette per group).
+    Both steps are passes over all rows of all groups, so the proposal is the same algorithm at every size. Returns (rows
+    with ``sub`` and ``labels``, sizes and silhouette per group).
     """
     n = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     live = attach(rows, n.where(F.col("n") >= min_rows), ["g"]).select("g", SID, "x")
-    emb = materialize(embed(live, 2, PERPLEXITY, SEED, n_iter).select("g", SID, F.col("y").alias("x")))
-    fits = FT.kmeans(emb, SID, [2], SEED)
-    sub = FT.assign(emb, {g: f for (g, _), f in fits.items()}, "sub")
-    sub = materialize(sub.withColumn("labels", F.array("sub")))
+    plane = materialize(pca_by_pool(live, 2).select("g", SID, F.col("shape").alias("x")))
+    fits = FT.kmeans(plane, SID, [2], SEED)
+    sub = materialize(FT.assign(plane, {g: f for (g, _), f in fits.items()}, "sub").withColumn("labels", F.array("sub")))
+    return sub, partition_tests(sub)
+
+
+def partition_tests(sub: DataFrame) -> DataFrame:
+    """(g, n, n0, n1, silhouette) of given two-way partitions (g, spike_id, x, sub, labels)."""
     sil = silhouette(sub, SID).select("g", "silhouette")
     size = sub.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("sub") == 0, 1).otherwise(0)).alias("n0"),
                                 F.sum(F.when(F.col("sub") == 1, 1).otherwise(0)).alias("n1"))
-    return sub, materialize(size.join(sil, "g", "left"))
+    return materialize(size.join(sil, "g", "left"))
 
 
 def _types_as_groups(waves: DataFrame) -> DataFrame:
@@ -49,33 +54,36 @@ def _apply(waves: DataFrame, sub: DataFrame, split: list[int], next_id: int) ->
     return waves.join(moved, SID, "left").withColumn("label", F.coalesce("_new", "label").cast("int")).select(*waves.columns)
 
 
-def split_by_silhouette(waves: DataFrame, min_spikes: int = 20, floor: float = 0.5, n_iter: int = 500) -> tuple[DataFrame, DataFrame]:
-    """One pass: split a type when its two-way embedding silhouette reaches ``floor``.
+def split_by_silhouette(waves: DataFrame, min_spikes: int = 20, floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """One pass: split a type when the silhouette of its two-way partition reaches ``floor``.
 
-    Labels are not renumbered. The report has one row per type; untested types have no silhouette.
+    Labels are not renumbered. The report has one row per type, with the id of the second child (the first keeps the type's)
+    where it was split; untested types have no silhouette.
     """
     counts = waves.groupBy(F.col("label").cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    sub, tests = two_way(_types_as_groups(waves), min_spikes, n_iter)
+    sub, tests = two_way(_types_as_groups(waves), min_spikes)
     split = [r["g"] for r in tests.where(F.col("silhouette") >= floor).select("g").collect()]
     top = waves.agg(F.max("label")).first()[0] + 1
     report = counts.join(tests.select("g", "silhouette", "n0", "n1"), "g", "left").withColumn(
-        "split", F.coalesce(F.col("silhouette") >= floor, F.lit(False))).withColumnRenamed("g", "type")
+        "split", F.coalesce(F.col("silhouette") >= floor, F.lit(False)))
+    place = F.array_position(F.array(*[F.lit(g) for g in sorted(split)]).cast("array<int>"), F.col("g"))
+    report = report.withColumn("child", F.when(F.col("split"), (place + int(top) - 1).cast("int"))).withColumnRenamed("g", "type")
     return _apply(waves, sub, split, int(top)), report
 
 
 def split_by_gap(waves: DataFrame, min_spikes: int = 50, min_child: int = 20, margin: float = 1.0, max_rounds: int = 3,
-                 space: str = "pca", n_refs: int = GP.N_REFS, n_iter: int = 500) -> tuple[DataFrame, list[dict]]:
+                 space: str = "waves", n_refs: int = GP.N_REFS) -> tuple[DataFrame, list[dict]]:
     """Repeat: propose two-way partitions of every type and keep those the gap statistic prefers.
 
-    The proposal comes from the embedding; the gap is scored on the waveforms' leading components
-    with that partition fixed (``space="pca"``), or on the embedding itself (``"tsne"``). Labels
+    The gap is scored on the waveforms' leading components
+    with that partition fixed (``space="waves"``), or on the plane of the proposal (``"plane"``). Labels
     come back dense.
     """
     report = []
     for rnd in range(max_rounds):
-        sub, tests = two_way(_types_as_groups(waves), min_spikes, n_iter)
+        sub, tests = two_way(_types_as_groups(waves), min_spikes)
         ready = {r["g"]: r for r in tests.where("n0 > 0 and n1 > 0").collect()}
-        if space == "tsne":
+        if space == "plane":
             data = sub.select(SID, F.col("g").alias("label"), "x")
             gaps = GP.gap_statistics(data, [(g,) for g in sorted(ready)], SID, n_refs)
         else:
@@ -121,12 +129,11 @@ def pair_pools(waves: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return waves.withColumn("g", F.explode(table[F.col("label").cast("int")])).select("g", SID, "x")
 
 
-def pairs_one_cluster(waves: DataFrame, pairs: list[tuple[int, int]], floor: float = 0.5, min_spikes: int = 20,
-                      n_iter: int = 500) -> dict[tuple[int, int], float | None]:
-    """Embedding silhouette of each pooled pair; None where the pool is too small to test."""
+def pairs_one_cluster(waves: DataFrame, pairs: list[tuple[int, int]], floor: float = 0.5, min_spikes: int = 20) -> dict[tuple[int, int], float | None]:
+    """Two-way silhouette of each pooled pair; None where the pool is too small to test."""
     if not pairs:
         return {}
-    _, tests = two_way(pair_pools(waves, pairs), min_spikes, n_iter)
+    _, tests = two_way(pair_pools(waves, pairs), min_spikes)
     got = {r["g"]: r["silhouette"] for r in tests.collect()}
     return {p: got.get(n) for n, p in enumerate(pairs)}
 
@@ -158,10 +165,10 @@ def voronoi_adjacency(cent: DataFrame) -> DataFrame:
     return empty.select(F.explode(edges).alias("e")).select(F.col("e.a").alias("type_a"), F.col("e.b").alias("type_b")).distinct()
 
 
-def merge_adjacent(waves: DataFrame, points: DataFrame, floor: float = 0.5, n_iter: int = 500) -> tuple[DataFrame, list[dict]]:
+def merge_adjacent(waves: DataFrame, points: DataFrame, floor: float = 0.5) -> tuple[DataFrame, list[dict]]:
     """Merge neighbouring types whose pooled waveforms do not split; ids follow the smallest member."""
     pairs = sorted((r["type_a"], r["type_b"]) for r in voronoi_adjacency(centroids(points)).collect())
-    sil = pairs_one_cluster(waves, pairs, floor, n_iter=n_iter)
+    sil = pairs_one_cluster(waves, pairs, floor)
     log = [{"type_a": a, "type_b": b, "silhouette": sil[a, b], "merge": not (sil[a, b] is not None and sil[a, b] >= floor)}
            for a, b in pairs]
     merged = [(0, r["type_a"], r["type_b"]) for r in log if r["merge"]]

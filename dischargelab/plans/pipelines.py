@@ -24,7 +24,6 @@ from dischargelab.operators import signal as G
 from dischargelab.operators import splits as SP
 from dischargelab.operators import templates as TP
 from dischargelab.operators import trains as TR
-from dischargelab.operators.embedding import embed
 from dischargelab.params import BASE, CLINICAL, SIMULATED_FULL, SIMULATED_REDUCED, SortParams
 from dischargelab.session import attach, materialize
 from dischargelab.sources.traces import concatenate, through_text
@@ -91,9 +90,7 @@ def add_features(rows: DataFrame, p: SortParams, joint: bool) -> DataFrame:
     pool = C.with_pool(rows, [] if joint else RUN, "x")
     if p.feature_method == "wavelet":
         shaped = FE.wavelet_features(pool, "spike_id", p.n_components, p.wavelet, p.wavelet_level, p.wavelet_clip_percentile, keys=["g"])
-    elif p.feature_method == "tsne":
-        shaped = embed(pool, p.n_components, p.tsne_perplexity, p.seed, p.tsne_iterations).withColumnRenamed("y", "shape")
-    else:
+    else:  # a layout takes no part in decisions: where the parameters name one, leading components take its place
         shaped = FE.pca_by_pool(pool, p.n_components)
     shaped = S.amplitude_duration(materialize(shaped), p.fs)
     return materialize(FE.assemble(shaped, p.n_components, p.amp_dur_weight, p.polarity_weight, keys=["g"]))
@@ -276,19 +273,25 @@ def gap_anchor_merge(spikes: DataFrame, n_refs: int = GP.N_REFS, keys: list[str]
             [r for r in log if (r["anchor"], r["other"]) in asked])
 
 
-def split_then_merge(s: Sort, keys: list[str] | None = None, how: str = "tsne", n_iter: int = 500) -> tuple[DataFrame, list]:
-    """Second stage: split heterogeneous types, then merge near-identical shapes of the same pool (``keys``).
+def split_then_merge(s: Sort, keys: list[str] | None = None, how: str = "silhouette") -> tuple[DataFrame, list[dict]]:
+    """Second stage: split heterogeneous types (``how``: "silhouette" or "gap"), then merge near-identical shapes of the same
+    pool (``keys``).
 
-    Equal labels of different pools are different types: they are numbered apart before the split.
+    Equal labels of different pools are different types: they are numbered apart before the split. The report names types by
+    pool and label.
     """
     live = s.spikes.where("label >= 0")
     if keys:
-        live = attach(live, number_types(live, keys), [*keys, "label"]).withColumn("label", F.col("_id")).select(*live.columns)
+        names = number_types(live, keys)
+        live = attach(live, names, [*keys, "label"]).withColumn("label", F.col("_id")).select(*live.columns)
     if how == "gap":
-        split, report = SP.split_by_gap(live, n_iter=n_iter)
+        split, report = SP.split_by_gap(live)
     else:
-        raw, rep = SP.split_by_silhouette(live, n_iter=n_iter)
-        split, report = materialize(TR.relabel_dense(raw, []).select(*raw.columns)), rep.collect()
+        raw, rep = SP.split_by_silhouette(live)
+        split, report = materialize(TR.relabel_dense(raw, []).select(*raw.columns)), [r.asDict() for r in rep.collect()]
+    if keys:  # one row per type
+        named = {r["_id"]: {**{k: r[k] for k in keys}, "type": r["label"]} for r in names.collect()}
+        report = [{**r, **named[r["type"]]} if r.get("round", 0) == 0 else r for r in report]
     merged = TP.l2_merge_stage(split, keys or [], s.params.fs)
     return TR.relabel_dense(merged, keys or []).select(*live.columns), report
 

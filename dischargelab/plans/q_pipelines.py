@@ -14,7 +14,7 @@ from dischargelab.session import materialize
 
 # The tables hold a value per event, sampled here at 1 kHz: windows and cut-offs scale with it.
 SLOW = dict(fs=FS_TRACE, highpass_hz=100.0, threshold_mad=1.2, measure_band=(20.0, 400.0), window_ms=10.0, baseline_window_ms=15.0,
-            smoothing_ms=4.0, refractory_ms=6.0, min_isi_ms=20.0, silhouette_max_n=6, tsne_iterations=120)
+            smoothing_ms=4.0, refractory_ms=6.0, min_isi_ms=20.0)
 
 
 def recording(spark, d):
@@ -23,7 +23,7 @@ def recording(spark, d):
 
 @query("run_pipeline")
 def run_pipeline(spark, d):
-    p = BASE.having(**SLOW, feature_method="pca", isi_weight=0.05, isi_window_s=1.0, isi_iters=2, l2_merge_outlier_fence_k=2.0)
+    p = BASE.having(**SLOW, feature_method="pca", l2_merge_outlier_fence_k=2.0)
     s = P.sort_recordings(recording(spark, d), p)
     return P.type_summary(s)
 
@@ -43,8 +43,7 @@ def post_process(spark, d):
 
 @query("subject_summary")
 def subject_summary(spark, d):
-    p = CLINICAL.having(**{**SLOW, "tsne_iterations": 80, "silhouette_max_n": 4})
-    return P.sort_subject(recording(spark, d), p, n_refs=10)["summary"]
+    return P.sort_subject(recording(spark, d), CLINICAL.having(**SLOW))["summary"]
 
 
 @query("subject_library")
@@ -56,8 +55,8 @@ def subject_library(spark, d):
 
 @query("l2split")
 def l2split(spark, d):
-    s = P.sort_recordings(recording(spark, d), JOINT.having(**{**SLOW, "threshold_mad": 0.9}, feature_method="pca", force_k=3), joint=True)
-    out, _ = P.split_then_merge(s, n_iter=100)
+    s = P.sort_recordings(recording(spark, d), JOINT.having(**{**SLOW, "threshold_mad": 0.9}, feature_method="pca"), joint=True)
+    out, _ = P.split_then_merge(s)
     return out.select("run_id", "spike_id", "label")
 
 

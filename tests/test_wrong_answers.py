@@ -84,7 +84,7 @@ def test_equal_labels_of_two_pools_split_apart(spark, monkeypatch):
     rows = spark.createDataFrame([(g, 0, g * 10 + i, float(i), [float(g), 1.0]) for g in range(2) for i in range(3)],
                                  "g int, label int, spike_id long, t double, x array<double>")
     seen = []
-    monkeypatch.setattr(P.SP, "split_by_gap", lambda live, n_iter: (seen.append({(r["g"], r["label"]) for r in live.collect()}), (live, []))[1])
+    monkeypatch.setattr(P.SP, "split_by_gap", lambda live: (seen.append({(r["g"], r["label"]) for r in live.collect()}), (live, []))[1])
     monkeypatch.setattr(P.TP, "l2_merge_stage", lambda rows, keys, fs: rows)
     got, _ = P.split_then_merge(SimpleNamespace(spikes=rows, params=BASE), ["g"], how="gap")
     assert seen == [{(0, 0), (1, 1)}]
