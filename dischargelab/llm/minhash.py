@@ -276,9 +276,8 @@ def band_links(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return dealt.sortWithinPartitions("cell").mapInArrow(kernel, LINKS)
 
 
-def verified_links(named: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links that connect all sets (sid, key, least, bands, n_shingles) within the similarity that share a band."""
-    banded = named.select("sid", F.explode("bands").alias("band"))
+def verified_links(banded: DataFrame, named: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links that connect all sets (sid, key, least, n_shingles) within the similarity that share a band (sid, band)."""
     heads = banded.groupBy("band").agg(F.min("sid").alias("head"), F.count("*").alias("n")).where("n > 1")  # alone in a band: no candidates
     rows = materialize(banded.join(heads, "band").select("band", "sid", "head", "n"))
     centres = rows.groupBy("sid").agg(F.min(F.struct("head", "n")).alias("c")).select("sid", F.col("c.head").alias("centre"), "c.n")
@@ -306,7 +305,7 @@ def near_groups(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, b
     named = materialize(own.where("key IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")).withColumn(
         "sid", F.monotonically_increasing_id()))
-    group = components(verified_links(named, texts, words, percent)).withColumnRenamed("v", "sid")
+    group = components(verified_links(named.select("sid", F.explode("bands").alias("band")), named, texts, words, percent)).withColumnRenamed("v", "sid")
     rooted = materialize(named.select("sid", "key", "least", "copies").join(group, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = materialize(rooted.join(names, "root").select("key", "copies", "component_id"))

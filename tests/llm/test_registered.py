@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from compare import connect, differences
-from test_text_operators import brute_components, brute_fingerprint, brute_lines, check_packing
+from test_text_operators import brute_copies, brute_lines, check_packing
 
 from dischargelab.llm import langid, pii, queries
 
@@ -25,8 +25,7 @@ def test_pipeline_equals_brute_force(spark, small):
     names, scores = langid.fit(docs).predict(pa.array([t for _, t in rows]))
     rows = [r for r, n, s in zip(rows, names, scores) if n != "und" and s >= langid.MIN_SCORE]
     rows = sorted((i, t) for i, _, _, t in brute_lines(rows))
-    groups = brute_components([brute_fingerprint(t) for _, t in rows])
-    rows = [r for i, r in enumerate(rows) if groups[i] == i]
+    rows = brute_copies(rows)
     rows = [(i, pii.mask(t, [s for s in pii.find(t) if s[0] in corpus_pipeline.MASKED])) for i, t in rows]
     check_packing(corpus_pipeline.run(spark, small).toPandas(), rows)
 

@@ -145,14 +145,65 @@ def test_links_connect_what_is_within_the_radius(spark):
     assert [roots.get(f, f) for f in fps.tolist()] == [int(fps[w]) for w in want]
 
 
+def brute_copies(rows, words=5, percent=80):
+    """One row of each group of texts with 5-word shingle sets of similarity 0.8 and more, by all pairs."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i: i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sorted((r for i, r in enumerate(rows) if find(i) == i), key=str)
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(120)]
+    other = [f"v{i}" for i in range(90)]
+    near = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in (10, 50, 51, 90)]
+    docs = [(5, " ".join(other)), (5, near[0]), (3, near[1]), (9, near[0]), (None, near[2]), (None, " ".join(other[1:])), (9, near[0]), (None, ""), (None, "")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == brute_copies(docs) == sorted([(5, " ".join(other)), (3, near[1]), (None, ""), (None, "")], key=str)
+
+
+def test_near_copies_recall(spark):
+    """Copies with a similarity of 0.8 to 0.95: at least 0.9 are found, and nothing below 0.8 is."""
+    rng = np.random.default_rng(3)
+    docs, kind = [], {}
+    for n in range(200):
+        base = [f"a{x}" for x in rng.integers(0, 50_000, 250)]
+        edits = [2, 4, 5, 12][n % 4]  # an edit takes 5 of 246 shingles: similarity 0.92, 0.85, 0.82 and 0.6
+        q = list(base)
+        for j in range(edits):
+            q[5 + j * 19] = f"b{rng.integers(50_000)}"
+        docs += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(q))]
+        kind[2 * n + 1] = edits
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(2 * n in kept for n in range(200))
+    left = collections.Counter(kind[i] for i in kept if i in kind)
+    assert left[12] == 50 and all(left[e] <= 5 for e in (2, 4, 5)), left
+
+
 def test_simhash_odd_rows(odd, none):
     got = sorted(((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_groups(odd).collect()), key=str)
     rows = sorted(texts_of(odd), key=lambda r: (r[0] is None, r[0] or 0))
     fps = [brute_fingerprint(t) for _, t in rows]
     assert got == sorted(((i, f, rows[w][0]) for (i, _), f, w in zip(rows, fps, brute_components(fps))), key=str)
     kept = simhash.drop_near_copies(odd)
-    assert kept.columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for (i, _), w in zip(rows, brute_components(fps)) if i is None or rows[w][0] == i)
+    assert kept.schema.simpleString() == odd.schema.simpleString()
+    want = brute_copies([(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+    assert simhash.drop_near_copies(none).count() == 0
     assert simhash.near_groups(none).count() == 0
 
 
