@@ -5,7 +5,7 @@ whatever they are. ``run`` writes each stage's result as Parquet under the folde
 spark.checkpoint.dir names and reads it again, so a lost executor costs a stage's tasks at most.
 
 Defined cases: extra columns pass through; n_chars, where it is there, follows the text; rows with a null doc_id pass
-all filters that judge a text alone, and stay as documents of their own; an empty table gives an empty result.
+all filters that judge a text alone; of near copies the smallest doc_id stays, a null one only where all are null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
