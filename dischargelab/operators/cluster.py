@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 
 from dischargelab.functions import arrays as A
 from dischargelab.functions.graphs import hdbscan, potts_labels
+from dischargelab.functions.ranges import rate_departure
 from dischargelab.operators import fits as FT
 from dischargelab.operators.sampling import hash_sample
 from dischargelab.operators.tiles import nearest, silhouette
-from dischargelab.session import attach, group_bound, largest_group, materialize
+from dischargelab.session import attach, group_bound, largest_group, materialize, shuffle_width
 
 SID = "spike_id"
 SINGLE_TASK_ROWS = 50_000  # largest pool the sequential algorithms accept
@@ -201,28 +202,16 @@ def regularity_costs(spikes: DataFrame, keys: list[str], labels: list[int], weig
         spikes.schema[SID], T.StructField("temporal", T.ArrayType(T.DoubleType()))])
 
     def rates(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", SID])
-        own = pdf[pdf["_own"]]
-        out = np.zeros((len(own), len(labels)))
-        ts, lab = own["t"].to_numpy(), own["label"].to_numpy()
-        for n, c in enumerate(labels):
-            tc = pdf.loc[pdf["label"] == c, "t"].to_numpy()
-            lo, hi = np.searchsorted(tc, ts - reach), np.searchsorted(tc, ts + reach)
-            for r in np.flatnonzero(hi - lo >= 2):
-                t, near = ts[r], tc[lo[r]:hi[r]]
-                if lab[r] == c:
-                    near = np.delete(near, np.searchsorted(near, t))
-                away = np.abs(near - t)
-                near, away = near[away <= window_s], away[away <= window_s]
-                if len(near) < 2:
-                    continue
-                isi, gaps = away.min(), np.sort(near[1:] - near[:-1])
-                mid = (gaps[(len(gaps) - 1) // 2] + gaps[len(gaps) // 2]) / 2
-                out[r, n] = abs((1.0 / isi if isi > 0 else 0.0) - (1.0 / mid if mid > 0 else 0.0))
+        pdf = pdf.sort_values(["label", "t"])
+        own, lab, n = pdf[pdf["_own"]], pdf["label"].to_numpy(), len(labels)
+        each = np.tile(np.array(labels), len(own))
+        out = rate_departure(pdf["t"].to_numpy(), np.repeat(own["t"].to_numpy(), n), np.repeat(own["label"].to_numpy(), n) == each, window_s,
+                             np.searchsorted(lab, each), np.searchsorted(lab, each, "right")).reshape(len(own), n)
         res = own[[*keys, SID]].copy()
         res["temporal"] = pd.Series(list(out), index=res.index, dtype=object)
         return res
 
+    halo = halo.repartition(shuffle_width(spikes.sparkSession), *keys, "_s", "_p")  # small rows, long work: not to be coalesced
     temporal = halo.groupBy(*keys, "_s", "_p").applyInPandas(rates, schema)
     # `labels` is closed over, so position n of `temporal` is labels[n].
     rows = attach(base, centers, keys).join(temporal, keys + [SID])

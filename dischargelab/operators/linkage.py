@@ -2,61 +2,91 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dischargelab.operators.ordered import neighbours, quantiles
 from dischargelab.operators.trains import min_isi
-from dischargelab.session import attach, groups_bounded, materialize
+from dischargelab.session import attach, group_bound, groups_bounded, largest_group, materialize, shuffle_width
 
-LABELS_PER_PASS = 64
+SLOT_ROWS = 50_000  # spikes in a stretch of the latency sweep
 SMALL_GRAPH = 10_000
 
 
+def nearest_latencies(spikes: DataFrame, keys: list[str], max_latency: float, label: str = "label",
+                      t: str = "t", sid: str = "spike_id", slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """(keys, type_i, type_j, latency): of every spike and other type, the nearest spike if it is within ``max_latency``.
+
+    A task sweeps one stretch of one run with a halo of ``max_latency`` on either side; stretches are as wide as
+    ``slot_rows`` spikes at the run's mean rate. Only matches become rows. A stretch denser than the group bound is shared by
+    several tasks, each with a part of its spikes and the distinct times around them.
+    """
+    base = spikes.select(*keys, label, t, sid).where(F.col(label).isNotNull() & F.col(t).isNotNull())
+    rate = base.groupBy(*keys).agg(((F.max(t) - F.min(t)) * slot_rows / F.count(F.lit(1))).alias("_w"))
+    width = F.greatest(F.col("_w"), F.lit(float(max_latency)))
+    base = attach(base, rate.select(*keys, F.when(width > 0, width).otherwise(1.0).alias("_w")), keys)
+    slot, reach = F.floor(F.col(t) / F.col("_w")), max_latency * (1 + 1e-6)
+    near = F.sequence(F.floor((F.col(t) - reach) / F.col("_w")), F.floor((F.col(t) + reach) / F.col("_w")))
+    bound = group_bound(spikes.sparkSession)
+    parts = -(-largest_group(base.withColumn("_s", slot), keys + ["_s"]) // bound)
+    cols = [*keys, label, t, "_s", "_p", "_own"]
+    if parts <= 1:
+        rows = base.withColumn("_s", F.explode(near)).withColumn("_p", F.lit(0)).withColumn("_own", F.col("_s") == slot).select(*cols)
+    else:
+        own = base.withColumn("_s", slot).withColumn("_p", F.pmod(F.xxhash64(sid), F.lit(parts)).cast("int")).withColumn("_own", F.lit(True))
+        around = base.select(*keys, label, t, "_w").distinct().withColumn("_s", F.explode(near)).withColumn(
+            "_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_own", F.lit(False))
+        rows = own.select(*cols).unionByName(around.select(*cols))
+    schema = T.StructType([spikes.schema[k] for k in keys] + [
+        T.StructField("type_i", spikes.schema[label].dataType), T.StructField("type_j", spikes.schema[label].dataType),
+        T.StructField("latency", T.DoubleType())])
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["_own"]]
+        ts, of = own[t].to_numpy(), own[label].to_numpy()
+        found = []
+        for j, times in pdf.groupby(label)[t]:
+            times = np.unique(times.to_numpy())
+            k = np.searchsorted(times, ts)
+            back = np.where(k > 0, ts - times[np.maximum(k - 1, 0)], np.inf)
+            ahead = np.where(k < len(times), times[np.minimum(k, len(times) - 1)] - ts, np.inf)
+            hit = np.flatnonzero((of != j) & (np.minimum(back, ahead) <= max_latency))
+            lat = np.where(ahead < back, ahead, -back)[hit]
+            found.append(pd.DataFrame({"type_i": of[hit], "type_j": [j] * len(hit), "latency": lat}))
+        out = pd.concat(found, ignore_index=True)
+        for n, key in enumerate(keys):
+            out.insert(n, key, [pdf[key].iloc[0]] * len(out))
+        return out
+
+    rows = rows.repartition(shuffle_width(spikes.sparkSession), *keys, "_s", "_p")  # small rows, long work: not to be coalesced
+    return rows.groupBy(*keys, "_s", "_p").applyInPandas(sweep, schema)
+
+
 def pair_latency(spikes: DataFrame, keys: list[str], max_latency: float, label: str = "label",
                  t: str = "t", sid: str = "spike_id") -> DataFrame:
     """For each ordered type pair, how often and how regularly type j fires next to type i.
 
-    One ordered pass carries the last and the next time of every type past each spike, so nothing
-    is paired with anything: the work is spikes x types whatever the density. Latencies are in the
+    Types are paired through one row per (run, type); spikes only by the sweep of ``nearest_latencies``. Latencies are in the
     unit of ``t`` times 1000.
     """
-    labels = [r[0] for r in spikes.select(label).distinct().orderBy(label).collect()]
-    bounded = groups_bounded(spikes, keys)
-    parts = []
-    for k in range(0, len(labels), LABELS_PER_PASS):
-        some = labels[k:k + LABELS_PER_PASS]
-        at = {j: F.when(F.col(label) == F.lit(j), F.col(t)) for j in some}
-        rows = neighbours(spikes.select(*keys, label, t, sid), keys, [t, sid],
-                          prev={f"_p{n}": at[j] for n, j in enumerate(some)},
-                          nxt={f"_n{n}": at[j] for n, j in enumerate(some)}, bounded=bounded)
-        cells = F.array(*[
-            F.struct(F.lit(j).alias("j"), F.col(f"_p{n}").alias("p"), F.col(f"_n{n}").alias("n"))
-            for n, j in enumerate(some)])
-        parts.append(rows.select(*keys, F.col(label).alias("type_i"), t, F.explode(cells).alias("_c")))
-    wide = parts[0]
-    for extra in parts[1:]:
-        wide = wide.unionByName(extra)
-    p, n = F.col("_c.p"), F.col("_c.n")
-    near = F.when(p.isNull() | (n.isNotNull() & (F.abs(F.col(t) - n) < F.abs(F.col(t) - p))), n).otherwise(p)
-    lat = (
-        wide.where(F.col("_c.j") != F.col("type_i"))
-        .select(*keys, "type_i", F.col("_c.j").alias("type_j"), (near - F.col(t)).alias("_l"))
-        .where(F.col("_l").isNotNull())
-        .withColumn("_m", F.when(F.abs("_l") <= max_latency, F.col("_l")))
-    )
+    if not keys:
+        return pair_latency(spikes.withColumn("_one", F.lit(0)), ["_one"], max_latency, label, t, sid).drop("_one")
+    size = materialize(spikes.where(F.col(t).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n_i")))
     pair = keys + ["type_i", "type_j"]
-    agg = [F.count(F.lit(1)).alias("n_i"), F.count("_m").alias("n_matched"),
-           (F.avg("_m") * 1000).alias("latency_mean_ms"), (F.stddev_pop("_m") * 1000).alias("latency_std_ms")]
-    if bounded:  # a pair's latencies are no more than its run's spikes
-        agg.append(F.percentile("_m", F.lit(0.5)).alias("_md"))
-        stats = lat.groupBy(*pair).agg(*agg)
+    pairs = size.withColumnRenamed(label, "type_i").join(size.select(*keys, F.col(label).alias("type_j")), keys).where("type_i <> type_j")
+    hits = materialize(nearest_latencies(spikes, keys, max_latency, label, t, sid))
+    agg = [F.count("latency").alias("n_matched"), (F.avg("latency") * 1000).alias("latency_mean_ms"),
+           (F.stddev_pop("latency") * 1000).alias("latency_std_ms")]
+    bounded = groups_bounded(hits, pair)
+    if bounded:
+        stats = hits.groupBy(*pair).agg(*agg, F.percentile("latency", F.lit(0.5)).alias("_md"))
     else:
-        med = quantiles(lat.select(*pair, "_m"), pair, "_m", {"_md": 0.5}, bounded=False)
-        stats = lat.groupBy(*pair).agg(*agg).join(med, pair, "left")
-    return (stats.withColumn("co_occurrence", F.col("n_matched") / F.col("n_i"))
-            .withColumn("latency_median_ms", F.col("_md") * 1000).drop("_md"))
+        stats = hits.groupBy(*pair).agg(*agg).join(quantiles(hits, pair, "latency", {"_md": 0.5}, bounded=False), pair, "left")
+    out = pairs.join(stats, pair, "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0).cast("long")))
+    return out.withColumn("co_occurrence", F.col("n_matched") / F.col("n_i")).withColumn("latency_median_ms", F.col("_md") * 1000).drop("_md")
 
 
 def linked_pairs(stats: DataFrame, keys: list[str], min_co: float, max_std_ms: float,

@@ -73,18 +73,22 @@ def concatenate(trace: DataFrame, keys: list[str], run: str = "run_id") -> tuple
 
 
 def write_text_trace(trace: DataFrame, fs: float, path: str) -> None:
-    """One directory per run with ``%.6f`` lines in sample order, and a header table beside it."""
+    """One directory per run with ``%.6f`` lines in sample order, and a header row per run beside it.
+
+    Runs that are already at ``path`` stay; a run that is written again replaces its lines and its header row.
+    """
     lines = trace.select("run_id", "i", F.format_string("%.6f", F.col("v").cast("double")).alias("value"))
     (lines.repartitionByRange("run_id", "i").sortWithinPartitions("run_id", "i").select("run_id", "value")
-     .write.mode("overwrite").partitionBy("run_id").text(f"{path}/lines"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").text(f"{path}/lines"))
     head = trace.groupBy("run_id").agg(F.count(F.lit(1)).alias("Samples")).select(
-        F.lit("EMGRUN").alias("Type"), "Samples", F.lit(int(fs)).alias("SmplFrq"), F.concat("run_id", F.lit(".txt")).alias("File"))
-    head.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{path}/Header")
+        "run_id", F.lit("EMGRUN").alias("Type"), "Samples", F.lit(int(fs)).alias("SmplFrq"), F.concat("run_id", F.lit(".txt")).alias("File"))
+    (head.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("sep", "\t").option("header", True)
+     .partitionBy("run_id").csv(f"{path}/Header"))
 
 
 def read_written_trace(spark: SparkSession, path: str) -> DataFrame:
-    """The counterpart of ``write_text_trace``; part files are numbered in sample order."""
-    lines = spark.read.text(f"{path}/lines").select(
+    """The counterpart of ``write_text_trace``; part files are numbered in sample order. Run ids are text, as written."""
+    lines = spark.read.schema("value string, run_id string").text(f"{path}/lines").select(
         "run_id", F.col("value"), F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m"))
     return row_index(lines, ["run_id"], ["_f", "_b", "_m"], "i").select("run_id", "i", F.col("value").cast("double").alias("v"))
