@@ -77,7 +77,7 @@ def split_by_gap(waves: DataFrame, min_spikes: int = 50, min_child: int = 20, ma
 
     The gap is scored on the waveforms' leading components
     with that partition fixed (``space="waves"``), or on the plane of the proposal (``"plane"``). Labels
-    come back dense.
+    come back dense. The report names the second child of a split type by its id before that.
     """
     report = []
     for rnd in range(max_rounds):
@@ -96,6 +96,10 @@ def split_by_gap(waves: DataFrame, min_spikes: int = 50, min_child: int = 20, ma
             report.append({"round": rnd, "type": g, "n": r["n"], "split": bool(keep), "gap1": r["gap1"], "gap2": r["gap2"], "s2": r["s2"]})
             split += [g] if keep else []
         top = int(waves.agg(F.max("label")).first()[0]) + 1
+        children = {g: top + n for n, g in enumerate(sorted(split))}
+        for row in report:
+            if row["round"] == rnd:
+                row["child"] = children.get(row["type"])
         waves = materialize(relabel_dense(_apply(waves, sub, split, top), []).select(*waves.columns))
         if not split:
             break

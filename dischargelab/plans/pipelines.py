@@ -44,6 +44,7 @@ class Sort:
     durations: DataFrame | None = None
     detections: DataFrame | None = None
     rejected: DataFrame | None = None
+    raw_types: DataFrame | None = None
     dropped: dict[str, int] = field(default_factory=dict)
 
 
@@ -60,8 +61,9 @@ def detect_waveforms(trace: DataFrame, p: SortParams) -> Sort:
     amp = PK.at_peaks(packed, peaks, RUN, 0, 1, lambda w, lo, i: float(w[0]), T.DoubleType()).withColumnRenamed("got", "amp")
     size = packed.groupBy("run_id").agg(F.sum(F.size("v")).alias("n_samples"))
     runs = size.withColumn("_rn", F.row_number().over(Window.orderBy("run_id")).cast("long"))  # one row per run
+    bits = int(size.agg(F.max("n_samples")).first()[0] or 0).bit_length()
     rows = attach(cut.join(amp, ["run_id", "i"]), runs.select("run_id", "_rn"), RUN)
-    rows = rows.select("run_id", "i", (F.col("_rn") * (1 << 40) + F.col("i")).alias("spike_id"),
+    rows = rows.select("run_id", "i", (F.col("_rn") * (1 << bits) + F.col("i")).alias("spike_id"),
                        (F.col("i") / p.fs + p.start_s).alias("t"), "amp", "x")
     rows = S.dct_highpass(rows, p.dct_filter_n)
     durations = size.select("run_id", (F.col("n_samples") / p.fs).alias("duration_s"))
@@ -171,6 +173,7 @@ def sort_recordings(trace: DataFrame, params: SortParams = BASE, joint: bool = F
         raise ValueError("no run has enough spikes to be sorted; see its detections or lower threshold_mad")
     rows = add_features(s.spikes, p, joint)
     rows, s.n_clusters, s.scores = cluster_pools(rows, p, s.durations, joint, s.detections)
+    s.raw_types = materialize(rows.groupBy("run_id").agg(F.countDistinct("label").alias("raw")))
     pool = ["g"]
     if p.isi_weight > 0 and p.isi_iters > 0:
         wave = rows.withColumnRenamed("x", "wave").withColumn("x", F.col("features"))
@@ -227,15 +230,46 @@ def sweep_and_score(traces: DataFrame, truth: DataFrame, fs: float, tol_s: float
     return out
 
 
-def merge_effect(s: Sort, truth: DataFrame, tol_s: float, n_refs: int = GP.N_REFS) -> DataFrame:
-    """Types and purity of one pool before and after the anchored gap merge."""
+def merge_stages(raw: DataFrame, post: DataFrame, merged: DataFrame, truth: DataFrame, tol_s: float) -> DataFrame:
+    """One row per run: true types, and types, recovered units and mean purity as labels go from raw (run_id, raw: number of
+    types) through post-processing to the merge (both spikes with labels). Purities have three decimals; a run that loses
+    all its spikes keeps its row with zeros."""
+    actual = truth.groupBy("run_id").agg(F.countDistinct("unit").alias("actual"))
+    out = raw.join(actual, "run_id", "left").fillna(0, ["actual"])
+    for name, rows in (("post", post), ("merged", merged)):
+        live = rows.where("label >= 0").select("run_id", "spike_id", "t", "label")
+        got = L.recovery_summary(L.purity(L.match_truth(live, truth, RUN, tol_s), RUN), RUN)
+        got = got.select("run_id", F.col("n_types").alias(name), F.col("n_recovered").alias(f"rec_{name}"), F.round("mean_purity", 3).alias(f"purity_{name}"))
+        out = out.join(got, "run_id", "left").fillna(0, [name, f"rec_{name}", f"purity_{name}"])
+    return out
+
+
+def merge_effect(s: Sort, truth: DataFrame, tol_s: float, n_refs: int = GP.N_REFS, test: str = "gap") -> DataFrame:
+    """The merge table of one pool, one row per run: K, method, actual, raw, post and merged types, recovered units and purity
+    before and after the anchored merge."""
     before = s.spikes.where("label >= 0")
-    merged, _ = gap_anchor_merge(before, n_refs)
-    a = score(before, truth, RUN, tol_s).select("run_id", F.col("n_types_est").alias("post"), F.col("n_true_recovered").alias("rec_post"),
-                                                 F.col("mean_type_purity").alias("purity_post"))
-    b = score(merged, truth, RUN, tol_s).select("run_id", F.col("n_types_est").alias("merged"), F.col("n_true_recovered").alias("rec_merged"),
-                                                F.col("mean_type_purity").alias("purity_merged"), F.col("n_types_true").alias("actual"))
-    return a.join(b, "run_id")
+    merged, _ = gap_anchor_merge(before, n_refs, test=test)
+    rows = merge_stages(s.raw_types, before, merged, truth, tol_s)
+    return rows.select("run_id", F.col("actual").alias("K"), F.lit(s.params.cluster_method).alias("method"), "actual", "raw", "post", "merged",
+                       "rec_post", "purity_post", "rec_merged", "purity_merged")
+
+
+def compare_manifest(spikes: DataFrame, truth: DataFrame, params: SortParams, tol_s: float) -> DataFrame:
+    """One row per run and estimated type (label >= 0): settings, size, the true unit it matches with its purity, and the two
+    types it is a sum of where it is a composite. ``spikes`` holds (run_id, spike_id, t, label, x)."""
+    p = params
+    live = spikes.where("label >= 0")
+    est = L.purity(L.match_truth(live.select("run_id", "spike_id", "t", "label"), truth, RUN, tol_s), RUN)
+    units = truth.groupBy("run_id").agg(F.countDistinct("unit").alias("n_muaps_in_trace"))
+    shift = int(round(p.superposition_max_shift_ms * 1e-3 * p.fs))
+    sums = TP.superposition(materialize(TP.templates(live, RUN)), RUN, shift).select(
+        "run_id", F.col("type_c").alias("label"), F.concat_ws("+", "type_i", "type_j").alias("_of"), "pair_residual_frac")
+    rows = est.join(sums, ["run_id", "label"], "left").join(units, "run_id", "left")
+    return rows.select(
+        "run_id", F.coalesce("n_muaps_in_trace", F.lit(0).cast("long")).alias("n_muaps_in_trace"), F.lit(p.feature_method).alias("feature_method"),
+        F.lit(p.n_components).cast("long").alias("n_components"), F.lit(p.cluster_method).alias("cluster_method"), F.col("label").alias("estimated_type"),
+        "n_spikes", F.col("est_match").alias("matched_true_unit"), F.round("purity", 3).alias("purity"), F.col("_of").isNotNull().alias("is_superposition"),
+        F.coalesce("_of", F.lit("")).alias("superposition_of"), F.round("pair_residual_frac", 3).alias("superposition_pair_residual"))
 
 
 # --- second stages ------------------------------------------------------------------------------
@@ -245,15 +279,30 @@ def number_types(spikes: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(spikes.select(*keys, "label").distinct().withColumn("_id", (F.row_number().over(Window.orderBy(*keys, "label")) - 1).cast("int")))
 
 
-def gap_anchor_merge(spikes: DataFrame, n_refs: int = GP.N_REFS, keys: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
-    """Anchored merge by the gap test; labels must be dense. With ``keys`` every pool merges its own types,
+def pair_tests(spikes: DataFrame, test: str, n_refs: int, owner: dict[int, object] | None = None, floor: float = 0.5) -> list[dict]:
+    """Which pairs of types are one cluster: by the gap statistic ("gap"), or because the two-way silhouette of the pair stays below
+    ``floor`` ("silhouette"). Pools too small to be tested are one. With ``owner`` only types of the same pool make pairs."""
+    if test == "gap":
+        return GP.pair_verdicts(spikes, n_refs=n_refs, owner=owner)
+    if test != "silhouette":
+        raise ValueError(f"unknown merge test {test!r}")
+    size = {r["label"]: r["count"] for r in spikes.groupBy("label").count().collect()}  # one row per type
+    types = sorted(size)
+    pairs = [(a, b) for n, a in enumerate(types) for b in types[n + 1:] if owner is None or owner[a] == owner[b]]
+    sil = SP.pairs_one_cluster(spikes, pairs, floor)
+    return [{"anchor": a, "other": b, "n_pool": size[a] + size[b], "one": sil[a, b] is None or sil[a, b] < floor, "silhouette": sil[a, b]}
+            for a, b in pairs]
+
+
+def gap_anchor_merge(spikes: DataFrame, n_refs: int = GP.N_REFS, keys: list[str] | None = None, test: str = "gap") -> tuple[DataFrame, list[dict]]:
+    """Anchored merge by the named test of pairs; labels must be dense. With ``keys`` every pool merges its own types,
     and the pairs of all pools are tested together."""
     if keys:
         names = number_types(spikes, keys)
         types = [(tuple(r[k] for k in keys), r["_id"]) for r in names.orderBy("_id").collect()]
         owner = {i: pool for pool, i in types}
         apart = attach(spikes, names, [*keys, "label"]).withColumn("label", F.col("_id"))
-        log = GP.pair_verdicts(apart.drop("_id"), n_refs=n_refs, owner=owner)
+        log = pair_tests(apart.drop("_id"), test, n_refs, owner)
         one = {(r["anchor"], r["other"]): r["one"] for r in log}
         new, asked = {}, set()
         for pool in dict.fromkeys(owner.values()):
@@ -264,7 +313,7 @@ def gap_anchor_merge(spikes: DataFrame, n_refs: int = GP.N_REFS, keys: list[str]
         table = spikes.sparkSession.createDataFrame(list(new.items()), "_id int, _new int")
         merged = attach(apart, table, ["_id"]).withColumn("label", F.col("_new")).select(*spikes.columns)
         return merged, [r for r in log if (r["anchor"], r["other"]) in asked]
-    log = GP.pair_verdicts(spikes, n_refs=n_refs)
+    log = pair_tests(spikes, test, n_refs)
     n = 1 + int(spikes.agg(F.max("label")).first()[0])
     ids, order = GP.anchor_merge(n, {(r["anchor"], r["other"]): r["one"] for r in log})
     asked = {(a, b) for a, b, _ in order}

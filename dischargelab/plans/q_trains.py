@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dischargelab.operators import linkage as L
 from dischargelab.operators import trains as TR
 from dischargelab.plans.fixtures import SPK, TRUTH, spikes, truth
+from dischargelab.plans.pipelines import merge_stages as merge_stages_of
 from dischargelab.plans.registry import query, rnd
 from dischargelab.session import attach
 
@@ -270,3 +271,25 @@ def confusion(spark, d):
   row_number() OVER (PARTITION BY run_id, est_match ORDER BY n_spikes DESC, label) AS rank FROM pur WHERE est_match >= 0""")
 def best_type_per_unit(spark, d):
     return L.best_type_per_unit(L.purity(_matched(spark, d), ["run_id"]), ["run_id"])
+
+
+def _stage_sql(name: str, label: str) -> str:
+    """Matches, purity and summary of one labelling; names carry the stage."""
+    return f"""v_{name} AS (SELECT run_id, {label} AS label, matched_unit, count(*) AS n FROM mt WHERE {label} >= 0 GROUP BY ALL),
+p_{name} AS (SELECT run_id, label, coalesce(max(n) FILTER (matched_unit >= 0) / sum(n), 0.0) AS purity,
+  arg_max(matched_unit, n * 1000000 - matched_unit) FILTER (matched_unit >= 0) AS est FROM v_{name} GROUP BY ALL),
+s_{name} AS (SELECT run_id, count(*) AS n_types, count(DISTINCT est) AS rec, round(avg(purity), 3) AS pur FROM p_{name} GROUP BY run_id)"""
+
+
+@query("merge_stages", f"""WITH {SPK}, {MATCH}, {_stage_sql('post', 'label - 1')}, {_stage_sql('merged', '(label - 1) // 2')},
+ac AS (SELECT run_id, count(DISTINCT unit) AS actual FROM tru GROUP BY run_id), rw AS (SELECT run_id, count(DISTINCT label) AS raw FROM spk GROUP BY run_id)
+SELECT run_id, raw, actual, coalesce(a.n_types, 0) AS post, coalesce(a.rec, 0) AS rec_post, {rnd('coalesce(a.pur, 0)')} AS purity_post,
+  coalesce(b.n_types, 0) AS merged, coalesce(b.rec, 0) AS rec_merged, {rnd('coalesce(b.pur, 0)')} AS purity_merged
+FROM rw JOIN ac USING (run_id) LEFT JOIN s_post a USING (run_id) LEFT JOIN s_merged b USING (run_id)""")
+def merge_stages(spark, d):
+    """The merge table of given labellings: type 0 is set aside, then neighbours become one."""
+    s = spikes(spark, d)
+    raw = s.groupBy("run_id").agg(F.countDistinct("label").alias("raw"))
+    post = s.withColumn("label", F.col("label") - 1)
+    merged = post.withColumn("label", F.when(F.col("label") >= 0, F.floor(F.col("label") / 2)).otherwise(-1))
+    return merge_stages_of(raw, post, merged, truth(spark, d), TOL)

@@ -124,7 +124,10 @@ def test_planted_units_are_recovered(spark):
     assert (pur.groupby("est_match")["purity"].max() > 0.9).all()
     assert (pur["purity"] * pur["n_spikes"]).sum() / pur["n_spikes"].sum() > 0.85
     m = P.merge_effect(s, truth, 0.003, n_refs=10).first()
-    assert m["merged"] <= m["post"]
+    assert m["merged"] <= m["post"] <= m["raw"] and m["K"] == m["actual"] == 3 and m["method"] == "kmeans"
+    manifest = P.compare_manifest(s.spikes, truth, p, 0.003).toPandas()
+    assert len(manifest) == m["post"] and manifest["n_spikes"].sum() == s.spikes.where("label >= 0").count()
+    assert manifest.loc[manifest["matched_true_unit"] >= 0, "matched_true_unit"].nunique() == m["rec_post"] == 3
     assert P.type_summary(s).count() == r["n_types_est"]
 
 

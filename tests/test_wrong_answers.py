@@ -129,3 +129,29 @@ def test_pools_merge_as_if_each_were_alone(spark):
     got = {r["spike_id"]: r["label"] for r in together.collect()}
     alone = {r["spike_id"]: r["label"] for g in range(2) for r in P.gap_anchor_merge(rows.where(F.col("g") == g), 10)[0].collect()}
     assert got == alone and set(got.values()) == {0, 1}
+
+
+def test_merge_by_silhouette_and_unknown_test(spark):
+    rng = np.random.default_rng(5)
+    centers = np.array([[0.0, 0], [0.1, 0], [9, 9]])
+    parts = [(label, label * 100 + i, (c + rng.normal(size=2)).tolist()) for label, c in enumerate(centers) for i in range(40)]
+    rows = spark.createDataFrame(parts, "label int, spike_id long, x array<double>")
+    merged, log = P.gap_anchor_merge(rows, test="silhouette")
+    assert {(r["spike_id"] // 100, r["label"]) for r in merged.collect()} == {(0, 0), (1, 0), (2, 1)}
+    assert [(r["anchor"], r["other"], r["one"], r["n_pool"]) for r in log] == [(0, 1, True, 80)]
+    with pytest.raises(ValueError):
+        P.gap_anchor_merge(rows, test="other")
+
+
+def test_composites_are_named_in_the_manifest(spark):
+    i = np.arange(64)
+    a, b = np.exp(-((i - 22) / 3.0) ** 2), -1.5 * np.exp(-((i - 40) / 4.0) ** 2)
+    waves = [a, b, a + b]
+    rows = spark.createDataFrame([("r", n * 10 + k, n + k * 5.0, n, w.tolist()) for n, w in enumerate(waves) for k in range(4)],
+                                 "run_id string, spike_id long, t double, label int, x array<double>")
+    truth = spark.createDataFrame([("r", n + k * 5.0, n) for n in range(2) for k in range(4)], "run_id string, t double, unit long")
+    got = P.compare_manifest(rows, truth, BASE, 0.003).orderBy("estimated_type").collect()
+    assert [(r["n_spikes"], r["matched_true_unit"], r["purity"], r["is_superposition"]) for r in got] == [
+        (4, 0, 1.0, False), (4, 1, 1.0, False), (4, -1, 0.0, True)]
+    assert set(got[2]["superposition_of"].split("+")) == {"0", "1"} and got[2]["superposition_pair_residual"] < 0.001
+    assert got[0]["superposition_of"] == "" and got[0]["n_muaps_in_trace"] == 2
