@@ -281,7 +281,7 @@ p_{name} AS (SELECT run_id, label, coalesce(max(n) FILTER (matched_unit >= 0) /
 s_{name} AS (SELECT run_id, count(*) AS n_types, count(DISTINCT est) AS rec, round(avg(purity), 3) AS pur FROM p_{name} GROUP BY run_id)"""
 
 
-@query("merge_stages", f"""WITH {SPK}, {MATCH}, {_stage_sql('post', 'label - 1')}, {_stage_sql('merged', '(label - 1) // 2')},
+@query("merge_stages", f"""WITH {SPK}, {MATCH}, {_stage_sql('post', 'label - 1')}, {_stage_sql('merged', 'CASE WHEN label > 0 THEN (label - 1) // 2 ELSE -1 END')},
 ac AS (SELECT run_id, count(DISTINCT unit) AS actual FROM tru GROUP BY run_id), rw AS (SELECT run_id, count(DISTINCT label) AS raw FROM spk GROUP BY run_id)
 SELECT run_id, raw, actual, coalesce(a.n_types, 0) AS post, coalesce(a.rec, 0) AS rec_post, {rnd('coalesce(a.pur, 0)')} AS purity_post,
   coalesce(b.n_types, 0) AS merged, coalesce(b.rec, 0) AS rec_merged, {rnd('coalesce(b.pur, 0)')} AS purity_merged
