@@ -62,15 +62,28 @@ def byte_slices(batch: pa.RecordBatch, column: int | str, limit: int = 4 << 20):
         at = stop
 
 
+FACTOR, CHUNKS = np.uint64(0x9E3779B97F4A7C15), 8
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes, taken eight at a time; words beyond CHUNKS times eight add a sum over all their bytes."""
     if not len(w.start):
         return np.zeros(0, np.uint64)
     sizes = w.end - w.start
-    power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
-    begin = np.cumsum(sizes) - sizes
-    weighed = (w.data[runs(w.start, sizes)].astype(np.uint64) + np.uint64(1)) * power[runs(np.zeros(len(sizes), np.int64), sizes)]
-    return mixed(np.add.reduceat(weighed, begin))
+    eights = np.ndarray(len(w.data) + 1, "<u8", np.r_[w.data, np.zeros(8, np.uint8)], strides=(1,))
+    h = mixed(eights[w.start] & LOW_BYTES[np.minimum(sizes, 8)] ^ sizes.astype(np.uint64) * FACTOR)
+    more = np.arange(len(sizes))
+    for at in range(8, 8 * CHUNKS, 8):
+        more = more[sizes[more] > at]
+        h[more] = mixed(h[more] * FACTOR + (eights[w.start[more] + at] & LOW_BYTES[np.minimum(sizes[more] - at, 8)]))
+    more = more[sizes[more] > 8 * CHUNKS]
+    if len(more):
+        own = sizes[more]
+        power = np.cumprod(np.full(int(own.max()), FACTOR, np.uint64))
+        weighed = (w.data[runs(w.start[more], own)].astype(np.uint64) + np.uint64(1)) * power[runs(np.zeros(len(own), np.int64), own)]
+        h[more] = mixed(h[more] + np.add.reduceat(weighed, np.cumsum(own) - own))
+    return h
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
