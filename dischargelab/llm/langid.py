@@ -36,7 +36,7 @@ PER_LANGUAGE = 150  # labelled texts of each language to learn from
 LEARNED_CHARS = 20_000  # a longer sampled text gives pieces from all over it, this much in total
 BITS, BLOCK, STEPS, RATE = 16, 32, 12, 0.3
 BUCKETS = 1 << BITS
-SLICE = 2 << 20  # bytes of text that are worked on at a time; the arrays take some fifty times as much
+SLICE = 1 << 20  # bytes of text that are worked on at a time; the arrays take some fifty times as much
 UNKNOWN = "und"
 MIN_SCORE = 0.3  # below it a document has no language of its own
 

@@ -32,6 +32,7 @@ from dischargelab.session import materialize
 CAPACITY, UNCUT, END_ID = 2048, 128, 1
 LEVELS = (1024, 64, 8, 1)  # buckets per class, from fine to coarse; at most 2 ** 10 of them and 8 levels
 CACHED_WORDS = 300_000
+SLICE = 2 << 20  # bytes of text that are worked on at a time; lists of words take some ten times as much
 GROUP = 200  # words that are encoded as one text
 END = "\n"  # stands for the end id: a line feed is in no word
 MODEL = "word_bpe_49k.json"
@@ -185,7 +186,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids
                 "doc_tokens": pa.array(sizes[row], pa.int64())}
         return pa.record_batch(cols | ({"ids": pa.array(own, pa.binary())} if keep_ids else {}))
 
-    return map_batches(slim(docs, id_col, text_col), kernel, PIECES + ", ids binary" * keep_ids)
+    return map_batches(slim(docs, id_col, text_col), kernel, PIECES + ", ids binary" * keep_ids, limit=SLICE)
 
 
 def first_fit(pieces: pd.DataFrame, capacity: int) -> np.ndarray:
