@@ -91,3 +91,8 @@ def test_text_writer_keeps_other_runs_and_ids(spark):
     rows = [tuple(r) for r in SRC.read_written_trace(spark, d).orderBy("run_id", "i").collect()]
     assert rows == [("001", 0, 7.0), ("001", 1, 8.0), ("a/b", 0, 4.0), ("a/b", 1, 5.0)]
     assert {r["file"]: r["fs"] for r in SRC.read_header(spark, f"{d}/Header").collect()} == {"001.txt": 300.0, "a/b.txt": 200.0}
+
+
+def test_latencies_of_a_run_with_one_type(spark):
+    rows = spark.createDataFrame([("a", 0, 1.0, 1), ("a", 0, 2.0, 2)], "run_id string, label int, t double, spike_id long")
+    assert L.nearest_latencies(rows, ["run_id"], 0.5).count() == 0
