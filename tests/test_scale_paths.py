@@ -11,6 +11,7 @@ from dischargelab.operators import ordered as O
 from dischargelab.operators import tiles as TI
 from dischargelab.operators import trains as TR
 from dischargelab.operators.sampling import hash_sample
+from dischargelab.session import materialize
 
 
 def skewed(spark, n=1200, seed=0, step=1000):
@@ -143,6 +144,42 @@ def test_tiles_any_block(spark):
     same(TI.nearest(df, "spike_id", 5, block=16), TI.nearest(df, "spike_id", 5, block=1000), ["sid", "rank"])
 
 
+def test_tiles_of_copies(spark, monkeypatch):
+    """Copies are one row of a tile; ties between them go to the smaller ids, as if all pairs were compared."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (300, 2)).astype(float) + 1e6
+    lab = (x[:, 0] > 1e6 + 1).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"g": 0, "spike_id": rng.permutation(300), "x": list(x), "labels": [[v] for v in lab]}))
+    df = materialize(df.withColumn("g", F.col("g").cast("int")))
+    sent = []
+    tiles = TI._tiles
+    monkeypatch.setattr(TI, "_tiles", lambda rows, *a: (sent.append(rows.count()), tiles(rows, *a))[1])
+    pdf = df.toPandas()
+    pts, ids = np.stack(pdf["x"]), pdf["spike_id"].to_numpy()
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(2))
+    for k in (4, 40):
+        got = TI.nearest(df, "spike_id", k, block=4).orderBy("sid", "rank").toPandas()
+        for i in range(300):
+            near = [j for j in np.lexsort((ids, d[i])) if j != i][:k]
+            mine = got[got["sid"] == ids[i]]
+            assert mine["other"].tolist() == ids[near].tolist() and np.allclose(mine["dist"], d[i, near])
+    own = np.stack(pdf["labels"])[:, 0]
+    want = []
+    for i in range(300):
+        a, b = d[i][own == own[i]].sum() / ((own == own[i]).sum() - 1), d[i][own != own[i]].mean()
+        want.append((b - a) / max(a, b))
+    row = TI.silhouette(df, "spike_id", block=4).first()
+    assert row["n"] == 300 and row["silhouette"] == pytest.approx(np.mean(want))
+    assert sent == [16, 16, 16]
+
+
+def test_distances_keep_digits():
+    a = np.random.default_rng(0).normal(size=(50, 8)) + 1e3
+    b = np.concatenate([a + 1e-7, a])
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert np.allclose(TI.distances(a, b), want, rtol=1e-8, atol=0) and (TI.distances(a, a).diagonal() == 0).all()
+
+
 def test_hash_sample_ignores_partitioning(spark, tight):
     df, _ = skewed(spark)
     a = hash_sample(df, ["k"], "spike_id", 25, 7)
