@@ -127,17 +127,21 @@ AMPS = "amps AS (SELECT run_id, label, CASE WHEN count(*) >= 10 THEN avg(amp) EN
 FP = "fp AS (SELECT run_id, g, sum(rate) AS f, sum(coalesce(a, ptp) * rate) AS p FROM rate JOIN amps USING (run_id, label) GROUP BY ALL)"
 
 
+def _epochs(s):
+    day = F.floor(F.col("t") / 86400.0) * 86400.0
+    return attach(s.select("run_id").distinct(), s.agg(F.min(day).alias("a"), (F.max(day) + 86400.0).alias("b")), [])
+
+
 def _rates(spark, d):
     s = spikes(spark, d)
-    day = F.floor(F.col("t") / 86400.0) * 86400.0
-    epochs = attach(s.select("run_id").distinct(), s.agg(F.min(day).alias("a"), (F.max(day) + 86400.0).alias("b")), [])
-    return TR.gaussian_rate(s, epochs, ["run_id"], "label", DT, SIGMA)
+    return TR.gaussian_rate(s, _epochs(s), ["run_id"], "label", DT, SIGMA)
 
 
 def _power(spark, d):
-    amp = spikes(spark, d).groupBy("run_id", "label").agg(
+    s = spikes(spark, d)
+    amp = s.groupBy("run_id", "label").agg(
         F.when(F.count(F.lit(1)) >= 10, F.avg("amp")).alias("amp"), (F.max("amp") - F.min("amp")).alias("ptp"))
-    return TR.power_vs_rate(_rates(spark, d), amp, ["run_id"], "label")
+    return TR.power_of_spikes(s, _epochs(s), amp, ["run_id"], "label", DT, SIGMA)
 
 
 @query("gaussian_rate", f"WITH {RATE} SELECT run_id, label, CAST(g AS BIGINT) AS g, {rnd('rate', 12)} AS rate FROM rate", digits=12)

@@ -204,3 +204,43 @@ def test_regularity_any_density(spark, tight):
     spark.conf.set("dischargelab.maxGroupRows", "100000")
     want = C.regularity_costs(df, ["k"], [0, 1, 2, 3], 0.3, 5.0).toPandas().sort_values(["spike_id", "c"])
     assert len(got) == 1200 and np.allclose(got["cost"], want["cost"])
+
+
+@pytest.mark.parametrize("bound", [30, 100000])
+def test_power_of_spikes(spark, monkeypatch, bound):
+    """The same F and P as from a row per unit and grid point, which is not made."""
+    df, _ = skewed(spark, 400)
+    df = df.withColumn("t", F.when(F.col("spike_id") % 9 == 0, 50.0).otherwise(F.col("t")))
+    ep = df.groupBy("k").agg(F.lit(0.0).alias("a"), F.lit(125.0).alias("b"))
+    amp = df.where("label < 3").groupBy("k", "label").agg(F.when(F.col("label") != 1, F.avg("amp")).alias("amp"),
+                                                          F.when(F.col("k") != 2, F.max("amp")).alias("ptp"))
+    amp = amp.withColumn("amp", F.when(F.col("k") != 4, F.col("amp"))).withColumn("ptp", F.when(F.col("k") != 4, F.col("ptp")))
+    want = TR.power_vs_rate(TR.gaussian_rate(df, ep, ["k"], "label", 1.0, 2.0, block=16), amp, ["k"], "label")
+    want = want.toPandas().sort_values(["k", "g"], ignore_index=True)
+    monkeypatch.setattr(TR, "gaussian_rate", None)
+    spark.conf.set("dischargelab.maxGroupRows", str(bound))
+    try:
+        got = TR.power_of_spikes(df, ep, amp, ["k"], "label", 1.0, 2.0, block=16).toPandas().sort_values(["k", "g"], ignore_index=True)
+    finally:
+        spark.conf.unset("dischargelab.maxGroupRows")
+    assert len(got) == len(want) and (got[["k", "g"]] == want[["k", "g"]]).all().all()
+    assert np.allclose(got["f"], want["f"], atol=1e-12) and np.allclose(got["p"], want["p"], atol=1e-9, equal_nan=True)
+    assert got["p"].isna().any()
+
+
+def test_quantiles_without_a_sort(spark, tight, monkeypatch):
+    """Large groups are bracketed by a sketch; only a rank outside its bracket needs the sort."""
+    rng = np.random.default_rng(8)
+    n = 30000
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, n), "v": np.where(rng.random(n) < 0.3, 1.0, rng.exponential(size=n))})
+    probs = {"a": 0.0, "b": 0.5, "c": 0.9371, "d": 1.0}
+    df = spark.createDataFrame(pdf)
+    sort = O._range_sorted
+    monkeypatch.setattr(O, "_range_sorted", None)
+    got = {r["k"]: r for r in O.quantiles(df, ["k"], "v", probs, bounded=False).collect()}
+    monkeypatch.setattr(O, "_range_sorted", sort)
+    monkeypatch.setattr(O, "_bracketed", lambda *a: None)
+    plain = {r["k"]: r for r in O.quantiles(df, ["k"], "v", probs, bounded=False).collect()}
+    for k in (0, 1):
+        want = np.quantile(pdf.loc[pdf["k"] == k, "v"], list(probs.values()))
+        assert np.allclose([got[k][p] for p in probs], want, rtol=1e-12) and np.allclose([plain[k][p] for p in probs], want, rtol=1e-12)
