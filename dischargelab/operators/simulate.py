@@ -10,12 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dischargelab.operators.ordered import running_sum
 from dischargelab.operators.sampling import hash_sample
 from dischargelab.session import attach
 
 CHUNK = 1024
+SLICE = 64  # chunks that are rows at once
 NOISE_BLOCK = 1 << 16
 NOISE_TAPS = 1 << 15
 
@@ -34,16 +36,26 @@ def gamma_train(units: DataFrame, keys: list[str], duration_s: float, shape: flo
     into times, so one fast or long unit is not one task.
     """
     need = F.col(rate) * duration_s
-    chunks = F.ceil((need + F.sqrt(need / shape) * 12 + 32) / CHUNK).cast("int")
-    rows = units.select(*keys, rate).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    total = F.ceil(need + F.sqrt(need / shape) * 12 + 32)
+    rows = units.select(*keys, rate, total.alias("_n")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / CHUNK).cast("int") - 1)))
+    rows = rows.withColumn("_m", F.least(F.col("_n") - F.col("chunk") * CHUNK, F.lit(CHUNK)))  # the last chunk is cut to the need
     rows = rows.withColumn("_seed", F.xxhash64(F.lit(seed), *keys, "chunk"))
 
-    @F.pandas_udf("array<double>")
-    def draw(s: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(abs(int(k))).gamma(shape, 1.0 / (hz * shape), CHUNK) for k, hz in zip(s, r)])
+    schema = T.StructType([units.schema[k] for k in keys] + [T.StructField("seq", T.LongType()), T.StructField("_isi", T.DoubleType())])
 
-    isi = rows.withColumn("_a", draw("_seed", rate)).select(*keys, "chunk", F.posexplode("_a").alias("_p", "_isi"))
-    isi = isi.select(*keys, (F.col("chunk") * CHUNK + F.col("_p")).cast("long").alias("seq"), "_isi")
+    def draw(batches):
+        """Intervals leave a task a few chunks at a time, however many chunks a batch names."""
+        for pdf in batches:
+            for at in range(0, len(pdf), SLICE):
+                part = pdf.iloc[at:at + SLICE]
+                size = part["_m"].to_numpy(np.int64)
+                isi = [np.random.default_rng(abs(int(s))).gamma(shape, 1.0 / (hz * shape), m) for s, hz, m in zip(part["_seed"], part[rate], size)]
+                out = part[keys].loc[part.index.repeat(size)].reset_index(drop=True)
+                out["seq"] = np.concatenate([c * CHUNK + np.arange(m) for c, m in zip(part["chunk"].to_numpy(np.int64), size)])
+                out["_isi"] = np.concatenate(isi)
+                yield out
+
+    isi = rows.mapInPandas(draw, schema)
     t = running_sum(isi, keys, ["seq"], F.col("_isi"), "t")
     return t.where(F.col("t") < duration_s).select(*keys, "seq", (F.col("t") + start_s).alias("t"))
 

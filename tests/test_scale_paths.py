@@ -152,8 +152,8 @@ def test_tiles_of_copies(spark, monkeypatch):
     df = spark.createDataFrame(pd.DataFrame({"g": 0, "spike_id": rng.permutation(300), "x": list(x), "labels": [[v] for v in lab]}))
     df = materialize(df.withColumn("g", F.col("g").cast("int")))
     sent = []
-    tiles = TI._tiles
-    monkeypatch.setattr(TI, "_tiles", lambda rows, *a: (sent.append(rows.count()), tiles(rows, *a))[1])
+    tiles = TI.tiles
+    monkeypatch.setattr(TI, "tiles", lambda rows, *a: (sent.append(rows.count()), tiles(rows, *a))[1])
     pdf = df.toPandas()
     pts, ids = np.stack(pdf["x"]), pdf["spike_id"].to_numpy()
     d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(2))
@@ -244,3 +244,20 @@ def test_quantiles_without_a_sort(spark, tight, monkeypatch):
     for k in (0, 1):
         want = np.quantile(pdf.loc[pdf["k"] == k, "v"], list(probs.values()))
         assert np.allclose([got[k][p] for p in probs], want, rtol=1e-12) and np.allclose([plain[k][p] for p in probs], want, rtol=1e-12)
+
+
+def test_gamma_train_draws_what_a_train_needs(spark, monkeypatch):
+    """No rows are made for intervals that no train could need, and the times are those of whole chunks."""
+    from dischargelab.operators import simulate as SI
+
+    made, sums = [], SI.running_sum
+    monkeypatch.setattr(SI, "running_sum", lambda df, *a, **k: (made.append(df.count()), sums(df, *a, **k))[1])
+    units = spark.createDataFrame([(u, r) for u, r in ((0, 0.1), (1, 2.0), (2, 150.0))], "u int, rate_hz double")
+    got = SI.gamma_train(units, ["u"], 10.0, 10.0, 3).toPandas().sort_values(["u", "seq"])
+    assert made[0] == 37 + 69 + 1679  # of 4096 in whole chunks
+    seeds = {(r["u"], r["c"]): r["s"] for r in units.select("u", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).withColumn(
+        "s", F.xxhash64(F.lit(3), "u", "c")).collect()}
+    for u, hz in ((1, 2.0), (2, 150.0)):
+        isi = np.concatenate([np.random.default_rng(abs(seeds[u, c])).gamma(10.0, 1 / (hz * 10), 1024) for c in (0, 1)])
+        t = np.cumsum(isi)
+        assert np.allclose(got.loc[got["u"] == u, "t"], t[t < 10.0])
