@@ -261,3 +261,22 @@ def test_gamma_train_draws_what_a_train_needs(spark, monkeypatch):
         isi = np.concatenate([np.random.default_rng(abs(seeds[u, c])).gamma(10.0, 1 / (hz * 10), 1024) for c in (0, 1)])
         t = np.cumsum(isi)
         assert np.allclose(got.loc[got["u"] == u, "t"], t[t < 10.0])
+
+
+def test_density_any_block(spark, monkeypatch):
+    """Tiles give the clusters of one whole tree, whatever the blocks; no pool is refused for its size."""
+    from dischargelab.functions.graphs import hdbscan
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in (0, 3, 6)] + [rng.uniform(-2, 8, (40, 2)), np.full((20, 2), 9.0)])
+    df = spark.createDataFrame(pd.DataFrame({"g": 0, "spike_id": range(len(x)), "x": list(x)})).withColumn("g", F.col("g").cast("int"))
+    want = hdbscan(x, 5)
+    monkeypatch.setattr(C, "SINGLE_TASK_ROWS", 10, raising=False)
+    assert want.max() >= 3 and len(set(want[-20:])) == 1 and want[-1] >= 0
+    for rows in (17, 4096):
+        monkeypatch.setattr(C, "BLOCK", rows)
+        monkeypatch.setattr(TI, "BLOCK_ROWS", rows)
+        got = C.cluster(df, 0, 42, "hdbscan").orderBy("spike_id").toPandas()["label"].to_numpy()
+        assert (got == want).all()
+    spins = C.cluster(df, 0, 42, "spc", n_temps=3, mc_steps=10).toPandas()
+    assert sorted(spins["spike_id"]) == list(range(len(x)))
