@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dischargelab.operators import cluster as C
+from dischargelab.operators import fits as FT
+from dischargelab.operators import gap as GP
 from dischargelab.operators import linkage as L
 from dischargelab.operators import ordered as O
 from dischargelab.operators import tiles as TI
@@ -280,3 +282,25 @@ def test_density_any_block(spark, monkeypatch):
         assert (got == want).all()
     spins = C.cluster(df, 0, 42, "spc", n_temps=3, mc_steps=10).toPandas()
     assert sorted(spins["spike_id"]) == list(range(len(x)))
+
+
+def test_fits_read_blocks_that_are_dealt_over_the_cores(spark):
+    rng = np.random.default_rng(4)
+    x, g = rng.normal(size=(900, 3)), rng.integers(0, 2, 900)
+    df = spark.createDataFrame([(int(p), i, v.tolist()) for i, (p, v) in enumerate(zip(g, x))], "g int, spike_id long, x array<double>").coalesce(1)
+    blocks = FT.packed(df, "spike_id")
+    assert blocks.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert blocks.count() < 900 / 4
+    fn = lambda groups: ((v, np.r_[len(a), a.sum(0)]) for v, a in groups)
+    got = FT.pass_sums(blocks, fn)
+    assert all(np.allclose(got[p], np.r_[(g == p).sum(), x[g == p].sum(0)]) for p in (0, 1))
+
+
+def test_silhouette_hands_on_sums_of_scores_not_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, i, rng.normal(size=3).tolist(), [int(i % 2), int(i % 3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, sid long, x array<double>, labels array<int>")
+    found = TI.silhouette(df, "sid", 2, block=50)
+    kernel = [n for n in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in n]
+    assert len(kernel) == 1 and "sums" not in kernel[0] and "total" in kernel[0]
+    assert {r["n"] for r in found.collect()} == {400}
