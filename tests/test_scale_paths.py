@@ -304,3 +304,22 @@ def test_silhouette_hands_on_sums_of_scores_not_rows(spark):
     kernel = [n for n in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in n]
     assert len(kernel) == 1 and "sums" not in kernel[0] and "total" in kernel[0]
     assert {r["n"] for r in found.collect()} == {400}
+
+
+def test_gap_pass_hands_on_sums_per_type_and_reference(monkeypatch):
+    rng = np.random.default_rng(6)
+    data = {t: np.c_[rng.integers(0, 1 << 50, 200).astype(float), rng.normal(size=(200, 5)) + t] for t in range(4)}
+    moments = GP.type_moments(data)
+    pools = [GP.make_pool((a, b), moments) for a in range(4) for b in range(a + 1, 4)]
+    GP._boxes(data, pools)
+    widths, sums = [], GP.pass_sums
+
+    def counted(*args):
+        found = sums(*args)
+        widths.append(len(found))
+        return found
+
+    monkeypatch.setattr(GP, "pass_sums", counted)
+    one, two = GP._dispersions(data, data, pools, 6, 10, True)
+    assert max(widths) <= 4 * 6 + 2 * len(pools)  # one sum per type and reference, one per type and observed pool
+    assert (two < one).all()
