@@ -268,3 +268,12 @@ def test_transform_and_restore(texts, data):
     for t, form, p, m in zip(texts, *(cols[c].to_pylist() for c in ("form", "prefix_chars", "middle_chars")), strict=True):
         assert (form == "plain") == (p is None) == (m is None)
         assert p is None or p + m <= len(t)
+
+
+def test_rounds_of_components_broadcast_nothing(spark):
+    from dischargelab.llm import components as M
+
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "u long, v long")
+    plan = M._star(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert sorted(tuple(r) for r in M.components(pairs.toDF("a", "b")).collect()) == [(1, 1), (2, 1), (3, 1)]
