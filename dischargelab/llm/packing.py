@@ -18,6 +18,8 @@ Defined cases: a null or empty text is one piece that holds the end id alone; ro
 from __future__ import annotations
 
 import functools
+import os
+import string
 import zlib
 
 import numpy as np
@@ -36,6 +38,7 @@ SLICE = 2 << 20  # bytes of text that are worked on at a time; lists of words ta
 GROUP = 200  # words that are encoded as one text
 END = "\n"  # stands for the end id: a line feed is in no word
 MODEL = "word_bpe_49k.json"
+MARKS = string.punctuation.replace("'", "")  # an apostrophe may begin a match with letters
 
 
 class Numbered(dict):
@@ -61,9 +64,15 @@ class WordIds:
     """Ids of space-separated words. The tokenizer drops white space and no match crosses it, so a text's ids are its words' ids."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Lower-case words of letters up to U+00FF are left as they are by the normalizer and match as a whole: spaces alone part them.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # matched before lower-casing
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -75,30 +84,33 @@ class WordIds:
         self.known[END] = 0
         self.starts, self.sizes, self.pool = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END_ID], "<u4")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        tokenizer = self.plain if plain else self.tokenizer
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self) -> None:
         """Ids of the fresh words. Words of letters are encoded many at a time and told apart by their
-        end tokens; letters with one mark behind are two matches, so they take the ids of both."""
-        letters, other, marked = [], [], []
+        end tokens; letters with a run of marks behind are two matches, so they take the ids of both."""
+        plain, letters, other, marked = [], [], [], []
         for w in self.known.fresh:  # which grows by the parts of marked words
+            head = w.rstrip(MARKS)
             if w.isalpha():
-                letters.append(w)
-            elif w[-1:] in (",", ".") and w[:-1].isalpha():
-                marked.append((self.known[w], self.known[w[:-1]], self.known[w[-1]]))
+                (plain if w == w.lower() and max(w) <= "\xff" else letters).append(w)
+            elif len(head) < len(w) and head.lower().isalpha():
+                marked.append((self.known[w], self.known[head], self.known[w[len(head):]]))
             else:
                 other.append(w)
-        groups = [letters[i: i + GROUP] for i in range(0, len(letters), GROUP)]
         at, sizes, ids = [], [], []
-        for group, encoded in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
-            stops = np.flatnonzero(self.ends[encoded]) + 1
-            if len(stops) == len(group):  # one match per word, as its letters stay letters
-                at += map(self.known.__getitem__, group)
-                sizes.append(np.diff(stops, prepend=0))
-                ids.append(encoded)
-            else:
-                other += group
+        for words in (plain, letters):
+            groups = [words[i: i + GROUP] for i in range(0, len(words), GROUP)]
+            for group, encoded in zip(groups, self.encode([" ".join(g) for g in groups], words is plain), strict=True):
+                stops = np.flatnonzero(self.ends[encoded]) + 1
+                if len(stops) == len(group):  # one match per word, as its letters stay letters
+                    at += map(self.known.__getitem__, group)
+                    sizes.append(np.diff(stops, prepend=0))
+                    ids.append(encoded)
+                else:
+                    other += group
         at += map(self.known.__getitem__, other)
         ids += self.encode(other)
         sizes.append(np.array([len(x) for x in ids[len(ids) - len(other):]], np.int64))

@@ -448,6 +448,16 @@ SPECIAL = ["hello <|endoftext|>", "Glued<|endoftext|>Words <|STARTOFTEXT|> <|sta
            "<|endof text|> <|endoftext", "PLAIN Words"]
 
 
+def test_packing_words_with_marks():
+    """Ids of words with marks behind them are those of the whole text, also where lower-casing ends a word in a mark."""
+    from tokenizers import Tokenizer
+
+    texts = ["\u0130, \u0130<", "a!! \u00e9*** don't it's' ab'.", "\u00aa\u00ba\u00b5 \u00df. \u03a3\u03b1\u03a3, \u00c9T\u00c9", "cafe\u0301. foo<|endoftext|>.", None]
+    flat, sizes = packing.WordIds(WORDS).stream(texts)
+    want = [[*e.ids, packing.END_ID] for e in Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == want
+
+
 def test_packing_odd_rows(spark, odd, none):
     check_packing(packing.pack_documents(odd, WORDS).toPandas(), texts_of(odd))
     rows = list(enumerate(SPECIAL))
