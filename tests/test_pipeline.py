@@ -111,6 +111,38 @@ def test_large_embedding_runs(spark):
     assert (y[:40, 0].mean() - y[40:, 0].mean()) ** 2 > y[:40, 0].var() + y[40:, 0].var()
 
 
+def test_large_embedding_takes_one_job_per_iteration(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (60, 4))
+    df = spark.createDataFrame(pd.DataFrame({"g": 0, "spike_id": range(60), "x": x.tolist()})).withColumn("g", F.col("g").cast("int"))
+    jobs = []
+    for n_iter in (1, 7):
+        spark.sparkContext.setJobGroup(f"layout-{n_iter}", "")
+        EM.embed_large(df, 60, 2, 8.0, n_iter).count()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"layout-{n_iter}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 6 + 2  # AQE may run a setup stage more or less
+
+
+def test_blocks_move_as_all_points_together():
+    """A step of a block, with what other blocks send, is that of all edges and the whole grid."""
+    rng = np.random.default_rng(2)
+    y, v, p = rng.normal(0, 3, (30, 2)), rng.normal(0, 1, (30, 2)), rng.random((30, 30))
+    p = np.where((p + p.T > 1.2) & ~np.eye(30, dtype=bool), p + p.T, 0.0)
+    grid = np.c_[rng.integers(1, 5, 20), rng.normal(0, 3, (20, 2))]
+    z, half = 7.0, np.arange(12)
+    own, other = np.nonzero(p[half])
+    heard, place = np.unique(other, return_inverse=True)
+    got_y, got_v = EM.moved(y[half], v[half], (half, own, place, p[own, other], {}), y[heard], grid, z, 12.0, 0.5, 3.0)
+    q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
+    pull = ((12.0 * p * q)[..., None] * (y[:, None] - y[None])).sum(1)
+    far = y[:, None] - grid[None, :, 1:]
+    push = (grid[:, 0, None] * far / (1 + (far ** 2).sum(2, keepdims=True)) ** 2).sum(1) / z
+    want = 0.5 * v - 12.0 * (pull - push)
+    np.testing.assert_allclose(got_v, want[half])
+    np.testing.assert_allclose(got_y, (y + want)[half])
+
+
 def test_planted_units_are_recovered(spark):
     built = SI.build_traces(spark, library(spark), [3], FS, 20.0, 30.0)
     trace = materialize(SRC.through_text(built["trace"]))
