@@ -323,3 +323,24 @@ def test_gap_pass_hands_on_sums_per_type_and_reference(monkeypatch):
     one, two = GP._dispersions(data, data, pools, 6, 10, True)
     assert max(widths) <= 4 * 6 + 2 * len(pools)  # one sum per type and reference, one per type and observed pool
     assert (two < one).all()
+
+
+def test_regularity_groups_share_calls(spark, monkeypatch):
+    """Many groups are worked on in one call, and a group that is spread over batches is still one."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame(pd.DataFrame({
+        "k": np.arange(90) % 7, "spike_id": range(90), "t": rng.uniform(0, 40, 90), "label": rng.integers(0, 3, 90).astype("int32"),
+        "x": rng.normal(0, 1, (90, 2)).tolist()}))
+
+    def costs():
+        return C.regularity_costs(df, ["k"], [0, 1, 2], 0.3, 5.0, slot_windows=2)
+
+    assert "FlatMapGroupsInPandas" not in costs()._jdf.queryExecution().toString()
+    want = costs().toPandas().sort_values(["spike_id", "c"], ignore_index=True)
+    monkeypatch.setattr(C, "REGULARITY_ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = costs().toPandas().sort_values(["spike_id", "c"], ignore_index=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pd.testing.assert_frame_equal(got[["k", "spike_id", "old", "c", "cost"]], want[["k", "spike_id", "old", "c", "cost"]])
