@@ -18,6 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dischargelab.llm import bpe, langid, line_dedup, packing, pii, queries, sharding, simhash, substring_dedup
+from dischargelab.llm.words import split_words, word_hashes
 
 RANKS, PATTERN = str(public_tokenizers.path(bpe.RANKS)), public_tokenizers.PATTERN
 WORDS = str(public_tokenizers.path(packing.MODEL))
@@ -321,6 +322,25 @@ def test_neighbouring_texts_share_a_stem(spark):
     assert {r["uid"] for r in found} == {1, 2}
 
 
+def test_only_what_several_texts_hold_is_sent(spark):
+    rng = np.random.default_rng(13)
+
+    def words(n):
+        return [f"w{i}" for i in rng.integers(0, 50_000, n)]
+
+    common = words(60)
+    texts = spark.createDataFrame([(i, " ".join(words(400) + (common if i < 2 else []) + words(400))) for i in range(20)], "uid long, text string").repartition(5)
+    seen = substring_dedup.seen_seeds(texts)
+    h = word_hashes(split_words(pa.array([" ".join(common)])))
+    assert substring_dedup.held(seen, substring_dedup.seeds(h, np.array([0, 60]))[1]).all()
+    several, _ = substring_dedup.shared_stems(texts, seen)
+    assert substring_dedup.held(several, substring_dedup.stems(h, np.array([0, 60]))[1]).all()
+    found = substring_dedup.seed_rows(texts, substring_dedup.shared_stems(texts, seen), seen).collect()
+    at = {u: [r["tag"] & (1 << substring_dedup.POS_BITS) - 1 for r in found if r["uid"] == u] for u in {r["uid"] for r in found}}
+    assert {0, 1} <= set(at) and sum(len(v) for v in at.values()) < 80
+    assert all(sum(398 <= p < 460 for p in at[u]) >= 2 for u in (0, 1))
+
+
 def test_runs_hash_alike_wherever_they_stand():
     h = np.random.default_rng(0).integers(0, 1 << 63, 200).astype(np.uint64)
     both = np.r_[h, h[50:120]]
