@@ -315,6 +315,46 @@ def test_passages_of_separately_common_sentences(spark):
     assert set(got) == set(pairs) and set(got.values()) == {1.0}
 
 
+def common_sentences(spark):
+    """Passages of four common sentences, with other words between them on each side: no run of 50 words is shared, and every seed has 40 other holders."""
+    rng = np.random.default_rng(14)
+
+    def words(n):
+        return [f"w{i}" for i in rng.integers(0, 50_000, n)]
+
+    pairs, docs = [], []
+    for _ in range(8):
+        sentences = [words(20) for _ in range(4)]
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [words(150) + [w for s in sentences for w in (*s, *words(1))] + words(150) for _ in range(2)]
+        docs += [words(150) + s + words(150) for s in sentences for _ in range(40)]
+    return pairs, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(7)
+
+
+def test_passages_whose_seeds_are_all_common(spark):
+    pairs, df = common_sentences(spark)
+    got = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in substring_dedup.passages(df).collect()}
+    assert got == set(pairs)
+
+
+@given(st.integers(0, 1 << 30), st.sampled_from([1, 64, 10_000]))
+@settings(max_examples=30, deadline=None)
+def test_crowds_are_compared_whole(seed, few):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 40))
+    words = [rng.integers(0, 6, int(rng.integers(0, 60))).astype("<u4") for _ in range(n)]
+    uid, label = rng.permutation(n), rng.integers(0, 4, n)
+    cross = rng.random() < 0.5
+    part = np.sort(rng.integers(0, 2, n)) if cross else np.zeros(n, int)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(substring_dedup, "FEW", few), m.setattr(substring_dedup, "TILE", 7), m.setattr(substring_dedup, "COLUMNS", 5)
+        got = {(a, b) for x, y in substring_dedup.met(uid, label, part, [w.tobytes() for w in words]) for a, b in zip(x.tolist(), y.tolist())}
+    shared = substring_dedup.shared_grams
+    want = {tuple(sorted((int(uid[i]), int(uid[j])))) for i in range(n) for j in range(i) if label[i] != label[j] and (part[0] == part[-1] or part[i] != part[j])
+            and max(shared(words[i], words[j]), shared(words[j], words[i])) >= substring_dedup.MIN_GRAMS}
+    assert want <= got and all(label[uid.tolist().index(a)] != label[uid.tolist().index(b)] for a, b in got)
+
+
 def test_neighbouring_texts_share_a_stem(spark):
     text = " ".join(f"w{i}" for i in range(50))
     texts = spark.createDataFrame([(1, text), (2, text)], "uid long, text string").coalesce(1)
