@@ -344,3 +344,32 @@ def test_regularity_groups_share_calls(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     pd.testing.assert_frame_equal(got[["k", "spike_id", "old", "c", "cost"]], want[["k", "spike_id", "old", "c", "cost"]])
+
+
+def passes_over_tables(monkeypatch, module):
+    """Counts the passes that a module starts from the driver as jobs over a table."""
+    made, sums = [], module.pass_sums
+
+    def counted(data, *args):
+        made.extend([1] if hasattr(data, "sparkSession") else [])
+        return sums(data, *args)
+
+    monkeypatch.setattr(module, "pass_sums", counted)
+    return made
+
+
+def test_fits_over_few_bytes_are_dealt_whole_to_tasks(spark, monkeypatch):
+    """No pass of a fit over a small table is a job of its own, and the fits are those of the passes."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i % 2, i, (rng.normal(size=3) + 4 * (i % 3)).tolist()) for i in range(600)], "g int, spike_id long, x array<double>")
+    made = passes_over_tables(monkeypatch, FT)
+    got = [FT.kmeans(df, "spike_id", [2, 3], 1), FT.mixture(df, "spike_id", [2, 3], 1, n_init=2), FT.mixture(df, "spike_id", [3], 1, dof=4.0)]
+    assert not made
+    monkeypatch.setattr(FT, "held", lambda blocks, n_fits: blocks)
+    want = [FT.kmeans(df, "spike_id", [2, 3], 1), FT.mixture(df, "spike_id", [2, 3], 1, n_init=2), FT.mixture(df, "spike_id", [3], 1, dof=4.0)]
+    assert made
+    for a, b in zip(got, want):
+        assert a.keys() == b.keys()
+        for key in a:
+            assert np.isclose(a[key].score, b[key].score)
+            assert np.allclose(np.sort(a[key].centers, axis=0), np.sort(b[key].centers, axis=0))
