@@ -373,3 +373,19 @@ def test_fits_over_few_bytes_are_dealt_whole_to_tasks(spark, monkeypatch):
         for key in a:
             assert np.isclose(a[key].score, b[key].score)
             assert np.allclose(np.sort(a[key].centers, axis=0), np.sort(b[key].centers, axis=0))
+
+
+def test_gap_references_over_few_bytes_are_dealt_whole_to_tasks(spark, monkeypatch):
+    """Moments and boxes are the only passes over a small table, and the verdicts are those of the passes, also where only hashes are few."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i % 3, i, (rng.normal(size=6) + 3 * (i % 3 == 2)).tolist()) for i in range(240)], "label int, spike_id long, x array<double>")
+    made = passes_over_tables(monkeypatch, GP)
+    got = GP.pair_verdicts(df, n_refs=5)
+    assert len(made) == 2
+    monkeypatch.setattr(GP, "held", lambda blocks, n_fits: blocks)
+    partly = GP.pair_verdicts(df, n_refs=5)
+    monkeypatch.setattr(GP, "broadcast_bytes", lambda spark: 0)
+    want = GP.pair_verdicts(df, n_refs=5)
+    for a, b, c in zip(got, partly, want, strict=True):
+        assert a["one"] == b["one"] == c["one"]
+        assert all(np.isclose(a[k], c[k]) and np.isclose(b[k], c[k]) for k in ("gap1", "gap2", "s1", "s2"))
