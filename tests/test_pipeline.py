@@ -124,6 +124,24 @@ def test_large_embedding_takes_one_job_per_iteration(spark):
     assert jobs[1] - jobs[0] <= 6 + 2  # AQE may run a setup stage more or less
 
 
+def test_layout_of_few_bytes_is_shared_without_a_shuffle(spark):
+    """An iteration is one stage, so it leaves no shuffle files, and the layout is that of blocks that exchange positions."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 4)) for c in (-2, 2)])
+    x[100:110] = x[0]  # equal rows
+    ids = rng.permutation(120) * 7 - 50
+    df = spark.createDataFrame(pd.DataFrame({"g": 0, "spike_id": ids, "x": x.tolist()})).withColumn("g", F.col("g").cast("int"))
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    sc.setJobGroup("layout-shared", "")
+    got = EM.embed_large(df, 120, 2, 8.0, 9).orderBy("spike_id").toPandas()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in sorted(tracker.getJobIdsForGroup("layout-shared"))]
+    assert stages[-10:-1] == [1] * 9
+    want = EM.embed_exchanged(df, 120, 8.0, 9).orderBy("spike_id").toPandas()
+    assert got["spike_id"].tolist() == sorted(ids.tolist())
+    np.testing.assert_allclose(np.stack(got["y"]), np.stack(want["y"]), rtol=1e-6, atol=1e-12)
+
+
 def test_blocks_move_as_all_points_together():
     """A step of a block, with what other blocks send, is that of all edges and the whole grid."""
     rng = np.random.default_rng(2)
